@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioflow.llm import percentiles, vectors
+from folioflow.llm import containers, percentiles, sentences, vectors
 
-_MODULES = (percentiles, vectors)
+_MODULES = (percentiles, vectors, containers, sentences)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in _MODULES for name, text in module.SQL.items()}
