@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioflow.llm import containers, leakage, percentiles, pieces, sentences, vectors
+from folioflow.llm import containers, leakage, percentiles, pieces, scans, sentences, vectors
 
-_MODULES = (percentiles, vectors, pieces, containers, leakage, sentences)
+_MODULES = (percentiles, vectors, scans, pieces, containers, leakage, sentences)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in _MODULES for name, text in module.SQL.items()}
