@@ -44,6 +44,7 @@ for _a, _b in CONFUSED:
     _COST[(_a, _b)] = 0.4
 _LINES = re.compile(r"[\n\f]")
 _BREAK = re.compile(rf"(\S*[^\W\d_]\S*?)[{HYPHENS}]\s*$")
+_JOIN = re.compile(rf"(?<=[^\W\d_])[{HYPHENS}][^\S\n\f]*[\n\f]\s*(?=[^\W\d_]|[@0-9!¡|$][^\W\d_])")
 _WORDISH = re.compile(r"[^\W\d_]")
 _NUMBER = re.compile(r"[-+<>~]?\d+(?:[.,:/-]\d+)*%?")
 _BROKEN_NUMBER = re.compile(r"[-+]?(?=[\dlIOosSbBzZ|!.,/:]*\d)(?=[\d.,/:]*[lIOosSbBzZ|!])[\dlIOosSbBzZ|!]+(?:[.,:/][\dlIOosSbBzZ|!]+)*")
@@ -96,9 +97,14 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            seen: Counter[str] = Counter()
+            raw: Counter[str] = Counter()
             for text in pdf["text"]:
-                seen.update(w.lower() for _, w, _, _, _ in _body_words(_LINES.split(text)) if len(w) < 40 and _WORDISH.search(w))
+                raw.update(_JOIN.sub("", text).split())
+            seen: Counter[str] = Counter()
+            for word, n in raw.items():
+                w = core(word).lower()
+                if len(w) < 40 and _WORDISH.search(w):
+                    seen[w] += n
             yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
     return texts.select("text").mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -367,27 +373,51 @@ def _marks(scanned: DataFrame, noise: DataFrame, common: set[str]) -> DataFrame:
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = good.value
+        # what a written form is worth: False, or its core if it has to be looked up
+        worth: dict[str, str | bool] = {}
+
+        def judge(raw: str) -> str | bool:
+            w = core(raw)
+            odd = len(w) > 1 and len(w) < 40 and not _NUMBER.fullmatch(w) and w.lower() not in known
+            if len(worth) > 500_000:  # memory stays bounded
+                worth.clear()
+            worth[raw] = w if odd else False
+            return worth[raw]
+
         for pdf in batches:
             rows = []
             for cid, doc, idx, text, skipped in zip(pdf["chunk_id"], pdf["document_id"], pdf["chunk_index"], pdf["text"], pdf["skip"], strict=True):
                 lines = _LINES.split(text)
                 skip_set = set() if skipped is None else {int(x) for x in skipped}
                 at = -1 if pd.isna(idx) else int(idx)
-                body = [i for i, x in enumerate(lines) if i not in skip_set and x.strip()]
+                body = [(i, x.split()) for i, x in enumerate(lines) if i not in skip_set and x.strip()]
                 if not body:
                     continue
-                rows.append((doc, at, cid, body[0], "head", None, lines[body[0]].split()[0], 0, None, None))
-                broken = _BREAK.search(lines[body[-1]])
-                if broken:
-                    rows.append((doc, at, cid, body[-1], "tail", None, broken[1], 0, None, None))
-                for n, (no, w, part, before, second) in enumerate(_body_words(lines, skip_set)):
-                    low = w.lower()
-                    if part:
-                        rows.append((doc, at, cid, no, "broken", low, w[:part], part, before, second))
-                    elif _NUMBER.fullmatch(w):
-                        continue
-                    elif low not in known and len(w) < 40 and len(w) > 1:
-                        rows.append((doc, at, cid, no, "word" if n else "first", low, w, 0, before, None))
+                rows.append((doc, at, cid, body[0][0], "head", None, body[0][1][0], 0, None, None))
+                first_half: tuple[str, int, str] | None = None
+                for k, (no, words) in enumerate(body):
+                    start, stop = 0, len(words)
+                    if first_half:
+                        half, on, before = first_half
+                        first_half = None
+                        start = 1
+                        w = core(half + words[0])
+                        part = len(core(half + "x")) - 1
+                        rows.append((doc, at, cid, on, "broken", w.lower(), w[: max(part, 0)], part, before, words[0]))
+                    broken = _BREAK.search(lines[no])
+                    if broken and stop > start:
+                        stop -= 1
+                        if k == len(body) - 1:
+                            rows.append((doc, at, cid, no, "tail", None, broken[1], 0, None, None))
+                        else:
+                            first_half = (words[-1].rstrip(HYPHENS), no, core(words[-2]).lower() if stop else "")
+                    for i in range(start, stop):
+                        w = worth.get(words[i])
+                        if w is None:
+                            w = judge(words[i])
+                        if w:
+                            before = core(words[i - 1]).lower() if i else core(body[k - 1][1][-1]).lower() if k else ""
+                            rows.append((doc, at, cid, no, "word" if k or i else "first", w.lower(), w, 0, before, None))
             yield pd.DataFrame(rows, columns=columns)
 
     schema = "document_id string, chunk_index int, chunk_id string, line_no int, mark string, word string, raw string, part int, before string, second string"
