@@ -70,7 +70,7 @@ def _body_words(lines: list[str], skip: frozenset[int] | set[int] = frozenset())
         if no in skip or not line.strip():
             continue
         words = line.split()
-        broken = _BREAK.search(line)
+        broken = words[-1][-1] in HYPHENS and _BREAK.search(words[-1])
         last = len(words) - 1 if broken else len(words)
         for i, raw in enumerate(words):
             if i == 0 and carried:
@@ -404,7 +404,8 @@ def _marks(scanned: DataFrame, noise: DataFrame, common: set[str]) -> DataFrame:
                         w = core(half + words[0])
                         part = len(core(half + "x")) - 1
                         rows.append((doc, at, cid, on, "broken", w.lower(), w[: max(part, 0)], part, before, words[0]))
-                    broken = _BREAK.search(lines[no])
+                    # most lines end otherwise, which their last character tells
+                    broken = _BREAK.search(words[-1]) if words[-1][-1] in HYPHENS else None
                     if broken and stop > start:
                         stop -= 1
                         if k == len(body) - 1:
