@@ -94,6 +94,7 @@ His brother {name} can be reached on {phone}.
 Her sister {name} can be reached on {phone}.
 {sentence} Mrs. {name} asked us to write to {email} or to call {phone}. {sentence}
 Mrs. {name} asked us to write to {email} or ring {phone}.
+{sentence} Mr. {name} asked us to write to {email} or text {phone}. {sentence}
 Mr. {name} asked us to write to {email}.
 {sentence} {name} signed the consent form. {sentence}
 {name} signed the consent form.
@@ -101,6 +102,9 @@ Mr. {name} asked us to write to {email}.
 {sentence} {name}'s mother was present. {sentence}
 {name}'s mother was present.
 {name}'s father was present. {sentence}
+{sentence} {name}'s mother was present.
+{sentence} {name}'s father was present. {sentence}
+{sentence} {name} signed the consent form. {sentence}
 {sentence} Reports were mailed to {email} as requested. {sentence}
 Reports were mailed to {email} as requested.
 {sentence} The bill was sent to {address} with policy {id}. {sentence}
@@ -133,6 +137,12 @@ M. {name} habite {address} depuis peu.
 {sentence} Sa fille {name} est joignable au {phone}.
 Son fils {name} est joignable au {phone}.
 Le compte rendu a été envoyé à {email} hier.
+{sentence} Le courrier a été envoyé à {email} ce matin. {sentence}
+{sentence} El informe se envió a {email} por la tarde. {sentence}
+{sentence} O relatório foi enviado para {email} à tarde. {sentence}
+{sentence} Der Bericht ging an {email} heraus. {sentence}
+{sentence} Report {email} par bheji gayi. {sentence}
+{sentence} रिपोर्ट {email} पर भेजी गई। {sentence}
 {sentence} La carte {id} a été vérifiée.
 {sentence} Unke bhai {name} ka number {phone} hai.
 Unki behen {name} ka number {phone} hai.
@@ -149,6 +159,8 @@ Pehchan patra {id} dekha gaya.
 
 # Lines and sentences without any mention.
 PLAIN = """
+Pump model IX-{n5} alarmed at night.
+Pump model {cap}-{n} alarmed twice.
 {cap} Memorial Hospital
 St. {cap} Clinic
 {cap} Hospital
@@ -236,6 +248,41 @@ History: {Drug} {n} mg was started after meals. The pain was mild and {word}.
 Chief Complaints: {Word} was normal at {n}.{n}. The patient reported {word} for six months.
 Advice: We advised daily foot care and a {word} diet.
 Examination: {Word} of the {word} showed patchy opacities in the right lower zone.
+L'examen clinique ne retrouve pas d'anomalie, mais une {word} persiste après trois jours.
+L'examen clinique ne retrouve pas d'anomalie, mais des {word} persiste après deux semaines.
+Motif : L'examen clinique ne retrouve pas d'anomalie, mais une {word} marquée persiste après un mois.
+Conseils : Nous conseillons un contrôle dans six heures et une surveillance à domicile.
+Nous conseillons un contrôle dans une dizaine de jours et une surveillance à domicile.
+Le patient présente une {word} depuis deux semaines. On note des {word} avec une {word}, sans signe de gravité.
+Parmi {n} malades du service, {n} ont reçu {drug} {n} mg pendant trois jours.
+Évolution : La tension est de {n},{n} et le pouls de {n} par minute. Le patient présente des {word} depuis un mois.
+Raat mein bahut {word} aur {word} {word} dono badh gaye the.
+Raat mein {word} aur pairon mein {word} dono badh gaye the.
+Jaanch mein koi gambhir baat nahi mili, par {word} {word} abhi bhi hai.
+Parivar ko samjhaya gaya ki do hafte baad phir se dikhana hai.
+Do hafte tak dawai dene ke baad haalat mein sudhar hua.
+Ilaaj: Mareez ko chhah ghante se {word} mein {word} ki shikayat hai.
+Report: Ghar par {n} baar dawai li lekin aaram nahi mila. Parivar ko samjhaya gaya ki ek mahine baad phir se dikhana hai.
+Jaanch: Raat mein {word} aur {word} dono badh gaye the.
+रात में {n} बजे भूख की कमी और सीने में दर्द दोनों बढ़ गए थे।
+जाँच: जाँच में कोई गंभीर बात नहीं मिली, पर सूखी खाँसी अभी भी है।
+दो हफ्ते तक दवा देने के बाद हालत में सुधार हुआ।
+सलाह: परिवार को समझाया गया कि एक महीने बाद फिर से दिखाना है।
+Befund: Der Patient klagt seit sechs Stunden über {word} {Word}. Das Röntgenbild zeigte keinen auffälligen Befund, und die Entlassung wurde vorbereitet.
+Wir empfehlen eine Verlaufskontrolle nach einem Monat und eine Einstellung der {Word}.
+Empfehlung: Wir empfehlen eine Verlaufskontrolle nach zehn Tagen. Wegen {Word} blieb er {n} Nächte auf der Station.
+Motivo: En la exploración no se encuentran hallazgos, pero {word} {word} continúa después de un mes.
+Evolución: El paciente refiere {word} de los {word} desde hace unos diez días. Se inició tratamiento con {drug} durante dos semanas y el dolor mejoró.
+Queixa: No exame não foram encontradas alterações, mas {word} {word} continua depois de seis horas.
+Orientações: Recomenda-se uma nova consulta em um mês e controle da {word}. O paciente refere {word} há três dias.
+Past History: Overnight, the triage desk moved the bed closer to the desk. The dietician compared both films and noted {word} {word}, after which {word} had drifted from {n} to {n} in ten days.
+Course in Hospital: Against our expectation, the {word} oedema measured {n} mm, which the pharmacist blamed on {drug} rather than on {word} of {n} years.
+Investigations: {Drug} {n} mg was started once daily. Nebulisation was planned, but the family asked for more time.
+By the second visit, the visiting surgeon called the blood bank, then wrote a short note.
+At the joint meeting we saw a {word} rash over the shin. Sleep was poor, appetite was fair and {word} {word} recurred after discharge.
+The {word} {word} was unreadable on the fallback queue. Reading a rotated table took {n} ms on the CPU route against {n} ms on the GPU route, with {n} retries in {n} batches.
+Did {word} {word} appear before {drug} was given? A further two weeks of observation in {word} seemed reasonable.
+After haemodialysis in {word}, this woman in her sixties was kept on {drug} {n}.5 mg for six months.
 """
 
 _ONSET = "b d f g k l m n p r s t v z br dr gr kr st sh th tr vl zh ch qu w h j y".split()
@@ -262,15 +309,15 @@ def _name(r: random.Random) -> str:
     if r.random() < 0.15:
         last += "-" + _cap(r)
     form = r.random()
-    if form < 0.45:
+    if form < 0.32:
         return f"{first} {last}"
-    if form < 0.58:
+    if form < 0.46:
         return f"{first} {r.choice('ABCDIKLMNORSTVY')}. {last}"
-    if form < 0.68:
+    if form < 0.61:
         return f"{first[0]}. {last}"
-    if form < 0.78:
+    if form < 0.70:
         return f"{last.upper()}, {first}"
-    if form < 0.89:
+    if form < 0.78:
         return f"{first} {last}".upper()
     return f"{first} {last}".lower()
 
@@ -329,7 +376,7 @@ def _address(r: random.Random) -> str:
         (
             f"H.No. {n}/{r.randint(1, 12)}, {street}, {city} {pin}", f"Plot No. {n}, Sector {r.randint(1, 40)},\n{street}, {city} {pin}", f"Plot No. {n}, Sector {r.randint(1, 40)}, {street}, {city} {pin}", f"P.O. Box {n}, {city} {pin}",
             f"Flat {r.randint(1, 30)}{abc}, {_cap(r)} Heights, {street}, {city} - {pin}", f"Flat {r.randint(1, 30)}{abc}, {_cap(r)} Apartments,\n{street}, {city} - {pin}", f"{n} {street}, {city}", f"{n} {street}, {city} {pin}", f"{n}-{abc}, {street}, near the {_word(r)} {_word(r)}, {city}",
-            f"{n}/{r.randint(1, 9)}, {street}, {city} {pin}", f"house no {n}, {street}, {city}".lower(), f"House No. {n}, {street}, {city}",
+            f"{n}/{r.randint(1, 9)}, {street}, {city} {pin}", f"house no {n}, {street}, {city}".lower(), f"house no {n}, {street}, {city}".lower(), f"House No. {n}, {street}, {city}",
             f"{_cap(r)}weg {n}, {five} {city}", f"Obere {_cap(r)}straße {n}, {five} {city}", f"Am {_cap(r)}bach {n}, {five} {city}", f"{_cap(r)}straße {n}, {five} {city}",
             f"{n}, rue des {_cap(r)}, {five} {city}", f"{n}, avenue du {_cap(r)}, {five} {city}", f"{n}, place du Vieux {_cap(r)}, {five} {city}",
             f"Calle del {_cap(r)} {n}, {five} {city}", f"Plaza del {_cap(r)} {n}, {five} {city}", f"Avenida de la {_cap(r)} {n}, {five} {city}", f"Rua das {_cap(r)} {n}, {five} {city}", f"Travessa do {_cap(r)} {n}, {five} {city}",
@@ -365,10 +412,10 @@ def fill(template: str, r: random.Random, plain: list[str]) -> tuple[str, list[t
     return out + rest, spans
 
 
-def labelled_rows(times: int = 7, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """The labelled table with every line filled ``times`` times."""
+def labelled_rows(times: int = 14, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """The labelled table with every line filled ``times`` times, lines without mentions half as often."""
     r = random.Random(seed)
     lines = [x for x in LINES.strip().split("\n") if x]
     plain = [x for x in PLAIN.strip().split("\n") if x]
     body = [x for x in plain if x[-1] in ".?।" and ":" not in x]
-    return [fill(x, r, body) for _ in range(times) for x in lines] + [fill(x, r, body) for _ in range(times) for x in plain]
+    return [fill(x, r, body) for _ in range(times) for x in lines] + [fill(x, r, body) for _ in range(max(1, times // 2)) for x in plain]

@@ -159,11 +159,6 @@ def feature_ids(f: str, index: dict[str, int], known: set[str]) -> list[int]:
     return [index[x] for x in names if x in index]
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis, keepdims=True)
-    return (m + np.log(np.exp(x - m).sum(axis, keepdims=True))).squeeze(axis)
-
-
 def label(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[str], list[int]]:
     words, starts = tokens(text)
     out = []
@@ -177,7 +172,7 @@ def label(text: str, spans: list[tuple[str, int, int]]) -> tuple[list[str], list
     return words, out
 
 
-def train(rows: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 70, rate: float = 0.12, shrink: float = 2e-4) -> Field:
+def train(rows: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 50, rate: float = 0.04, shrink: float = 1e-4) -> Field:
     """Maximum likelihood by Adam, the gradient from forward and backward sums over all lines at once."""
     data = [label(t, s) for t, s in rows]
     data = [d for d in data if d[0]]
@@ -227,33 +222,35 @@ def train(rows: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 70,
         scores = np.stack([np.add.reduceat(w[k][at_feature], form_cuts, axis=0) for k in range(len(PLACES))])
         g_form = np.zeros((len(PLACES), len(forms), n_labels), "f4")
         g_moves = np.zeros_like(moves)
-        m = moves + closed
+        m = np.exp(moves) * _ALLOWED
         for x, y, mask in groups:
             n, longest = y.shape
             e = np.zeros((n, longest, n_labels), "f4")
             for k, place in enumerate(PLACES):
                 e += scores[k][x[:, pad + place : pad + place + longest]]
-            fwd = np.zeros_like(e)
-            bwd = np.zeros_like(e)
-            fwd[:, 0] = e[:, 0] + START
-            for t in range(1, longest):
-                fwd[:, t] = np.where(mask[:, t, None], _logsum(fwd[:, t - 1, :, None] + m, 1) + e[:, t], fwd[:, t - 1])
+            # forward and backward in linear space, each step scaled to sum to one
+            seen = np.exp(e - e.max(2, keepdims=True))
+            fwd, bwd = np.zeros_like(e), np.ones_like(e)
+            scale = np.ones((n, longest), "f4")
+            fwd[:, 0] = seen[:, 0] * np.exp(START)
+            for t in range(longest):
+                if t:
+                    fwd[:, t] = np.where(mask[:, t, None], (fwd[:, t - 1] @ m) * seen[:, t], fwd[:, t - 1])
+                scale[:, t] = np.where(mask[:, t], fwd[:, t].sum(1), 1)
+                fwd[:, t] /= scale[:, t, None]
             for t in range(longest - 2, -1, -1):
-                bwd[:, t] = np.where(mask[:, t + 1, None], _logsum(m + (e[:, t + 1] + bwd[:, t + 1])[:, None, :], 2), 0)
-            z = _logsum(fwd[:, -1], 1)
-            p = np.exp(fwd + bwd - z[:, None, None]) * mask[:, :, None]
+                bwd[:, t] = np.where(mask[:, t + 1, None], ((seen[:, t + 1] * bwd[:, t + 1]) @ m.T) / scale[:, t + 1, None], 1)
+            p = fwd * bwd * mask[:, :, None]
             p[np.arange(n)[:, None], np.arange(longest), y] -= mask
             for k, place in enumerate(PLACES):
                 at = x[:, pad + place : pad + place + longest][mask]
                 flat = p[mask]
                 for lab in range(n_labels):
                     g_form[k, :, lab] += np.bincount(at, flat[:, lab], len(forms))
-            for t in range(1, longest):
-                on = mask[:, t]
-                if on.any():
-                    pair = np.exp(fwd[on, t - 1, :, None] + m + (e[on, t] + bwd[on, t])[:, None, :] - z[on, None, None])
-                    g_moves += pair.sum(0)
-                    np.subtract.at(g_moves, (y[on, t - 1], y[on, t]), 1)
+            on = mask[:, 1:]
+            after = (seen[:, 1:] * bwd[:, 1:] / scale[:, 1:, None])[on]
+            g_moves += m * (fwd[:, :-1][on].T @ after)
+            np.subtract.at(g_moves, (y[:, :-1][on], y[:, 1:][on]), 1)
         g_w = np.stack([np.add.reduceat(g_form[k][by_feature], cuts, axis=0) for k in range(len(PLACES))]) / len(data) + shrink * w
         for i, (value, g) in enumerate(((w, g_w), (moves, g_moves / len(data) * _ALLOWED))):
             first[i] = 0.9 * first[i] + 0.1 * g

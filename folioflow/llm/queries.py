@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioflow.llm import containers, languages, leakage, percentiles, pieces, scans, sentences, vectors
+from folioflow.llm import containers, languages, leakage, percentiles, personal, pieces, scans, sentences, vectors
 
-_MODULES = (percentiles, vectors, scans, pieces, languages, containers, leakage, sentences)
+_MODULES = (personal, percentiles, vectors, scans, pieces, languages, containers, leakage, sentences)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 SQL = {name: text for module in _MODULES for name, text in module.SQL.items()}
