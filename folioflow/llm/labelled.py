@@ -10,7 +10,7 @@ from __future__ import annotations
 import random
 from collections.abc import Callable
 
-# Labelled lines. {name} {email} {phone} {id} {address} are mentions; {drug} {n} {word} {cap} are not.
+# Labelled lines. {name} {lower} {email} {phone} {id} {address} are mentions; {drug} {n} {word} {cap} are not.
 LINES = """
 Patient Name: {name}
 Patient Name: Mr. {name}
@@ -19,6 +19,19 @@ Patient Name: Ms. {name}
 Patient Name: Smt. {name}
 Patient Name: Shri {name}
 Name: {name}
+Patient Name: {lower}
+Patient Name: Mrs. {lower}
+Nom du patient : {lower}
+Name des Patienten: {lower}
+Nombre del paciente: {lower}
+Nome do paciente: {lower}
+Mareez ka naam: {lower}
+Consultant: Dr. {lower}
+Doctor ka naam: Dr. {lower}
+{sentence} Mme {lower} habite {address} depuis peu.
+{sentence} {lower} signed the consent form. {sentence}
+{sentence} {lower}'s mother was present. {sentence}
+{sentence} Su hija {lower} responde en el {phone}.
 Age/Sex: {n}/F
 Age/Sex: {n}/M
 UHID: {id}
@@ -385,12 +398,12 @@ def _address(r: random.Random) -> str:
     return form
 
 
-_MENTIONS: dict[str, Callable[[random.Random], str]] = {"name": _name, "email": _email, "phone": _phone, "id": _id, "address": _address}
+_MENTIONS: dict[str, Callable[[random.Random], str]] = {"name": _name, "lower": lambda r: f"{_word(r)} {_word(r)}", "email": _email, "phone": _phone, "id": _id, "address": _address}
 _OTHERS: dict[str, Callable[[random.Random], str]] = {
     "n": lambda r: str(r.randint(1, 900)), "n2": lambda r: f"{r.randint(1, 31):02d}", "n5": lambda r: _digits(r, 5), "n6": lambda r: str(r.randint(1, 9) * 50000), "n7": lambda r: str(r.randint(100, 999) * 5000),
     "drug": _word, "Drug": _cap, "word": _word, "Word": _cap, "cap": _cap,
 }
-_TYPES = {"id": "id_number"}
+_TYPES = {"id": "id_number", "lower": "name"}
 
 
 def fill(template: str, r: random.Random, plain: list[str]) -> tuple[str, list[tuple[str, int, int]]]:
