@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.plans import telemetry
+from folioflow.plans import pages, retrieval, telemetry
 
-_MODULES = (telemetry,)
+_MODULES = (retrieval, pages, telemetry)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,9 +1,14 @@
-"""Queries over resource_snapshots."""
+"""Queries over snapshots, routing decisions and events: monitoring, routing and run statistics."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from folioflow.operators import benchstats as N
+from folioflow.operators import pages as P
+from folioflow.operators import routing as M
+from folioflow.operators import scheduling as Q
 from folioflow.operators.anomaly import implausible_readings
 from folioflow.runtime import table
 
@@ -13,5 +18,211 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return implausible_readings(table(spark, sf_dir, "resource_snapshots")).distinct()
 
 
-QUERIES = {"p6_found": p6_found}
-SQL: dict[str, str] = {}
+def _snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Each snapshot once, with plausible readings only."""
+    s = table(spark, d, "resource_snapshots").dropDuplicates(["snapshot_id"])
+    ok = lambda c: F.when(F.col(c).between(0, 100), F.col(c))
+    return s.select("snapshot_id", "node_id", F.col("timestamp").alias("ts"), ok("cpu_percent").alias("cpu"), ok("memory_percent").alias("memory"), "gpu_available", F.col("gpu_utilization_percent").alias("gpu"), "queue_length", "active_workers")
+
+
+def _decisions(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "routing_decisions").dropDuplicates(["decision_id"])
+    device = F.regexp_replace(F.upper(F.trim("target_device")), r"\.[0-9]+$", "")
+    valid = (F.col("routing_latency_ms") > 0) & (F.col("routing_latency_ms") < float("inf"))
+    return r.select("decision_id", "node_id", F.col("timestamp").alias("ts"), device.alias("device"), F.when(valid, F.col("routing_latency_ms")).alias("ms"), "policy_version", "applied_rule", "page_number", "confidence", "document_id")
+
+
+def worker_latest(spark: SparkSession, d: str) -> DataFrame:
+    last = F.max_by(F.struct("snapshot_id", "cpu", "memory", "queue_length"), F.struct("ts", "snapshot_id")).alias("s")
+    return _snapshots(spark, d).groupBy("node_id").agg(last).select("node_id", "s.snapshot_id", P.utilisation(F.col("s.cpu"), F.col("s.memory")).alias("utilisation"), F.col("s.queue_length").alias("queue_length"))
+
+
+def heartbeat_gaps(spark: SparkSession, d: str) -> DataFrame:
+    line = Window.partitionBy("node_id").orderBy("ts", "snapshot_id")
+    gap = (F.unix_micros(F.lead("ts").over(line)) - F.unix_micros("ts")) / 1e6
+    return _snapshots(spark, d).withColumn("gap", gap).filter(F.col("gap") > 300).select("node_id", "snapshot_id", F.round("gap", 3).alias("gap_seconds"))
+
+
+def sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Stretches of a node without a gap of ten minutes or more."""
+    s = _snapshots(spark, d)
+    return s.groupBy("node_id", F.session_window("ts", "10 minutes").alias("w")).agg(F.count("*").alias("samples"), F.max("ts").alias("last")).select("node_id", F.unix_micros("w.start").alias("start_us"), F.unix_micros("last").alias("last_us"), "samples")
+
+
+def resource_windows(spark: SparkSession, d: str) -> DataFrame:
+    w = _snapshots(spark, d).groupBy(F.window("ts", "5 minutes").alias("w")).agg(
+        F.round(F.avg("cpu"), 6).alias("cpu"), F.round(F.avg("memory"), 6).alias("memory"), F.round(F.avg(F.when(F.col("gpu_available"), F.col("gpu"))), 6).alias("gpu"), F.sum("queue_length").alias("queue"), F.count_distinct("node_id").alias("nodes")
+    )
+    advice = Q.scaling_advice(F.col("cpu"), F.col("queue"), F.col("nodes"))
+    return w.select(F.unix_seconds("w.start").alias("start_s"), "cpu", "memory", "gpu", "queue", "nodes", advice["action"].alias("action"), advice["target"].alias("target"))
+
+
+def cluster_stats(spark: SparkSession, d: str) -> DataFrame:
+    state = F.when(F.col("queue_length") >= 6, "overloaded").when((F.col("active_workers") == 0), "idle").otherwise("active")
+    order = F.when(F.col("state") == "active", 0).when(F.col("state") == "idle", 1).otherwise(2)
+    return _snapshots(spark, d).withColumn("state", state).groupBy("state").agg(F.count("*").alias("samples"), F.round(F.avg("cpu"), 6).alias("cpu"), F.round(F.avg("memory"), 6).alias("memory"), F.sum("queue_length").alias("queued")).withColumn("place", order)
+
+
+def moving_average(spark: SparkSession, d: str) -> DataFrame:
+    line = Window.partitionBy("node_id").orderBy("ts", "snapshot_id")
+    return _snapshots(spark, d).select("snapshot_id", F.round(F.avg("cpu").over(line.rowsBetween(-59, 0)), 6).alias("cpu_60"), F.greatest(F.lit(0), F.coalesce(F.col("queue_length") - F.lag("queue_length").over(line), F.lit(0))).alias("queue_growth"))
+
+
+def recent_samples(spark: SparkSession, d: str) -> DataFrame:
+    line = Window.partitionBy("node_id").orderBy(F.desc("ts"), F.desc("snapshot_id"))
+    return _snapshots(spark, d).withColumn("age", F.row_number().over(line)).filter(F.col("age") <= 5).select("node_id", "snapshot_id", "age")
+
+
+def steal_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Idle nodes paired with the most loaded ones, first with first; half of a queue moves."""
+    last = _snapshots(spark, d).groupBy("node_id").agg(F.max_by("queue_length", F.struct("ts", "snapshot_id")).alias("depth"))
+    idle = last.filter(F.col("depth") <= 2).withColumn("place", F.row_number().over(Window.orderBy("depth", "node_id")))
+    busy = last.filter(F.col("depth") > 2).withColumn("place", F.row_number().over(Window.orderBy(F.desc("depth"), "node_id")))
+    take = F.least(F.greatest(F.lit(1), F.floor(F.col("b.depth") * 0.5)), F.col("b.depth") - 1)
+    return idle.alias("a").join(busy.alias("b"), "place").select(F.col("a.node_id").alias("thief"), F.col("b.node_id").alias("victim"), take.cast("bigint").alias("units"))
+
+
+def recovery_events(spark: SparkSession, d: str) -> DataFrame:
+    """Each failure of a unit is retried up to three times, then given up."""
+    line = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    tries = F.row_number().over(line)
+    return table(spark, d, "events").filter(F.col("event_type") == "error").select("event_id", "user_id", tries.alias("attempt")).withColumn("outcome", F.when(F.col("attempt") <= 3, "RETRY_SCHEDULED").otherwise("RETRY_EXHAUSTED"))
+
+
+def event_log(spark: SparkSession, d: str) -> DataFrame:
+    """The hundred newest entries of three logs (a report, hence its limit)."""
+    e = table(spark, d, "events").select(F.col("event_id").cast("string").alias("entry"), F.col("ts").cast("timestamp").alias("at"), F.lit("event").alias("log"))
+    r = _decisions(spark, d).select(F.col("decision_id").alias("entry"), F.col("ts").alias("at"), F.lit("routing").alias("log"))
+    s = _snapshots(spark, d).select(F.col("snapshot_id").cast("string").alias("entry"), F.col("ts").alias("at"), F.lit("snapshot").alias("log"))
+    return e.unionByName(r).unionByName(s).filter(F.col("at").isNotNull()).orderBy(F.desc("at"), "log", "entry").limit(100).select("entry", F.unix_micros("at").alias("at_us"), "log")
+
+
+def stage_pivot(spark: SparkSession, d: str) -> DataFrame:
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    return table(spark, d, "events").groupBy("user_id").pivot("event_type", kinds).agg(F.max_by("value", F.struct("ts", "event_id")))
+
+
+def task_fractions(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return n.select("event_type", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("share"))
+
+
+def event_rollup(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    g = F.grouping_id().cast("bigint").alias("level")
+    return e.rollup("event_type", "day").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"), g)
+
+
+def routing_metrics(spark: SparkSession, d: str) -> DataFrame:
+    n = _decisions(spark, d).groupBy("device").agg(F.count("*").alias("decisions"), F.count("ms").alias("timed"), F.round(F.avg("ms"), 4).alias("mean_ms"), F.round(F.avg("confidence"), 6).alias("confidence"))
+    return n.withColumn("share", F.round(F.col("decisions") / F.sum("decisions").over(Window.partitionBy()), 6))
+
+
+def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    p = N.percentile_rules(_decisions(spark, d).filter(F.col("device").isNotNull()), ["device"], "ms", 0.95)
+    return p.select("device", "n", "nearest", "floor_index", F.round("linear", 6).alias("linear"))
+
+
+def run_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    r = _decisions(spark, d).filter(F.col("ms").isNotNull())
+    first = F.min_by("device", F.struct("ts", "decision_id"))
+    return r.groupBy("policy_version", "applied_rule").agg(
+        F.count("*").alias("runs"), F.round(F.avg("ms"), 4).alias("mean_ms"), F.round(F.coalesce(F.stddev_samp("ms"), F.lit(0.0)), 4).alias("std_ms"), F.round(N.coefficient_of_variation(F.col("ms")), 4).alias("cv"),
+        F.round(F.count_if(F.col("device") == "GPU") / F.count("*") * 100, 6).alias("gpu_percent"), first.alias("first_device"), (F.count("*") < 5).alias("exploratory"),
+    )
+
+
+def policy_compare(spark: SparkSession, d: str) -> DataFrame:
+    r = _decisions(spark, d).filter(F.col("ms").isNotNull() & F.col("device").isin("CPU", "GPU", "FALLBACK"))
+    w = r.groupBy("policy_version").pivot("device", ["CPU", "FALLBACK", "GPU"]).agg(F.avg("ms"))
+    reg = N.regret(F.col("FALLBACK"), F.col("CPU"), F.col("GPU"))
+    return w.select("policy_version", F.round("CPU", 6).alias("cpu_ms"), F.round("GPU", 6).alias("gpu_ms"), F.round("FALLBACK", 6).alias("fallback_ms"), F.round(reg, 4).alias("regret"), F.round(N.speedup(F.col("CPU"), F.col("GPU")), 4).alias("speedup"), F.round(N.percent_change(F.col("CPU"), F.col("GPU")), 3).alias("change"))
+
+
+def device_crossover(spark: SparkSession, d: str) -> DataFrame:
+    r = _decisions(spark, d).filter(F.col("ms").isNotNull() & F.col("page_number").isNotNull())
+    w = r.groupBy("page_number").agg(F.round(F.avg(F.when(F.col("device") == "CPU", F.col("ms"))), 6).alias("cpu"), F.round(F.avg(F.when(F.col("device") == "GPU", F.col("ms"))), 6).alias("gpu"))
+    return w.agg(F.min(F.when(F.col("gpu") < F.col("cpu"), F.col("page_number"))).alias("crossover"), F.count_if(F.col("gpu") < F.col("cpu")).alias("pages_gpu_faster"))
+
+
+def oracle_agreement(spark: SparkSession, d: str) -> DataFrame:
+    r = _decisions(spark, d).filter(F.col("device").isin("CPU", "GPU"))
+    best = r.groupBy("policy_version").agg(F.when(F.round(F.avg(F.when(F.col("device") == "GPU", F.col("ms"))), 6) < F.round(F.avg(F.when(F.col("device") == "CPU", F.col("ms"))), 6), "GPU").otherwise("CPU").alias("oracle"))
+    return r.join(F.broadcast(best), "policy_version").groupBy("policy_version", "oracle").agg(F.round(F.avg((F.col("device") == F.col("oracle")).cast("int")), 6).alias("agreement"))  # a row a policy
+
+
+def device_rules(spark: SparkSession, d: str) -> DataFrame:
+    s = _snapshots(spark, d)
+    effort = F.round(F.pmod(F.col("snapshot_id"), F.lit(100)) / 100.0, 2)
+    r = M.device_rules(F.col("gpu_available"), F.coalesce("cpu", F.lit(-1.0)), F.coalesce("memory", F.lit(-1.0)), F.col("gpu"), F.col("active_workers"), effort)
+    return s.select("snapshot_id", r["device"].alias("device"), r["rule"].alias("rule"))
+
+
+def device_suitability(spark: SparkSession, d: str) -> DataFrame:
+    level = F.round(F.pmod(F.col("snapshot_id"), F.lit(101)) / 101.0, 4)
+    text = F.round(F.pmod(F.col("snapshot_id"), F.lit(37)) / 37.0, 4)
+    s = _snapshots(spark, d).filter(F.col("cpu").isNotNull() & F.col("gpu").isNotNull())
+    r = M.suitability(level, text, F.col("gpu"), F.col("cpu"), F.col("queue_length"), F.col("active_workers") > 2, F.col("active_workers"))
+    return s.select("snapshot_id", r["cpu_score"].alias("cpu_score"), r["gpu_score"].alias("gpu_score"), r["confidence"].alias("confidence"), r["backend"].alias("backend"))
+
+
+def device_hysteresis(spark: SparkSession, d: str) -> DataFrame:
+    return M.held_devices(_decisions(spark, d), "node_id", "ts", "decision_id", "device", 30.0)
+
+
+def cache_latest(spark: SparkSession, d: str) -> DataFrame:
+    """The cache as it stands: the newest row of each key."""
+    newest = F.max(F.struct("created_at", "vector_bytes")).alias("row")
+    c = table(spark, d, "embedding_cache").filter(F.col("cache_key").isNotNull()).groupBy("cache_key").agg(newest)
+    return c.select("cache_key", F.unix_micros("row.created_at").alias("created_us"), F.octet_length("row.vector_bytes").cast("bigint").alias("bytes"), F.coalesce(F.octet_length("row.vector_bytes") != 256, F.lit(True)).alias("corrupt"))
+
+
+def cache_misses(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks whose text is not in the content-addressed cache."""
+    c = table(spark, d, "chunks").filter(F.col("text").isNotNull()).select(F.sha2("text", 256).alias("cache_key")).distinct()
+    return c.join(cache_latest(spark, d).filter(~F.col("corrupt")).select("cache_key"), "cache_key", "left_anti").agg(F.count("*").alias("misses"))
+
+
+_SN = """(SELECT snapshot_id, node_id, "timestamp" AS ts, CASE WHEN cpu_percent >= 0 AND cpu_percent <= 100 THEN cpu_percent END AS cpu, CASE WHEN memory_percent >= 0 AND memory_percent <= 100 THEN memory_percent END AS memory, gpu_available, gpu_utilization_percent AS gpu, queue_length, active_workers
+ FROM (SELECT DISTINCT ON (snapshot_id) * FROM resource_snapshots))"""
+_DE = """(SELECT decision_id, node_id, "timestamp" AS ts, regexp_replace(upper(trim(target_device, ' ')), '\\.[0-9]+$', '') AS device, CASE WHEN routing_latency_ms > 0 AND NOT isnan(routing_latency_ms) AND NOT isinf(routing_latency_ms) THEN routing_latency_ms END AS ms, policy_version, applied_rule, page_number, confidence, document_id
+ FROM (SELECT DISTINCT ON (decision_id) * FROM routing_decisions))"""
+_PCT = """(SELECT device, ms, row_number() OVER (PARTITION BY device ORDER BY ms) - 1 AS r, count(*) OVER (PARTITION BY device) AS n FROM {de} WHERE device IS NOT NULL AND ms IS NOT NULL)""".format(de=_DE)
+_SUIT = f"""s AS (SELECT *, round((snapshot_id % 101) / 101.0::DOUBLE, 4) AS level, round((snapshot_id % 37) / 37.0::DOUBLE, 4) AS txt, CASE WHEN gpu > 80 THEN greatest(0.2::DOUBLE, 1.0 - 0.8::DOUBLE * (gpu - 80) / 20.0) ELSE 1.0 END AS busy FROM {_SN} WHERE cpu IS NOT NULL AND gpu IS NOT NULL),
+g AS (SELECT snapshot_id, greatest(0.05::DOUBLE, least(0.98::DOUBLE, (0.20::DOUBLE + 0.75::DOUBLE * level - CASE WHEN txt > 0.4 AND level > 0.6 THEN 0.08::DOUBLE * txt ELSE 0 END) * CASE WHEN active_workers > 2 THEN 1.0 ELSE 0.35::DOUBLE + 0.65::DOUBLE * least(1.0::DOUBLE, active_workers / 15.0::DOUBLE) END * busy * CASE WHEN queue_length > 4 AND busy < 0.8 THEN 0.85::DOUBLE ELSE 1.0 END)) AS gs,
+  greatest(0.05::DOUBLE, least(0.98::DOUBLE, (0.85::DOUBLE - 0.65::DOUBLE * level + CASE WHEN txt > 0.4 AND level > 0.6 THEN 0.12::DOUBLE * txt ELSE 0 END) * CASE WHEN cpu > 85 THEN greatest(0.2::DOUBLE, 1.0 - 0.7::DOUBLE * (cpu - 85) / 15.0) ELSE 1.0 END)) AS cs FROM s)"""
+
+QUERIES = {f.__name__: f for f in (
+    p6_found, worker_latest, heartbeat_gaps, sessions, resource_windows, cluster_stats, moving_average, recent_samples, steal_plan, recovery_events, event_log, stage_pivot, task_fractions, event_rollup, routing_metrics,
+    latency_percentiles, run_aggregate, policy_compare, device_crossover, oracle_agreement, device_rules, device_suitability, device_hysteresis, cache_latest, cache_misses,
+)}
+SQL = {
+    "worker_latest": f"SELECT node_id, s.snapshot_id, round((0.6::DOUBLE * s.cpu + 0.4::DOUBLE * s.memory) / 100, 4) AS utilisation, s.queue_length FROM (SELECT node_id, arg_max({{'snapshot_id': snapshot_id, 'cpu': cpu, 'memory': memory, 'queue_length': queue_length}}, {{'a': ts, 'b': snapshot_id}}) AS s FROM {_SN} GROUP BY node_id)",
+    "heartbeat_gaps": f"SELECT node_id, snapshot_id, round(gap, 3) AS gap_seconds FROM (SELECT *, (epoch_us(lead(ts) OVER (PARTITION BY node_id ORDER BY ts, snapshot_id)) - epoch_us(ts)) / 1e6 AS gap FROM {_SN}) WHERE gap > 300",
+    "sessions": f"WITH a AS (SELECT node_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY node_id ORDER BY ts)) < 600000000 THEN 0 ELSE 1 END AS new FROM {_SN}), b AS (SELECT node_id, ts, sum(new) OVER (PARTITION BY node_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT node_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us, count(*) AS samples FROM b GROUP BY node_id, s",
+    "resource_windows": f"""WITH w AS (SELECT epoch_us(ts) // 300000000 * 300 AS start_s, round(avg(cpu), 6) AS cpu, round(avg(memory), 6) AS memory, round(avg(gpu) FILTER (gpu_available), 6) AS gpu, CAST(sum(queue_length) AS BIGINT) AS queue, count(DISTINCT node_id) AS nodes FROM {_SN} GROUP BY 1),
+a AS (SELECT *, CASE WHEN cpu >= 85 THEN 'scale_out' WHEN cpu <= 20 AND queue = 0 THEN 'scale_in' ELSE 'maintain' END AS action FROM w)
+SELECT *, CASE action WHEN 'scale_out' THEN least(nodes + 2, nodes * 2) WHEN 'scale_in' THEN greatest(1, nodes - 1) ELSE nodes END AS target FROM a""",
+    "cluster_stats": f"SELECT state, count(*) AS samples, round(avg(cpu), 6) AS cpu, round(avg(memory), 6) AS memory, CAST(sum(queue_length) AS BIGINT) AS queued, CASE state WHEN 'active' THEN 0 WHEN 'idle' THEN 1 ELSE 2 END AS place FROM (SELECT *, CASE WHEN queue_length >= 6 THEN 'overloaded' WHEN active_workers = 0 THEN 'idle' ELSE 'active' END AS state FROM {_SN}) GROUP BY state",
+    "moving_average": f"SELECT snapshot_id, round(avg(cpu) OVER (PARTITION BY node_id ORDER BY ts, snapshot_id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), 6) AS cpu_60, greatest(0, coalesce(queue_length - lag(queue_length) OVER (PARTITION BY node_id ORDER BY ts, snapshot_id), 0)) AS queue_growth FROM {_SN}",
+    "recent_samples": f"SELECT node_id, snapshot_id, age FROM (SELECT node_id, snapshot_id, row_number() OVER (PARTITION BY node_id ORDER BY ts DESC, snapshot_id DESC) AS age FROM {_SN}) WHERE age <= 5",
+    "steal_plan": f"WITH l AS (SELECT node_id, arg_max(queue_length, {{'a': ts, 'b': snapshot_id}}) AS depth FROM {_SN} GROUP BY 1), i AS (SELECT *, row_number() OVER (ORDER BY depth, node_id) AS p FROM l WHERE depth <= 2), b AS (SELECT *, row_number() OVER (ORDER BY depth DESC, node_id) AS p FROM l WHERE depth > 2) SELECT i.node_id AS thief, b.node_id AS victim, CAST(least(greatest(1, floor(b.depth * 0.5)), b.depth - 1) AS BIGINT) AS units FROM i JOIN b USING (p)",
+    "recovery_events": "SELECT event_id, user_id, attempt, CASE WHEN attempt <= 3 THEN 'RETRY_SCHEDULED' ELSE 'RETRY_EXHAUSTED' END AS outcome FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt FROM events WHERE event_type = 'error')",
+    "event_log": f"SELECT entry, epoch_us(moment) AS at_us, log FROM (SELECT CAST(event_id AS VARCHAR) AS entry, CAST(ts AS TIMESTAMPTZ) AS moment, 'event' AS log FROM events UNION ALL SELECT decision_id, ts, 'routing' FROM {_DE} UNION ALL SELECT CAST(snapshot_id AS VARCHAR), ts, 'snapshot' FROM {_SN}) WHERE moment IS NOT NULL ORDER BY moment DESC, log, entry LIMIT 100",
+    "stage_pivot": "SELECT user_id, " + ", ".join(f"arg_max(value, {{'a': ts, 'b': event_id}}) FILTER (event_type = '{k}') AS {k}" for k in ("click", "error", "purchase", "signup", "view")) + " FROM events GROUP BY user_id",
+    "task_fractions": "SELECT event_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM events GROUP BY event_type",
+    "event_rollup": "SELECT event_type, day, count(*) AS n, round(sum(value), 4) AS total, CAST(grouping(event_type, day) AS BIGINT) AS level FROM (SELECT *, CAST(ts AS DATE) AS day FROM events) GROUP BY ROLLUP (event_type, day)",
+    "routing_metrics": f"SELECT device, count(*) AS decisions, count(ms) AS timed, round(avg(ms), 4) AS mean_ms, round(avg(confidence), 6) AS confidence, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM {_DE} GROUP BY device",
+    "latency_percentiles": f"SELECT device, n, max(ms) FILTER (r = greatest(0, ceil(n * 0.95::DOUBLE) - 1)) AS nearest, max(ms) FILTER (r = least(n - 1, floor(n * 0.95::DOUBLE))) AS floor_index, round(quantile_cont(ms, 0.95), 6) AS linear FROM {_PCT} GROUP BY device, n",
+    "run_aggregate": f"SELECT policy_version, applied_rule, count(*) AS runs, round(avg(ms), 4) AS mean_ms, round(coalesce(stddev_samp(ms), 0), 4) AS std_ms, round(coalesce(stddev_samp(ms), 0) / avg(ms), 4) AS cv, round(count(*) FILTER (device = 'GPU') / count(*) * 100, 6) AS gpu_percent, arg_min(device, {{'a': ts, 'b': decision_id}}) AS first_device, count(*) < 5 AS exploratory FROM {_DE} WHERE ms IS NOT NULL GROUP BY 1, 2",
+    "policy_compare": f"""WITH w AS (SELECT policy_version, avg(ms) FILTER (device = 'CPU') AS c, avg(ms) FILTER (device = 'GPU') AS g, avg(ms) FILTER (device = 'FALLBACK') AS f FROM {_DE} WHERE ms IS NOT NULL AND device IN ('CPU', 'GPU', 'FALLBACK') GROUP BY 1)
+SELECT policy_version, round(c, 6) AS cpu_ms, round(g, 6) AS gpu_ms, round(f, 6) AS fallback_ms, round((f - least(c, g)) / least(c, g), 4) AS regret, round(c / g, 4) AS speedup, round((g - c) / c * 100, 3) AS change FROM w""",
+    "device_crossover": f"WITH w AS (SELECT page_number, round(avg(ms) FILTER (device = 'CPU'), 6) AS c, round(avg(ms) FILTER (device = 'GPU'), 6) AS g FROM {_DE} WHERE ms IS NOT NULL AND page_number IS NOT NULL GROUP BY 1) SELECT min(page_number) FILTER (g < c) AS crossover, count(*) FILTER (g < c) AS pages_gpu_faster FROM w",
+    "oracle_agreement": f"WITH r AS (SELECT * FROM {_DE} WHERE device IN ('CPU', 'GPU')), b AS (SELECT policy_version, CASE WHEN round(avg(ms) FILTER (device = 'GPU'), 6) < round(avg(ms) FILTER (device = 'CPU'), 6) THEN 'GPU' ELSE 'CPU' END AS oracle FROM r GROUP BY 1) SELECT policy_version, oracle, round(avg(CAST(device = oracle AS INTEGER)), 6) AS agreement FROM r JOIN b USING (policy_version) GROUP BY 1, 2",
+    "device_rules": f"""WITH s AS (SELECT *, coalesce(cpu, -1) AS c, coalesce(memory, -1) AS m, round((snapshot_id % 100) / 100.0::DOUBLE, 2) AS e FROM {_SN}),
+r AS (SELECT snapshot_id, CASE WHEN gpu_available IS NOT TRUE THEN 'A' WHEN c < 0 OR m < 0 THEN 'B' WHEN active_workers <= 1 AND e <= 0.20 THEN 'C' WHEN gpu >= 85 THEN 'D' WHEN c >= 80 THEN 'F' WHEN e >= 0.35 THEN 'G' ELSE 'H' END AS rule FROM s)
+SELECT snapshot_id, CASE WHEN rule IN ('F', 'G') THEN 'GPU' ELSE 'CPU' END AS device, rule FROM r""",
+    "device_suitability": f"WITH {_SUIT} SELECT snapshot_id, round(cs, 6) AS cpu_score, round(gs, 6) AS gpu_score, round(greatest(0.15::DOUBLE, least(0.99::DOUBLE, abs(gs - cs) * 1.6::DOUBLE + 0.10::DOUBLE)), 6) AS confidence, CASE WHEN gs > cs THEN 'GPU' ELSE 'CPU' END AS backend FROM g",
+    "cache_latest": "SELECT cache_key, epoch_us(r.created_at) AS created_us, octet_length(r.vector_bytes) AS bytes, coalesce(octet_length(r.vector_bytes) <> 256, true) AS corrupt FROM (SELECT cache_key, max({'created_at': created_at, 'vector_bytes': vector_bytes}) AS r FROM embedding_cache WHERE cache_key IS NOT NULL GROUP BY 1)",
+    "cache_misses": "WITH l AS (SELECT cache_key, max({'created_at': created_at, 'vector_bytes': vector_bytes}) AS r FROM embedding_cache WHERE cache_key IS NOT NULL GROUP BY 1) SELECT count(*) AS misses FROM (SELECT DISTINCT sha256(text) AS k FROM chunks WHERE text IS NOT NULL) WHERE k NOT IN (SELECT cache_key FROM l WHERE octet_length(r.vector_bytes) = 256)",
+}
