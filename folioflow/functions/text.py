@@ -58,7 +58,7 @@ def file_suffix(path: Column) -> Column:
 def archive_url(article: Column, base: str) -> Column:
     """``base/{last two digits}/{two before}/{id}.pdf``; empty for an id that is no number."""
     digits = F.regexp_replace(article, "^PMC", "")
-    padded = F.lpad(digits, 4, "0")
+    padded = F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits)
     tail, before = F.right(padded, F.lit(2)), F.substring(F.right(padded, F.lit(4)), 1, 2)
     return F.when(digits.rlike("^[0-9]+$"), F.concat_ws("/", F.lit(base), tail, before, F.concat(article, F.lit(".pdf")))).otherwise(F.lit(""))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
+from folioflow.operators import chunking as C
 from folioflow.operators import pages as P
 from folioflow.operators import routing as M
 from folioflow.operators import scheduling as Q
@@ -177,6 +178,16 @@ def chunk_fixed(spark: SparkSession, d: str) -> DataFrame:
     return cut.select("doc_id", "chunk", F.length(piece).cast("bigint").alias("characters"), F.md5(piece).alias("piece_md5"))
 
 
+def chunk_semantic(spark: SparkSession, d: str) -> DataFrame:
+    part = F.posexplode(F.split("text", "\f")).alias("part", "page_text")
+    cut = _chunks(spark, d).filter(F.col("text").isNotNull()).select("document_id", "chunk_index", part)
+    return C.semantic_chunks(cut.select("document_id", (F.col("chunk_index") * 1000 + F.col("part")).alias("page_number"), F.col("page_text").alias("text")))
+
+
+def chunk_plain(spark: SparkSession, d: str) -> DataFrame:
+    return C.plain_text_chunks(table(spark, d, "documents"), "doc_id", "text")
+
+
 def missing_pages(spark: SparkSession, d: str) -> DataFrame:
     """Anti join: chunks' documents without validated pages; semi join: those with."""
     c = _chunks(spark, d).select("document_id").distinct()
@@ -202,7 +213,7 @@ _TRIM = "regexp_replace(x, '^[\\s\\x0B\\x{85}\\x{A0}]+|[\\s\\x0B\\x{85}\\x{A0}]+
 
 QUERIES = {f.__name__: f for f in (
     doc_summary, status_pivot, registry_summary, metadata_stats, metadata_names, fulltext, headings, current_heading, page_texts, chunk_ids, stale_counts, dup_blocks, page_types, dominant_type, page_rules, workload_cost,
-    completeness, workload_report, queue_drain, dispatch_plan, lpt_partition, partition_stats, work_units, page_units, chunk_fixed, missing_pages, page_set_difference,
+    completeness, workload_report, queue_drain, dispatch_plan, lpt_partition, partition_stats, work_units, page_units, chunk_fixed, chunk_semantic, chunk_plain, missing_pages, page_set_difference,
 )}
 SQL = {
     "doc_summary": f"SELECT document_id, count(*) AS pages, count(*) FILTER (passed) AS passed, coalesce(round(avg(ocr_confidence) FILTER (passed AND ocr_confidence >= 0), 4), 1.0) AS confidence, round(sum(validation_time_seconds), 6) AS seconds, round(CASE WHEN sum(validation_time_seconds) > 0 THEN count(*) / sum(validation_time_seconds) ELSE 0 END, 2) AS pages_per_second FROM ({_PG}) GROUP BY document_id",

@@ -51,7 +51,7 @@ def sessions(spark: SparkSession, d: str) -> DataFrame:
 
 def resource_windows(spark: SparkSession, d: str) -> DataFrame:
     w = _snapshots(spark, d).groupBy(F.window("ts", "5 minutes").alias("w")).agg(
-        F.round(F.avg("cpu"), 6).alias("cpu"), F.round(F.avg("memory"), 6).alias("memory"), F.round(F.avg(F.when(F.col("gpu_available"), F.col("gpu"))), 6).alias("gpu"), F.sum("queue_length").alias("queue"), F.count_distinct("node_id").alias("nodes")
+        F.round(F.avg("cpu"), 9).alias("cpu"), F.round(F.avg("memory"), 9).alias("memory"), F.round(F.avg(F.when(F.col("gpu_available"), F.col("gpu"))), 9).alias("gpu"), F.sum("queue_length").alias("queue"), F.count_distinct("node_id").alias("nodes")
     )
     advice = Q.scaling_advice(F.col("cpu"), F.col("queue"), F.col("nodes"))
     return w.select(F.unix_seconds("w.start").alias("start_s"), "cpu", "memory", "gpu", "queue", "nodes", advice["action"].alias("action"), advice["target"].alias("target"))
@@ -60,12 +60,12 @@ def resource_windows(spark: SparkSession, d: str) -> DataFrame:
 def cluster_stats(spark: SparkSession, d: str) -> DataFrame:
     state = F.when(F.col("queue_length") >= 6, "overloaded").when((F.col("active_workers") == 0), "idle").otherwise("active")
     order = F.when(F.col("state") == "active", 0).when(F.col("state") == "idle", 1).otherwise(2)
-    return _snapshots(spark, d).withColumn("state", state).groupBy("state").agg(F.count("*").alias("samples"), F.round(F.avg("cpu"), 6).alias("cpu"), F.round(F.avg("memory"), 6).alias("memory"), F.sum("queue_length").alias("queued")).withColumn("place", order)
+    return _snapshots(spark, d).withColumn("state", state).groupBy("state").agg(F.count("*").alias("samples"), F.round(F.avg("cpu"), 9).alias("cpu"), F.round(F.avg("memory"), 9).alias("memory"), F.sum("queue_length").alias("queued")).withColumn("place", order)
 
 
 def moving_average(spark: SparkSession, d: str) -> DataFrame:
     line = Window.partitionBy("node_id").orderBy("ts", "snapshot_id")
-    return _snapshots(spark, d).select("snapshot_id", F.round(F.avg("cpu").over(line.rowsBetween(-59, 0)), 6).alias("cpu_60"), F.greatest(F.lit(0), F.coalesce(F.col("queue_length") - F.lag("queue_length").over(line), F.lit(0))).alias("queue_growth"))
+    return _snapshots(spark, d).select("snapshot_id", F.round(F.avg("cpu").over(line.rowsBetween(-59, 0)), 9).alias("cpu_60"), F.greatest(F.lit(0), F.coalesce(F.col("queue_length") - F.lag("queue_length").over(line), F.lit(0))).alias("queue_growth"))
 
 
 def recent_samples(spark: SparkSession, d: str) -> DataFrame:
@@ -200,11 +200,11 @@ SQL = {
     "worker_latest": f"SELECT node_id, s.snapshot_id, round((0.6::DOUBLE * s.cpu + 0.4::DOUBLE * s.memory) / 100, 4) AS utilisation, s.queue_length FROM (SELECT node_id, arg_max({{'snapshot_id': snapshot_id, 'cpu': cpu, 'memory': memory, 'queue_length': queue_length}}, {{'a': ts, 'b': snapshot_id}}) AS s FROM {_SN} GROUP BY node_id)",
     "heartbeat_gaps": f"SELECT node_id, snapshot_id, round(gap, 3) AS gap_seconds FROM (SELECT *, (epoch_us(lead(ts) OVER (PARTITION BY node_id ORDER BY ts, snapshot_id)) - epoch_us(ts)) / 1e6 AS gap FROM {_SN}) WHERE gap > 300",
     "sessions": f"WITH a AS (SELECT node_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY node_id ORDER BY ts)) < 600000000 THEN 0 ELSE 1 END AS new FROM {_SN}), b AS (SELECT node_id, ts, sum(new) OVER (PARTITION BY node_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM a) SELECT node_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS last_us, count(*) AS samples FROM b GROUP BY node_id, s",
-    "resource_windows": f"""WITH w AS (SELECT epoch_us(ts) // 300000000 * 300 AS start_s, round(avg(cpu), 6) AS cpu, round(avg(memory), 6) AS memory, round(avg(gpu) FILTER (gpu_available), 6) AS gpu, CAST(sum(queue_length) AS BIGINT) AS queue, count(DISTINCT node_id) AS nodes FROM {_SN} GROUP BY 1),
+    "resource_windows": f"""WITH w AS (SELECT epoch_us(ts) // 300000000 * 300 AS start_s, round(avg(cpu), 9) AS cpu, round(avg(memory), 9) AS memory, round(avg(gpu) FILTER (gpu_available), 9) AS gpu, CAST(sum(queue_length) AS BIGINT) AS queue, count(DISTINCT node_id) AS nodes FROM {_SN} GROUP BY 1),
 a AS (SELECT *, CASE WHEN cpu >= 85 THEN 'scale_out' WHEN cpu <= 20 AND queue = 0 THEN 'scale_in' ELSE 'maintain' END AS action FROM w)
 SELECT *, CASE action WHEN 'scale_out' THEN least(nodes + 2, nodes * 2) WHEN 'scale_in' THEN greatest(1, nodes - 1) ELSE nodes END AS target FROM a""",
-    "cluster_stats": f"SELECT state, count(*) AS samples, round(avg(cpu), 6) AS cpu, round(avg(memory), 6) AS memory, CAST(sum(queue_length) AS BIGINT) AS queued, CASE state WHEN 'active' THEN 0 WHEN 'idle' THEN 1 ELSE 2 END AS place FROM (SELECT *, CASE WHEN queue_length >= 6 THEN 'overloaded' WHEN active_workers = 0 THEN 'idle' ELSE 'active' END AS state FROM {_SN}) GROUP BY state",
-    "moving_average": f"SELECT snapshot_id, round(avg(cpu) OVER (PARTITION BY node_id ORDER BY ts, snapshot_id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), 6) AS cpu_60, greatest(0, coalesce(queue_length - lag(queue_length) OVER (PARTITION BY node_id ORDER BY ts, snapshot_id), 0)) AS queue_growth FROM {_SN}",
+    "cluster_stats": f"SELECT state, count(*) AS samples, round(avg(cpu), 9) AS cpu, round(avg(memory), 9) AS memory, CAST(sum(queue_length) AS BIGINT) AS queued, CASE state WHEN 'active' THEN 0 WHEN 'idle' THEN 1 ELSE 2 END AS place FROM (SELECT *, CASE WHEN queue_length >= 6 THEN 'overloaded' WHEN active_workers = 0 THEN 'idle' ELSE 'active' END AS state FROM {_SN}) GROUP BY state",
+    "moving_average": f"SELECT snapshot_id, round(avg(cpu) OVER (PARTITION BY node_id ORDER BY ts, snapshot_id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), 9) AS cpu_60, greatest(0, coalesce(queue_length - lag(queue_length) OVER (PARTITION BY node_id ORDER BY ts, snapshot_id), 0)) AS queue_growth FROM {_SN}",
     "recent_samples": f"SELECT node_id, snapshot_id, age FROM (SELECT node_id, snapshot_id, row_number() OVER (PARTITION BY node_id ORDER BY ts DESC, snapshot_id DESC) AS age FROM {_SN}) WHERE age <= 5",
     "steal_plan": f"WITH l AS (SELECT node_id, arg_max(queue_length, {{'a': ts, 'b': snapshot_id}}) AS depth FROM {_SN} GROUP BY 1), i AS (SELECT *, row_number() OVER (ORDER BY depth, node_id) AS p FROM l WHERE depth <= 2), b AS (SELECT *, row_number() OVER (ORDER BY depth DESC, node_id) AS p FROM l WHERE depth > 2) SELECT i.node_id AS thief, b.node_id AS victim, CAST(least(greatest(1, floor(b.depth * 0.5)), b.depth - 1) AS BIGINT) AS units FROM i JOIN b USING (p)",
     "recovery_events": "SELECT event_id, user_id, attempt, CASE WHEN attempt <= 3 THEN 'RETRY_SCHEDULED' ELSE 'RETRY_EXHAUSTED' END AS outcome FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS attempt FROM events WHERE event_type = 'error')",
