@@ -28,7 +28,7 @@ def check_k(k: int, most: int = MAX_TOP_K) -> int:
 
 @dataclass
 class SparseIndex:
-    postings: DataFrame  # id, term, tf
+    postings: DataFrame  # id, term, tf, dl
     lengths: DataFrame  # id, dl
     totals: DataFrame  # docs, avgdl: one row
 
@@ -53,10 +53,10 @@ def sparse_index(texts: DataFrame, key: str, text: str, only: DataFrame | None =
     rows = texts.filter(F.col(text).isNotNull()).select(F.col(key).alias("id"), tokens(F.col(text)).alias("terms"))
     lengths = rows.select("id", F.size("terms").alias("dl"))
     totals = lengths.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
-    each = rows.select("id", F.explode("terms").alias("term"))
+    each = rows.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
     if only is not None:
         each = each.join(only.select("term").distinct(), "term", "left_semi")
-    return SparseIndex(each.groupBy("id", "term").agg(F.count("*").alias("tf")), lengths, totals)
+    return SparseIndex(each.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), lengths, totals)
 
 
 def query_bag(queries: DataFrame, key: str, text: str) -> DataFrame:
@@ -74,7 +74,6 @@ def bm25(index: SparseIndex, bag: DataFrame, k1: float = 1.5, b: float = 0.75) -
     part = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * norm))
     scored = (
         wanted.join(df, "term")
-        .join(index.lengths, "id")
         .crossJoin(F.broadcast(index.totals))  # one row
         .select("id", "term", part.alias("part"))
     )

@@ -65,6 +65,15 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan of fewer splits than half of the cores, dealt out to all of them; else as it is.
+
+    For work that takes far longer than moving its rows. A table of many files is never moved.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores // 2 else scan
+
+
 def null_safe_key(column: Column) -> Column:
     """A non-null string key: null is a group of its own, apart from every text."""
     return F.when(column.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), column.cast("string")))
