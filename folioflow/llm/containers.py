@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.runtime import table, written
+from folioflow.runtime import spread, table, written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the byte-level vocabulary splits text before merging (published with it).
@@ -45,7 +45,7 @@ def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text",
         for pdf in batches:
             yield pd.DataFrame({"key": pdf["key"], "tokens": [len(encode(t)) if t else 0 for t in pdf["text"]]})
 
-    return documents.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(count, f"key {kind}, tokens bigint")
+    return spread(documents.select(F.col(key).alias("key"), F.col(text).alias("text"))).mapInPandas(count, f"key {kind}, tokens bigint")
 
 
 @dataclass

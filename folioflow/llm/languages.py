@@ -22,10 +22,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.runtime import table
+from folioflow.runtime import spread, table
 
 #: Rows of the labelled sample that the dictionaries are fitted on, and bytes of a dictionary: their bounds.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 1500
 DICTIONARY_BYTES = 100_000
 #: Bytes by which a sentence must be behind for its note to count as mixed when the dictionaries are fitted.
 MIXED = 5.0
@@ -243,7 +243,7 @@ def segments(note: str | None, model: Dictionaries, change: float = CHANGE_COST)
 def fit_on(notes: DataFrame, text: str = "note", label: str = "language", key: str = "id", sample_rows: int = SAMPLE_ROWS) -> Dictionaries:
     """``fit`` on at most ``sample_rows`` labelled rows, taken by a hash of their key."""
     labelled = notes.filter(F.col(label).isNotNull() & F.col(text).isNotNull())
-    share = max(1, labelled.count() // max(1, sample_rows - 500))
+    share = max(1, labelled.count() // max(1, sample_rows * 9 // 10))
     some = labelled.filter(F.pmod(F.xxhash64(key), F.lit(share)) == 0).select(F.col(text).alias("text"), F.col(label).alias("label")).limit(sample_rows).toPandas()
     return fit(some["text"].tolist(), some["label"].tolist())
 
@@ -253,7 +253,7 @@ def note_languages(notes: DataFrame, model: Dictionaries, *, key: str = "id", te
 
     ``label_code`` is the code of the label as delivered, '' if it names no known language and
     null if it is missing. Null and blank notes have no segments; a note without sentences is
-    judged by its lines. A repeated key counts once, the first row by text and label; rows with
+    judged by its lines. A repeated key counts once, the first row by hash of the text and label; rows with
     a null key are kept apart by their text. A confidence near 0.5 says that another language
     fits about as well.
     """
@@ -262,20 +262,26 @@ def note_languages(notes: DataFrame, model: Dictionaries, *, key: str = "id", te
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for k, note, given in zip(pdf["key"], pdf["text"], pdf["label"], strict=True):
-                code = language_code(given)
-                rows += [(k, code, i, lang, conf) for i, (lang, conf) in enumerate(segments(note, shared.value), 1)]
-            yield pd.DataFrame(rows, columns=["key", "label_code", "segment_no", "lang", "confidence"])
-
+            yield pd.DataFrame(
+                {
+                    "key": pdf["key"],
+                    "of": pdf["of"],
+                    "label_code": [language_code(x) for x in pdf["label"]],
+                    "found": [[{"lang": lang, "confidence": conf} for lang, conf in segments(note, shared.value)] for note in pdf["text"]],
+                }
+            )
+
+    rows = notes.select(F.col(key).alias("key"), F.coalesce(F.md5(F.col(text)), F.lit("")).alias("of"), F.col(text).alias("text"), F.col(label).alias("label"))
+    judged = spread(rows).mapInPandas(judge, f"key {kind}, of string, label_code string, found array<struct<lang:string,confidence:double>>")
+    # what is compared and shuffled is the outcome, not the note
     once = (
-        notes.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(label).alias("label"))
-        .withColumn("of", F.when(F.col("key").isNull(), F.md5("text")))
-        .groupBy("key", "of")
-        .agg(F.min(F.struct("text", "label")).alias("row"))
-        .select("key", "row.text", "row.label")
+        judged.withColumn("apart", F.when(F.col("key").isNull(), F.col("of")))
+        .groupBy("key", "apart")
+        .agg(F.min(F.struct("of", "label_code", "found")).alias("row"))
+    )
+    return once.select("key", "row.label_code", F.posexplode("row.found").alias("at", "x")).select(
+        F.col("key").alias(key), "label_code", (F.col("at") + 1).alias("segment_no"), F.col("x.lang").alias("lang"), F.col("x.confidence").alias("confidence")
     )
-    return once.mapInPandas(judge, f"key {kind}, label_code string, segment_no int, lang string, confidence double").withColumnRenamed("key", key)
 
 
 def doubtful_notes(judged: DataFrame, key: str = "id") -> DataFrame:

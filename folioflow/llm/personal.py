@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm.labelled import labelled_rows
-from folioflow.runtime import table
+from folioflow.runtime import spread, table
 
 TYPES = ("name", "email", "phone", "id_number", "address")
 LABELS = ("O", *[f"{p}-{t}" for t in TYPES for p in "BI"])
@@ -324,7 +324,7 @@ def personal_mentions(notes: DataFrame, field: Field | None = None, *, key: str
                 yield pd.DataFrame(rows, columns=["key", "pii_type", "start_char", "end_char"])
 
     plain = notes.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") > 0)
-    return plain.mapInPandas(find, f"key {kind}, pii_type string, start_char int, end_char int").distinct().withColumnRenamed("key", key)
+    return spread(plain).mapInPandas(find, f"key {kind}, pii_type string, start_char int, end_char int").distinct().withColumnRenamed("key", key)
 
 
 def redact(text: str, found: list[tuple[str, int, int]]) -> str:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.runtime import table
+from folioflow.runtime import spread, table
 
 # Abbreviations that a sentence does not end with, and those that may end one.
 NEVER_LAST = frozenset(
@@ -279,11 +279,8 @@ def sentence_units(documents: DataFrame, key: str = "doc_id", text: str = "text"
             units = [sentences(t) for t in pdf["text"]]
             yield pd.DataFrame({"key": pdf["key"], "starts": [[a for a, _ in u] for u in units], "ends": [[b for _, b in u] for u in units]})
 
-    cut = (
-        documents.select(F.col(key).alias("key"), F.col(text).alias("text"))
-        .filter(F.col("text").isNotNull())
-        .mapInPandas(split, f"key {kind}, starts array<int>, ends array<int>")
-    )
+    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.col("text").isNotNull())
+    cut = spread(rows).mapInPandas(split, f"key {kind}, starts array<int>, ends array<int>")
     return cut.select("key", F.posexplode(F.arrays_zip("starts", "ends")).alias("at", "unit")).select(
         F.col("key").alias(key), (F.col("at") + 1).alias("sentence_no"), F.col("unit.starts").alias("start_char"), F.col("unit.ends").alias("end_char")
     )
