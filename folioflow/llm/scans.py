@@ -165,7 +165,7 @@ def corrections(words: DataFrame, total: int, times: float = 8.0) -> DataFrame:
     plain = F.col("word").rlike(r"^[\p{L}'\-]+$")
     odd = F.col("word").rlike(r"[^\p{L}'\-]")
     shape = "variant string, word string, n bigint"
-    rare = words.filter((F.length("word") >= 3) & (odd | (F.col("n") <= total * 2e-4))).mapInPandas(explode, shape).select("variant", "word", "n")
+    rare = words.filter((F.length("word") >= 3) & (odd | (F.col("n") <= max(50, total * 2e-4)))).mapInPandas(explode, shape).select("variant", "word", "n")
     known = words.filter((F.length("word") >= 2) & plain & (F.col("n") >= 2)).mapInPandas(explode, shape).select("variant", F.col("word").alias("repair"), F.col("n").alias("m"))
     rare = rare.withColumn("odd", odd)
     pairs = (
@@ -438,7 +438,7 @@ def line_noise(chunks: DataFrame, metadata: DataFrame, pages: DataFrame) -> dict
     total = words.agg(F.sum("n").alias("n")).first()["n"] or 0
     fixes = written(corrections(words, total), "corrections")
     # what looks like a misread number is a name (B12) only if it is frequent
-    named = ~F.upper("word").rlike(f"^(?:{_BROKEN_NUMBER.pattern})$") | (F.col("n") >= 1e-4 * total)
+    named = ~F.upper("word").rlike(f"^(?:{_BROKEN_NUMBER.pattern})$") | (F.col("n") >= max(20, 1e-4 * total))
     sound = words.join(fixes, "word", "left_anti").filter((F.col("n") >= 2) & named).orderBy(F.desc("n"), "word").limit(COMMON_WORDS)
     marks = written(_marks(scanned, edges, {r["word"] for r in sound.select("word").toLocalIterator()}), "marks")
     # the second half of a word broken at a chunk's end is the first word of the next chunk with a body
