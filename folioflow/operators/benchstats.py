@@ -50,3 +50,14 @@ def regret(adaptive: Column, first: Column, second: Column) -> Column:
 def coefficient_of_variation(value: Column) -> Column:
     mean = F.avg(value)
     return F.when(mean > 0, F.coalesce(F.stddev_samp(value), F.lit(0.0)) / mean).otherwise(F.lit(0.0))
+
+
+def cluster_result(pages: Column, wall: Column, busy: Column, workers: Column, base: Column) -> Column:
+    """Struct (throughput, overhead_percent, speedup, efficiency) of a run on several workers."""
+    gain = speedup(F.coalesce(base, wall), wall)
+    return F.struct(
+        F.when(wall > 0, pages / wall).otherwise(F.lit(0.0)).alias("throughput"),
+        F.when(wall > 0, F.greatest(F.lit(0.0), wall - busy) / wall * 100.0).otherwise(F.lit(0.0)).alias("overhead_percent"),
+        gain.alias("speedup"),
+        F.when(workers > 0, gain / workers).otherwise(F.lit(0.0)).alias("efficiency"),
+    )

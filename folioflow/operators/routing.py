@@ -94,3 +94,18 @@ def held_devices(decisions: DataFrame, source: str, time: str, key: str, device:
 
     several = cut.withColumn("several", F.floor(F.col("piece") / 500))
     return several.groupBy("source", "several").applyInPandas(fold, f"key {kind}, device string, held boolean").withColumnRenamed("key", key)
+
+
+def reading_strategy(kind: Column) -> Column:
+    """How a page is read by its type; an unknown one is read directly."""
+    return F.when(kind == "scanned", "ocr").when(kind == "mixed", "mixed").otherwise("direct_text")
+
+
+def executed_device(chosen: Column, failed: Column) -> Column:
+    """Struct (device, fallback): a failed accelerator falls back to the processor."""
+    back = failed & (chosen != "CPU")
+    return F.struct(F.when(back, "CPU").otherwise(chosen).alias("device"), back.alias("fallback"))
+
+
+def is_costly(seconds_a_page: Column, density: Column) -> Column:
+    return (seconds_a_page > 2.0) | (density > 1.5)
