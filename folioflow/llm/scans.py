@@ -506,10 +506,107 @@ def _misread(marks: DataFrame, fixes: DataFrame) -> DataFrame:
     return single.unionByName(numbers).unionByName(split)
 
 
+def choose_repairs(misread: DataFrame, bigrams: np.ndarray) -> DataFrame:
+    """(chunk_id, line_no, raw, repair, part): of equally near repairs the one that follows the word before most often."""
+    counts = misread.sparkSession.sparkContext.broadcast(bigrams)  # BIGRAM_BUCKETS numbers
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for raw, before, repairs in zip(pdf["raw"], pdf["before"], pdf["repairs"], strict=True):
+                if repairs is None or not len(repairs):
+                    out.append("".join(DIGITS.get(c, c) for c in raw) if _BROKEN_NUMBER.fullmatch(raw) else raw)
+                    continue
+                near = [r["repair"] for r in repairs if r["cost"] <= repairs[0]["cost"] + 0.01]
+                best = max(near, key=lambda w: counts.value[_bucket(before or "", w)]) if len(near) > 1 else near[0]
+                out.append(best.upper() if raw.isupper() and len(raw) > 1 else best.capitalize() if raw[:1].isupper() else best)
+            yield pdf[["chunk_id", "line_no", "raw", "part"]].assign(repair=out)
+
+    return misread.select("chunk_id", "line_no", "raw", "before", "repairs", "part").mapInPandas(pick, "chunk_id string, line_no int, raw string, part int, repair string")
+
+
+def paragraphs_of(text: str, drop: set[int], broken: set[int], fixes: dict[int, list[tuple[str, str]]]) -> list[tuple[str, bool]]:
+    """(paragraph, whether a word of it is carried on in the next chunk) from the lines of a chunk.
+
+    A paragraph ends at a blank line, after a short line that ends a sentence, and around
+    heading lines; running lines and page numbers between its lines do not end it.
+    """
+    lines = _LINES.split(text)
+    kept = [(i, x.rstrip()) for i, x in enumerate(lines) if i not in drop]
+    widths = sorted(len(x) for _, x in kept if x.strip())
+    usual = widths[len(widths) // 2] if widths else 0
+    out: list[str] = []
+    now = ""
+    glue = ""
+    for n, (i, line) in enumerate(kept):
+        if not line.strip():
+            if now and not glue == "broken":
+                out.append(now)
+                now, glue = "", ""
+            continue
+        line = line.strip()
+        for raw, repair in fixes.get(i, []):
+            line = re.sub(rf"(?<!\w){re.escape(raw)}(?!\w)", lambda _, repair=repair: repair, line, count=1)
+        end = line[-1:]
+        later = next((x.strip() for _, x in kept[n + 1 :] if x.strip()), "")
+        heading = len(line) < 60 and end not in ".,;:?!-" and later[:1].isupper() and (not now or now[-1:] in ".?!")
+        if now and heading:
+            out.append(now)
+            now, glue = "", ""
+        if i in broken:
+            line = line.rstrip(HYPHENS)
+        now = now + ("" if glue else " ") + line if now else line
+        glue = "broken" if i in broken else "hyphen" if end in HYPHENS and end else ""
+        if heading or (end in ".?!" and len(line) < 0.7 * usual):
+            out.append(now)
+            now, glue = "", ""
+    if now:
+        out.append(now)
+    return [(p, glue == "broken" and k == len(out) - 1) for k, p in enumerate(out)]
+
+
+def repaired_paragraphs(chunks: DataFrame, metadata: DataFrame, pages: DataFrame) -> DataFrame:
+    """(document_id, chunk_index, chunk_id, paragraph_no, text, carried_on) of scanned chunks.
+
+    Running lines and page numbers are taken out, broken words joined, misread words and numbers
+    repaired, lines joined into paragraphs. ``carried_on`` says that the last word goes on in
+    the next chunk. Nulls, empty texts and repeated rows as in ``line_noise``.
+    """
+    found = line_noise(chunks, metadata, pages)
+    scanned = found["scanned"]
+    repairs = choose_repairs(found["misread"], bigram_table(scanned))
+    of = lambda df, name: df.groupBy("chunk_id").agg(F.collect_set("line_no").alias(name))
+    # a misread word that is broken over two lines is repaired once its halves are joined
+    fixed = repairs.filter(F.col("part") == 0).groupBy("chunk_id").agg(F.collect_list(F.struct("line_no", "raw", "repair")).alias("fixes"))
+    rows = scanned.join(of(found["edges"], "drop"), "chunk_id", "left").join(of(found["hyphens"], "broken"), "chunk_id", "left").join(fixed, "chunk_id", "left")
+
+    def mend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        listed = lambda x: set() if x is None else {int(i) for i in x}
+        for pdf in batches:
+            out = []
+            for doc, idx, cid, text, drop, broken, fixes in zip(*[pdf[c] for c in ("document_id", "chunk_index", "chunk_id", "text", "drop", "broken", "fixes")], strict=True):
+                by: dict[int, list[tuple[str, str]]] = {}
+                for f in [] if fixes is None else fixes:
+                    by.setdefault(int(f["line_no"]), []).append((f["raw"], f["repair"]))
+                out += [(doc, idx, cid, k, p, on) for k, (p, on) in enumerate(paragraphs_of(text, listed(drop), listed(broken), by))]
+            frame = pd.DataFrame(out, columns=["document_id", "chunk_index", "chunk_id", "paragraph_no", "text", "carried_on"])
+            frame["chunk_index"] = frame["chunk_index"].astype("Int32")
+            yield frame
+
+    return rows.select("document_id", "chunk_index", "chunk_id", "text", "drop", "broken", "fixes").mapInPandas(
+        mend, "document_id string, chunk_index int, chunk_id string, paragraph_no int, text string, carried_on boolean"
+    )
+
+
+def p4_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired paragraphs of all scanned chunks."""
+    return repaired_paragraphs(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "doc_metadata"), table(spark, sf_dir, "page_validation"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chunk_id, noise_kind, line_no) of the noisy lines of scanned chunks."""
     return line_noise(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "doc_metadata"), table(spark, sf_dir, "page_validation"))["noise"]
 
 
-QUERIES = {"p4_found": p4_found}
+QUERIES = {"p4_found": p4_found, "p4_paragraphs": p4_paragraphs}
 SQL: dict[str, str] = {}

@@ -128,5 +128,14 @@ def test_scan_noise(spark):
     v = spark.createDataFrame([("doc5", 1, True)], "document_id string, page_number int, confidence_valid boolean")
     got = {tuple(x) for x in S.line_noise(c, m, v)["noise"].select("chunk_id", "noise_kind", "line_no").collect() if x.chunk_id != "flat"}
     assert got == want
+    mended = {r.chunk_id: r.text for r in S.repaired_paragraphs(c, m, v).orderBy("chunk_id", "paragraph_no").collect()}
+    assert "garden " in mended["0-2"] and " winter " in mended["0-2"] and "silver 105" in mended["0-2"] and "half-yellow" in mended["0-4"] and "Hosp" not in mended["0-2"] and "Page" not in mended["0-2"]
     empty = S.line_noise(c.limit(0), m.limit(0), v.limit(0))["noise"]
     assert empty.count() == 0
+
+
+def test_paragraphs():
+    lines = ["Plan", "The first line of a paragraph is long and it has a bro-", "Running head 12", "ken word in it, and m0re.", "", "A second paragraph that stands alone here for once."]
+    got = S.paragraphs_of("\n".join(lines), {2}, {1}, {3: [("m0re", "more")]})
+    assert got == [("Plan", False), ("The first line of a paragraph is long and it has a broken word in it, and more.", False), (lines[5], False)]
+    assert S.paragraphs_of("ends in a bro-", set(), {0}, {}) == [("ends in a bro", True)] and S.paragraphs_of("", set(), set(), {}) == []
