@@ -148,7 +148,7 @@ def device_crossover(spark: SparkSession, d: str) -> DataFrame:
 def oracle_agreement(spark: SparkSession, d: str) -> DataFrame:
     r = _decisions(spark, d).filter(F.col("device").isin("CPU", "GPU"))
     best = r.groupBy("policy_version").agg(F.when(F.round(F.avg(F.when(F.col("device") == "GPU", F.col("ms"))), 6) < F.round(F.avg(F.when(F.col("device") == "CPU", F.col("ms"))), 6), "GPU").otherwise("CPU").alias("oracle"))
-    return r.join(F.broadcast(best), "policy_version").groupBy("policy_version", "oracle").agg(F.round(F.avg((F.col("device") == F.col("oracle")).cast("int")), 6).alias("agreement"))  # a row a policy
+    return r.join(best, "policy_version").groupBy("policy_version", "oracle").agg(F.round(F.avg((F.col("device") == F.col("oracle")).cast("int")), 6).alias("agreement"))
 
 
 def device_rules(spark: SparkSession, d: str) -> DataFrame:
