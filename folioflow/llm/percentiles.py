@@ -108,12 +108,17 @@ def radix_percentiles(df: DataFrame, value: str, groups: Sequence[str], percenti
 
     Four passes of 16 bits; after each, only the digits that hold a target rank are followed,
     so a pass shuffles at most (groups x percentiles x 65536) counts and in practice far
-    fewer. Null values are not counted, a null group is a group, an empty table gives no rows.
+    fewer. The integers are written to the shared folder once. Null values are not counted, a
+    null group is a group, an empty table gives no rows.
     """
     keys = [f"g{i}" for i in range(len(groups))]
-    rows = df.filter(F.col(value).isNotNull()).select(
-        *[F.coalesce(F.concat(F.lit("v"), F.col(g).cast("string")), F.lit("n")).alias(k) for g, k in zip(groups, keys, strict=True)],
-        ordered_bits(F.col(value)).alias("bits"),
+    # written once: each pass reads group and integer, and nothing is computed again
+    rows = written(
+        df.filter(F.col(value).isNotNull()).select(
+            *[F.coalesce(F.concat(F.lit("v"), F.col(g).cast("string")), F.lit("n")).alias(k) for g, k in zip(groups, keys, strict=True)],
+            ordered_bits(F.col(value)).alias("bits"),
+        ),
+        "bits",
     )
     digit = lambda shift: F.shiftright(F.col("bits"), shift)
     first = rows.groupBy(*keys, digit(64 - DIGIT_BITS).alias("digit")).agg(F.count("*").alias("n"))
@@ -168,7 +173,7 @@ PERCENTILES = (0.5, 0.9, 0.95, 0.99)
 
 def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(target_device, p, n, value): exact percentiles of valid latencies per real device."""
-    valid = written(device_latencies(table(spark, sf_dir, "routing_decisions")).drop("day"), "latency")
+    valid = device_latencies(table(spark, sf_dir, "routing_decisions"))
     return radix_percentiles(valid, "routing_latency_ms", ["target_device"], PERCENTILES)
 
 
