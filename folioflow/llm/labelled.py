@@ -141,6 +141,12 @@ O relatório foi enviado para {email} à tarde.
 {sentence} O documento {id} foi verificado.
 {sentence} Frau {name} wohnt seit kurzem in {address} allein.
 Herr {name} wohnt seit kurzem in {address} allein.
+{sentence} Herr {name} wohnt seit kurzem in {address} allein. {sentence}
+{sentence} Frau {name} wohnt seit kurzem in {address} allein. {sentence}
+Frau {name} wurde heute gesehen.
+{sentence} Frau {name} kam in Begleitung. {sentence}
+{sentence} Mrs. {name} was present. {sentence}
+{sentence} {name}'s mother was present.
 {sentence} Die Tochter {name} ist unter {phone} erreichbar.
 Der Sohn {name} ist unter {phone} erreichbar.
 Der Bericht ging an {email} heraus.
@@ -344,7 +350,7 @@ def _phone(r: random.Random) -> str:
     made = r.choice(
         (
             f"+91 {d(5)} {d(5)}", f"+91-{d(10)}", f"+49 {d(3)} {d(8)}", f"+34 {d(3)} {d(3)} {d(3)}", f"+33 0 {d(2)} {d(2)} {d(2)} {d(2)}", f"+33 {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}",
-            f"+{d(2)} {d(2)} {d(5)}-{d(4)}", f"0091 {d(3)} {d(3)} {d(4)}", f"{d(5)}-{d(5)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(5)} {d(5)}", f"({'0' + d(2)}) {d(3)}-{d(4)}", d(10), f"{d(5)} {d(5)}", f"{d(3)}-{d(3)}-{d(4)}",
+            f"+{d(2)} {d(2)} {d(5)}-{d(4)}", f"0091 {d(3)} {d(3)} {d(4)}", f"{d(5)}-{d(5)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(5)} {d(5)}", f"({'0' + d(2)}) {d(3)}-{d(4)}", d(10), d(10), d(10), f"{d(5)} {d(5)}", f"{d(3)}-{d(3)}-{d(4)}",
         )
     )
     return made.translate(_DEVA_DIGITS) if r.random() < 0.08 else made
