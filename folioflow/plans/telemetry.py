@@ -125,7 +125,7 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 def run_aggregate(spark: SparkSession, d: str) -> DataFrame:
     r = _decisions(spark, d).filter(F.col("ms").isNotNull())
-    first = F.min_by("device", F.struct("ts", "decision_id"))
+    first = F.min_by("device", F.when(F.col("device").isNotNull(), F.struct("ts", "decision_id")))  # the first that is known
     return r.groupBy("policy_version", "applied_rule").agg(
         F.count("*").alias("runs"), F.round(F.avg("ms"), 4).alias("mean_ms"), F.round(F.coalesce(F.stddev_samp("ms"), F.lit(0.0)), 4).alias("std_ms"), F.round(N.coefficient_of_variation(F.col("ms")), 4).alias("cv"),
         F.round(F.count_if(F.col("device") == "GPU") / F.count("*") * 100, 6).alias("gpu_percent"), first.alias("first_device"), (F.count("*") < 5).alias("exploratory"),
@@ -136,7 +136,7 @@ def policy_compare(spark: SparkSession, d: str) -> DataFrame:
     r = _decisions(spark, d).filter(F.col("ms").isNotNull() & F.col("device").isin("CPU", "GPU", "FALLBACK"))
     w = r.groupBy("policy_version").pivot("device", ["CPU", "FALLBACK", "GPU"]).agg(F.avg("ms"))
     reg = N.regret(F.col("FALLBACK"), F.col("CPU"), F.col("GPU"))
-    return w.select("policy_version", F.round("CPU", 6).alias("cpu_ms"), F.round("GPU", 6).alias("gpu_ms"), F.round("FALLBACK", 6).alias("fallback_ms"), F.round(reg, 4).alias("regret"), F.round(N.speedup(F.col("CPU"), F.col("GPU")), 4).alias("speedup"), F.round(N.percent_change(F.col("CPU"), F.col("GPU")), 3).alias("change"))
+    return w.select("policy_version", F.round("CPU", 9).alias("cpu_ms"), F.round("GPU", 9).alias("gpu_ms"), F.round("FALLBACK", 9).alias("fallback_ms"), F.round(reg, 4).alias("regret"), F.round(N.speedup(F.col("CPU"), F.col("GPU")), 4).alias("speedup"), F.round(N.percent_change(F.col("CPU"), F.col("GPU")), 3).alias("change"))
 
 
 def device_crossover(spark: SparkSession, d: str) -> DataFrame:
@@ -183,7 +183,7 @@ def cache_misses(spark: SparkSession, d: str) -> DataFrame:
     return c.join(cache_latest(spark, d).filter(~F.col("corrupt")).select("cache_key"), "cache_key", "left_anti").agg(F.count("*").alias("misses"))
 
 
-_SN = """(SELECT snapshot_id, node_id, "timestamp" AS ts, CASE WHEN cpu_percent >= 0 AND cpu_percent <= 100 THEN cpu_percent END AS cpu, CASE WHEN memory_percent >= 0 AND memory_percent <= 100 THEN memory_percent END AS memory, gpu_available, gpu_utilization_percent AS gpu, queue_length, active_workers
+_SN = """(SELECT snapshot_id, node_id, "timestamp" AS ts, CASE WHEN cpu_percent >= 0 AND cpu_percent <= 100 AND NOT isnan(cpu_percent) THEN cpu_percent END AS cpu, CASE WHEN memory_percent >= 0 AND memory_percent <= 100 AND NOT isnan(memory_percent) THEN memory_percent END AS memory, gpu_available, gpu_utilization_percent AS gpu, queue_length, active_workers
  FROM (SELECT DISTINCT ON (snapshot_id) * FROM resource_snapshots))"""
 _DE = """(SELECT decision_id, node_id, "timestamp" AS ts, regexp_replace(upper(trim(target_device, ' ')), '\\.[0-9]+$', '') AS device, CASE WHEN routing_latency_ms > 0 AND NOT isnan(routing_latency_ms) AND NOT isinf(routing_latency_ms) THEN routing_latency_ms END AS ms, policy_version, applied_rule, page_number, confidence, document_id
  FROM (SELECT DISTINCT ON (decision_id) * FROM routing_decisions))"""
@@ -214,9 +214,9 @@ SELECT *, CASE action WHEN 'scale_out' THEN least(nodes + 2, nodes * 2) WHEN 'sc
     "event_rollup": "SELECT event_type, day, count(*) AS n, round(sum(value), 4) AS total, CAST(grouping(event_type, day) AS BIGINT) AS level FROM (SELECT *, CAST(ts AS DATE) AS day FROM events) GROUP BY ROLLUP (event_type, day)",
     "routing_metrics": f"SELECT device, count(*) AS decisions, count(ms) AS timed, round(avg(ms), 4) AS mean_ms, round(avg(confidence), 6) AS confidence, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM {_DE} GROUP BY device",
     "latency_percentiles": f"SELECT device, n, max(ms) FILTER (r = greatest(0, ceil(n * 0.95::DOUBLE) - 1)) AS nearest, max(ms) FILTER (r = least(n - 1, floor(n * 0.95::DOUBLE))) AS floor_index, round(quantile_cont(ms, 0.95), 6) AS linear FROM {_PCT} GROUP BY device, n",
-    "run_aggregate": f"SELECT policy_version, applied_rule, count(*) AS runs, round(avg(ms), 4) AS mean_ms, round(coalesce(stddev_samp(ms), 0), 4) AS std_ms, round(coalesce(stddev_samp(ms), 0) / avg(ms), 4) AS cv, round(count(*) FILTER (device = 'GPU') / count(*) * 100, 6) AS gpu_percent, arg_min(device, {{'a': ts, 'b': decision_id}}) AS first_device, count(*) < 5 AS exploratory FROM {_DE} WHERE ms IS NOT NULL GROUP BY 1, 2",
+    "run_aggregate": f"SELECT policy_version, applied_rule, count(*) AS runs, round(avg(ms), 4) AS mean_ms, round(coalesce(stddev_samp(ms), 0), 4) AS std_ms, round(coalesce(stddev_samp(ms), 0) / avg(ms), 4) AS cv, round(count(*) FILTER (device = 'GPU') / count(*) * 100, 6) AS gpu_percent, arg_min(device, {{'a': ts, 'b': decision_id}}) FILTER (device IS NOT NULL) AS first_device, count(*) < 5 AS exploratory FROM {_DE} WHERE ms IS NOT NULL GROUP BY 1, 2",
     "policy_compare": f"""WITH w AS (SELECT policy_version, avg(ms) FILTER (device = 'CPU') AS c, avg(ms) FILTER (device = 'GPU') AS g, avg(ms) FILTER (device = 'FALLBACK') AS f FROM {_DE} WHERE ms IS NOT NULL AND device IN ('CPU', 'GPU', 'FALLBACK') GROUP BY 1)
-SELECT policy_version, round(c, 6) AS cpu_ms, round(g, 6) AS gpu_ms, round(f, 6) AS fallback_ms, round((f - least(c, g)) / least(c, g), 4) AS regret, round(c / g, 4) AS speedup, round((g - c) / c * 100, 3) AS change FROM w""",
+SELECT policy_version, round(c, 9) AS cpu_ms, round(g, 9) AS gpu_ms, round(f, 9) AS fallback_ms, round((f - least(c, g)) / least(c, g), 4) AS regret, round(c / g, 4) AS speedup, round((g - c) / c * 100, 3) AS change FROM w""",
     "device_crossover": f"WITH w AS (SELECT page_number, round(avg(ms) FILTER (device = 'CPU'), 6) AS c, round(avg(ms) FILTER (device = 'GPU'), 6) AS g FROM {_DE} WHERE ms IS NOT NULL AND page_number IS NOT NULL GROUP BY 1) SELECT min(page_number) FILTER (g < c) AS crossover, count(*) FILTER (g < c) AS pages_gpu_faster FROM w",
     "oracle_agreement": f"WITH r AS (SELECT * FROM {_DE} WHERE device IN ('CPU', 'GPU')), b AS (SELECT policy_version, CASE WHEN round(avg(ms) FILTER (device = 'GPU'), 6) < round(avg(ms) FILTER (device = 'CPU'), 6) THEN 'GPU' ELSE 'CPU' END AS oracle FROM r GROUP BY 1) SELECT policy_version, oracle, round(avg(CAST(device = oracle AS INTEGER)), 6) AS agreement FROM r JOIN b USING (policy_version) GROUP BY 1, 2",
     "device_rules": f"""WITH s AS (SELECT *, coalesce(cpu, -1) AS c, coalesce(memory, -1) AS m, round((snapshot_id % 100) / 100.0::DOUBLE, 2) AS e FROM {_SN}),

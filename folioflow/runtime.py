@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,27 @@ from pyspark.sql import functions as F
 _SCRATCH: list[tuple[SparkSession, str]] = []
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers, once a context, if they would not find it themselves.
+
+    They do where the folder that holds the package is in PYTHONPATH or is the working folder.
+    """
+    root = Path(__file__).resolve().parents[1]
+    known = [Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p]
+    app = spark.sparkContext.applicationId
+    if root in known or app in _SHIPPED:
+        return
+    made = Path(tempfile.mkdtemp(prefix="folioflow-")) / "folioflow.zip"
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted((root / "folioflow").rglob("*.py")):
+            out.write(path, path.relative_to(root))
+    spark.sparkContext.addPyFile(str(made))
+    _SHIPPED.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
