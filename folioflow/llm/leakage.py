@@ -7,7 +7,8 @@ embeds each window so that edit distance becomes Hamming distance, and bit sampl
 several tables looks the windows of all documents up among those of the held-out passages.
 A pair of a document and a passage that shares enough windows is then verified exactly: the
 edit distance of every block of the passage within the stretch of the document, by the
-bit-parallel algorithm of Myers (1999) run over all pairs at once.
+bit-parallel algorithm of Myers (1999) run over all pairs at once. Only then stock wording is
+judged, block by block, by the number of documents that hold it.
 
 The passages are the stated query set: they are taken in blocks, each block one pass over the
 documents, and no document is ever compared with another.
@@ -22,10 +23,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.runtime import spread, table
+from folioflow.runtime import spread, table, written
 
 #: Characters of a window, and steps of the walk over it.
 WINDOW, STEPS = 48, 96
@@ -37,6 +38,10 @@ SAMPLED, TABLES = 14, 6
 BLOCK = 40
 #: Passages in one pass over the documents.
 PASS_CASES = 1000
+#: Stock wording: blocks held by so many documents and this share of all, and this many times those that hold the whole passage.
+STOCK_DOCUMENTS, STOCK_SHARE, STOCK_TIMES = 20, 0.01, 10
+#: Share of a passage from which a copy counts as whole.
+WHOLE = 0.8
 # Characters that are read as another in copied text.
 LOOKALIKES = dict(zip("авекмнорстухіѕјԁɡһԛԝοανρτυικ0135$@|!ıß", "abekmhopctyxlsjdghqwoavptulkolessalllls", strict=False)) | {"i": "l", "l": "l", "ö": "o"}
 
@@ -122,11 +127,10 @@ class Passages:
     """The LSH tables and the verification patterns of a block of passages."""
 
     ids: list[str]
-    windows: np.ndarray  # evidence windows of each passage
+    windows: np.ndarray  # windows of each passage
     table_keys: list[np.ndarray]  # sorted
     table_case: list[np.ndarray]
     table_window: list[np.ndarray]
-    table_at: list[np.ndarray]
     filters: list[np.ndarray]
     lengths: np.ndarray
     block_case: np.ndarray
@@ -139,24 +143,14 @@ def index_passages(ids: list[str], texts: list[str]) -> Passages:
     stream, bounds = streams(texts)
     starts, of = window_starts(stream, bounds)
     keys = embed(stream, starts)
-    # a window that other passages have as well is a stock phrase and no evidence
-    shared = np.zeros(len(starts), bool)
-    for t in range(TABLES):
-        _, inverse = np.unique(keys[t], return_inverse=True)
-        low = np.full(inverse.max(initial=-1) + 1, len(ids))
-        high = np.full(inverse.max(initial=-1) + 1, -1)
-        np.minimum.at(low, inverse, of)
-        np.maximum.at(high, inverse, of)
-        shared |= (low != high)[inverse]
-    own = ~shared
-    orders = [np.argsort(keys[t][own], kind="stable") for t in range(TABLES)]
-    table_keys = [keys[t][own][o] for t, o in enumerate(orders)]
+    # windows that several passages have make candidates of all of them
+    orders = [np.argsort(keys[t], kind="stable") for t in range(TABLES)]
+    table_keys = [keys[t][o] for t, o in enumerate(orders)]
     filters = []
     for k in table_keys:
         seen = np.zeros(1 << 20, bool)
         seen[(k & np.uint64((1 << 20) - 1)).astype("i8")] = True
         filters.append(seen)
-    windows = np.flatnonzero(own)
     used = np.unique(stream)
     symbols = np.zeros(65536, "u2")
     symbols[used] = np.arange(1, len(used) + 1)
@@ -173,11 +167,10 @@ def index_passages(ids: list[str], texts: list[str]) -> Passages:
             patterns[r, symbols[c]] |= np.uint64(1 << j)
     return Passages(
         ids,
-        np.bincount(of[own], minlength=len(ids)),
+        np.bincount(of, minlength=len(ids)),
         table_keys,
-        [of[own][o] for o in orders],
-        [windows[o] for o in orders],
-        [(starts - bounds[of])[own][o] for o in orders],
+        [of[o] for o in orders],
+        orders,
         filters,
         np.diff(bounds),
         np.array(block_case, int),
@@ -188,7 +181,7 @@ def index_passages(ids: list[str], texts: list[str]) -> Passages:
 
 
 def _pairs(p: Passages, stream: np.ndarray, bounds: np.ndarray, least_windows: float, apart: int) -> pd.DataFrame:
-    """(text, case, low, high): pairs that share enough evidence windows in one stretch, and the stretch."""
+    """(text, case, low, high): pairs that share enough windows in one stretch, and the stretch."""
     starts, of = window_starts(stream, bounds)
     keys = embed(stream, starts)
     hits = []
@@ -200,9 +193,9 @@ def _pairs(p: Passages, stream: np.ndarray, bounds: np.ndarray, least_windows: f
         n = np.searchsorted(p.table_keys[t], keys[t][maybe], "right") - a
         row = np.repeat(np.arange(len(maybe)), n)
         col = np.repeat(a, n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        hits.append(np.stack([of[maybe[row]], p.table_case[t][col], p.table_window[t][col], starts[maybe[row]], p.table_at[t][col]], 1))
-    columns = ["text", "case", "window", "start", "at"]
-    found = pd.DataFrame(np.concatenate(hits) if hits else np.zeros((0, 5), int), columns=columns)
+        hits.append(np.stack([of[maybe[row]], p.table_case[t][col], p.table_window[t][col], starts[maybe[row]]], 1))
+    columns = ["text", "case", "window", "start"]
+    found = pd.DataFrame(np.concatenate(hits) if hits else np.zeros((0, 4), int), columns=columns)
     if not len(found):
         return pd.DataFrame({c: np.zeros(0, int) for c in ("text", "case", "low", "high")})
     found = found.drop_duplicates(["text", "case", "window", "start"]).sort_values(["text", "case", "start"], kind="stable")
@@ -249,8 +242,8 @@ def _distances(p: Passages, blocks: np.ndarray, texts: list[np.ndarray], of: np.
     return best, place
 
 
-def _copied(distance: np.ndarray, place: np.ndarray, length: np.ndarray, far: float, slack: int, apart: int) -> float:
-    """Share of a passage that a document copies: characters in runs of blocks found in order."""
+def _copied(distance: np.ndarray, place: np.ndarray, length: np.ndarray, far: float, slack: int, apart: int) -> tuple[float, list[int]]:
+    """Share of a passage that a document copies, characters in runs of blocks found in order, and those blocks."""
     n = len(length)
     ok = distance <= far * length
     run = np.zeros(n, bool)
@@ -260,7 +253,7 @@ def _copied(distance: np.ndarray, place: np.ndarray, length: np.ndarray, far: fl
     if n == 1:
         run = ok
     at = np.flatnonzero(run)
-    best = np.zeros(len(at))
+    best, back = np.zeros(len(at)), np.full(len(at), -1)
     # edits count against a block: what only follows the same pattern differs in most of its blocks
     weight = length * (1 - 0.75 * distance / (far * length))
     for x, i in enumerate(at):
@@ -268,14 +261,18 @@ def _copied(distance: np.ndarray, place: np.ndarray, length: np.ndarray, far: fl
         for y in range(x):
             k = at[y]
             step = place[i] - place[k]
-            if 0 < step <= length[k + 1 : i + 1].sum() + apart:
-                before = max(before, best[y])
+            if 0 < step <= length[k + 1 : i + 1].sum() + apart and best[y] > before:
+                before, back[x] = best[y], y
         best[x] = before + weight[i]
-    return float(best.max(initial=0.0)) / max(1, int(length.sum()))
+    held, x = [], int(best.argmax()) if len(at) else -1
+    while x >= 0:
+        held.append(int(at[x]))
+        x = back[x]
+    return float(best.max(initial=0.0)) / max(1, int(length.sum())), held[::-1]
 
 
-def find_copies(p: Passages, texts: list[str], share: float, far: float, least_windows: float, apart: int) -> list[tuple[int, int, float]]:
-    """(text number, case number, share copied) of texts that carry a passage."""
+def find_copies(p: Passages, texts: list[str], share: float, far: float, least_windows: float, apart: int) -> list[tuple[int, int, float, list[int]]]:
+    """(text number, case number, share copied, blocks copied) of texts that carry a passage."""
     stream, bounds = streams(texts)
     pairs = _pairs(p, stream, bounds, least_windows, apart)
     if not len(pairs):
@@ -297,12 +294,30 @@ def find_copies(p: Passages, texts: list[str], share: float, far: float, least_w
         distance, place = _distances(p, np.concatenate(blocks), stretches, of)
         for k, x in enumerate(part):
             mine = of == k
-            copied = _copied(distance[mine], place[mine], p.block_length[blocks[k]], far, BLOCK * 2 // 5, apart)
+            copied, held = _copied(distance[mine], place[mine], p.block_length[blocks[k]], far, BLOCK * 2 // 5, apart)
             if copied >= share:
-                out.append((int(text[x]), int(case[x]), copied))
+                out.append((int(text[x]), int(case[x]), copied, held))
     return out
 
 
+def _without_stock(found: DataFrame, lengths: list[tuple[int, list[int]]], documents: DataFrame, least: float) -> DataFrame:
+    """Pairs that hold the whole passage, or more of it than wording that very many documents hold."""
+    spark = found.sparkSession
+    blocks = spark.createDataFrame(lengths, "passage_no int, lengths array<int>")
+    whole = found.groupBy("passage_no").agg(F.count(F.when(F.col("copied") >= WHOLE, 1)).alias("whole"))
+    holders = found.select("passage_no", F.explode("held").alias("block")).groupBy("passage_no", "block").agg(F.count("*").alias("holders"))
+    many = documents.agg(F.greatest(F.lit(float(STOCK_DOCUMENTS)), F.count("*") * STOCK_SHARE).alias("many"))
+    stock = holders.join(whole, "passage_no").crossJoin(F.broadcast(many)).filter((F.col("holders") >= F.col("many")) & (F.col("holders") >= STOCK_TIMES * F.col("whole")))
+    stock = stock.groupBy("passage_no").agg(F.collect_list("block").alias("stock")).join(blocks, "passage_no")
+
+    def own(at: str | Column) -> Column:
+        return F.aggregate(F.array_except(at, "stock"), F.lit(0), lambda n, b: n + F.get("lengths", b))
+
+    total = own(F.sequence(F.lit(0), F.size("lengths") - 1))
+    kept = F.col("stock").isNull() | (F.col("copied") >= WHOLE) | ((own("held") > 0) & (own("held") >= least * total))
+    return found.join(stock, "passage_no", "left").filter(kept).select("key", "passage_no", "copied")
+
+
 def leaked_passages(
     documents: DataFrame,
     cases: DataFrame,
@@ -323,24 +338,34 @@ def leaked_passages(
     order, foreign text of up to ``apart`` characters between them. ``share`` lies a little under
     the wanted 40 percent of words, for a run loses part of a block at either end.
 
+    Blocks of a passage that very many documents hold, far more than hold the whole passage,
+    are stock wording; a document that holds less than ``least_windows`` of the other blocks'
+    characters is no copy. Wording that passages share counts for each of them.
+
     Null and blank texts and passages give no rows; passages shorter than a window are found
-    only if they hold one. A passage given twice under a key counts once, the first by text.
+    only if they hold one. A passage given twice under a key counts once, the first by text;
+    the same passage under several keys is reported for each.
     Repeated documents are documents of their own. Texts are read whole.
     """
     spark = documents.sparkSession
     # the query set: not a table that grows with the corpus, and read in blocks all the same
     asked = cases.filter(F.col(passage).isNotNull() & F.col(case_key).isNotNull()).groupBy(F.col(case_key).cast("string").alias("case")).agg(F.min(passage).alias("passage"))
-    held = [(r["case"], r["passage"]) for r in asked.orderBy("case").toLocalIterator()]
+    same: dict[bytes, tuple[str, list[str]]] = {}
+    for r in asked.orderBy("case").toLocalIterator():
+        same.setdefault(streams([r["passage"]])[0].tobytes(), (r["passage"], []))[1].append(r["case"])
+    held = [(ids, t) for t, ids in same.values()]
     kind = documents.schema[key].dataType.simpleString()
     rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") >= WINDOW)
     rows = spread(rows)
-    schema = f"key {kind}, case_key string, copied double"
+    schema = f"key {kind}, passage_no int, copied double, held array<int>"
     found = spark.createDataFrame([], schema)
+    lengths = []
     for i in range(0, len(held), PASS_CASES):
         block = held[i : i + PASS_CASES]
-        passages = spark.sparkContext.broadcast(index_passages([c for c, _ in block], [t for _, t in block]))
+        passages = spark.sparkContext.broadcast(index_passages([str(i + n) for n in range(len(block))], [t for _, t in block]))
+        lengths += [(i + n, passages.value.block_length[passages.value.block_case == n].tolist()) for n in range(len(block))]
 
-        def look(batches: Iterator[pd.DataFrame], passages=passages) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+        def look(batches: Iterator[pd.DataFrame], passages=passages, base=i) -> Iterator[pd.DataFrame]:  # noqa: ANN001
             for pdf in batches:
                 keys, texts = pdf["key"], pdf["text"].tolist()
                 size, start = 0, 0
@@ -351,13 +376,20 @@ def leaked_passages(
                         hits = find_copies(passages.value, texts[start : at + 1], share, far, least_windows, apart)
                         if hits:
                             yield pd.DataFrame(
-                                {"key": keys.iloc[[start + x for x, _, _ in hits]].to_numpy(), "case_key": [passages.value.ids[c] for _, c, _ in hits], "copied": [s for _, _, s in hits]}
+                                {
+                                    "key": keys.iloc[[start + x for x, _, _, _ in hits]].to_numpy(),
+                                    "passage_no": [base + c for _, c, _, _ in hits],
+                                    "copied": [s for _, _, s, _ in hits],
+                                    "held": [h for _, _, _, h in hits],
+                                }
                             )
                         size, start = 0, at + 1
 
         part = rows.mapInPandas(look, schema)
         found = part if i == 0 else found.unionByName(part)
-    return found.select(F.col("key").alias(key), F.col("case_key").alias(case_key), "copied")
+    found = _without_stock(written(found), lengths, documents, least_windows)
+    names = spark.createDataFrame([(n, c) for n, (ids, _) in enumerate(held) for c in ids], "passage_no int, case_key string")
+    return found.join(names, "passage_no").select(F.col("key").alias(key), F.col("case_key").alias(case_key), "copied")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,23 @@ def test_leaks(spark):
     assert L.leaked_passages(df.limit(0), cases).count() == 0 and L.leaked_passages(df, cases.limit(0)).count() == 0
 
 
+def test_leaks_of_passages_that_share_wording(spark, monkeypatch):
+    r = random.Random(7)
+    one, two, half, stock = passage(r), passage(r), passage(r, 45), passage(r, 60)
+    held = [("a", one), ("b", one), ("in", two), ("out", f"{two} {passage(r, 30)}"), ("x", f"{half} {passage(r, 45)}"), ("y", f"{passage(r, 45)} {half}")]
+    held += [("s", f"{stock} {passage(r, 40)}"), ("t", f"{passage(r, 40)} {stock}")]
+    leaks = [one, two, half, held[3][1], held[6][1], held[7][1]]
+    bodies = [f"{passage(r, 60)} {x} {passage(r, 60)}" for x in leaks] + [f"{passage(r, 60)} {stock} {passage(r, 60)}" for _ in range(40)] + [passage(r, 120) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id bigint, text string")
+    truth = {(0, "a"), (0, "b"), (1, "in"), (1, "out"), (2, "x"), (2, "y"), (3, "in"), (3, "out"), (4, "s"), (5, "t")}
+    cases = spark.createDataFrame(held, "case_id string, passage string")
+    for size in (1000, 1, 3):
+        monkeypatch.setattr(L, "PASS_CASES", size)
+        got = {(x.doc_id, x.case_id) for x in L.leaked_passages(docs, cases).collect()}
+        # a copy of s holds the stock wording of t, and the other way round: no leak of t's own words
+        assert got == truth, (size, got ^ truth)
+
+
 def test_edit_distances_are_exact():
     import numpy as np
 
