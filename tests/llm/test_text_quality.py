@@ -57,6 +57,37 @@ def test_leaks_of_passages_that_share_wording(spark, monkeypatch):
         assert got == truth, (size, got ^ truth)
 
 
+def test_candidates_reach_the_stated_recall():
+    import numpy as np
+
+    r = random.Random(11)
+    held = [passage(r) for _ in range(150)]
+    p = L.index_passages([str(i) for i in range(len(held))], held)
+    texts, case = [], []
+    for c, whole in enumerate(held):
+        for share in (0.4, 0.5, 0.7, 1.0):
+            w = whole.split()
+            n = int(np.ceil(share * len(w)))
+            at = r.randint(0, len(w) - n)
+            w = w[at : at + n]
+            edited = "".join(x if r.random() > 0.05 else r.choice(["", r.choice("bcdfg"), x + r.choice("klmnp")]) for x in " ".join(w))
+            texts += [f"{passage(r, 20)} {x} {passage(r, 20)}" for x in (" ".join(w), " ".join(r.choice(WORDS) if i % 8 == 3 else x for i, x in enumerate(w)), edited)]
+            case += [c] * 3
+    stream, bounds = L.streams(texts)
+    pairs = L._pairs(p, stream, bounds, 0.1, 1200)
+    have = set(zip(pairs["text"], pairs["case"], strict=True))
+    hit = want = 0
+    for i in range(0, len(texts), 100):
+        part = range(i, min(i + 100, len(texts)))
+        blocks = [np.flatnonzero(p.block_case == case[k]) for k in part]
+        of = np.repeat(np.arange(len(part)), [len(b) for b in blocks])
+        d, place = L._distances(p, np.concatenate(blocks), [p.symbols[stream[bounds[k] : bounds[k + 1]]] for k in part], of)
+        for x, k in enumerate(part):
+            if L._copied(d[of == x], place[of == x], p.block_length[blocks[x]], 0.2, L.BLOCK * 2 // 5, 1200)[0] >= 0.35:
+                want, hit = want + 1, hit + ((k, case[k]) in have)
+    assert want > 1000 and hit >= 0.99 * want, (hit, want)
+
+
 def test_edit_distances_are_exact():
     import numpy as np
 
