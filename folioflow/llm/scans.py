@@ -3,7 +3,8 @@
 Lines at the edges of pages are compared within their document: what recurs from page to page
 is a running line, a number that counts along with the pages is a page number. Words are judged
 against the frequency lexicon of the whole corpus: a symmetric-delete index, joined and never
-broadcast, gives for each rare form the frequent words near it; a weighted edit distance, cheap
+broadcast, with the form in which confused characters are alike as a further key, gives for each
+rare form the frequent words near it; a weighted edit distance, cheap
 for pairs of characters that scanners confuse, keeps those that a scanner could have made of the
 word, and the word before decides between several. A line that ends in a hyphen is a broken
 word where the lexicon knows the joined word better than the compound.
@@ -110,9 +111,14 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+# Both sides of every pair in CONFUSED come out the same, so any number of confusions leaves the key as it is.
+_ALIKE = {c: to for chars, to in (("eco0", "e"), ("i¡!1|l", "i"), ("a@", "a"), ("tf", "t"), ("s5$", "s"), ("g9q", "g"), ("z2", "z"), ("hb86u", "ii"), ("n", "ri"), ("m", "rri"), ("d", "ei"), ("w", "vv")) for c in chars}
+_ALIKE_TABLE = str.maketrans(_ALIKE)
+
+
 def variants(word: str) -> set[str]:
-    """The word with nothing, one character, or two neighbouring ones left out."""
-    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word))), *(word[:i] + word[i + 2 :] for i in range(len(word) - 1))}
+    """The word with nothing, one character, or two neighbouring ones left out, and with confused characters alike."""
+    return {word, f"={word.translate(_ALIKE_TABLE)}", *(word[:i] + word[i + 1 :] for i in range(len(word))), *(word[:i] + word[i + 2 :] for i in range(len(word) - 1))}
 
 
 def scan_distance(printed: str, read: str, most: float = 0.9) -> float:
@@ -126,8 +132,6 @@ def scan_distance(printed: str, read: str, most: float = 0.9) -> float:
         a, b = a[:-1], b[:-1]
     if (a, b) in _COST:
         return _COST[(a, b)]
-    if max(len(a), len(b)) > 14:
-        return 9.0
     n, m = len(a), len(b)
     d = [[9.0] * (m + 1) for _ in range(n + 1)]
     d[0][0] = 0.0

@@ -146,6 +146,15 @@ def test_scan_distance_and_lines():
     assert [S.page_number(x) for x in ("Page 3 of 9", "- 12 -", "[4]", "iv", "P a g e  7", "Bed 3 / 9", "History", "54")] == [(3, True), (12, True), (4, True), (4, False), (7, True), None, None, (54, False)]
 
 
+def test_two_misread_letters_apart(spark):
+    assert all(S.variants(a) & S.variants(b) for a, b in (("treatment", "trcatmcnt"), ("modern", "rnodem"), ("hand", "liancl")))
+    assert all(a.translate(S._ALIKE_TABLE) == b.translate(S._ALIKE_TABLE) for a, b in S.CONFUSED)
+    assert S.scan_distance("electroencephalogram", "clectroencephalograrn") == 0.8
+    words = spark.createDataFrame([("treatment", 900), ("trcatmcnt", 1), ("electroencephalogram", 500), ("clectroencephalograrn", 1), ("garden", 800)], "word string, n bigint")
+    got = {r.word: [x.repair for x in r.repairs] for r in S.corrections(words, 2202).collect()}
+    assert got == {"trcatmcnt": ["treatment"], "clectroencephalograrn": ["electroencephalogram"]}
+
+
 def test_scan_noise(spark):
     r = random.Random(9)
     body = lambda: " ".join(r.choice(WORDS) for _ in range(9))
