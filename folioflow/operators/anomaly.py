@@ -88,7 +88,12 @@ def run_lengths(value: np.ndarray, valid: np.ndarray) -> np.ndarray:
 def spikes(
     x: np.ndarray, seasonal: np.ndarray, alpha: float, far: float, longest: int, side: int, half: int
 ) -> np.ndarray:
-    """Mask of the spikes of a series of possible readings in order of time."""
+    """Mask of the spikes of a series of possible readings in order of time.
+
+    A spike has at least two readings before it and two after it: excursions at the very ends
+    of a series are none. A series of fewer than ``2 * side`` readings, or fewer than 10, is
+    not tested.
+    """
     n = len(x)
     out = np.zeros(n, bool)
     if n < 2 * side:
