@@ -149,21 +149,24 @@ def real_device(name: Column) -> Column:
 
 
 def device_latencies(decisions: DataFrame) -> DataFrame:
-    """(target_device, routing_latency_ms, day) of valid latencies, each decision once.
+    """(target_device, routing_latency_ms, day) of valid latencies, repeated rows once.
 
     Valid is a finite value above zero: null, NaN, zero and the sentinel -1 are none. Which
-    values were taken in another unit can't be told from the table, so they stay.
-    Rows without a device are left out.
+    values were taken in another unit can't be told from the table, so they stay. Rows without
+    a device are left out. A row is repeated if id, device, value and day agree: of an id with
+    different values each counts, and every row without an id does.
     """
     return (
         decisions.select(
             "decision_id",
+            # rows without an id are kept apart, which also spreads them
+            F.when(F.col("decision_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1)).alias("apart"),
             real_device(F.col("target_device")).alias("target_device"),
             F.col("routing_latency_ms").cast("double").alias("routing_latency_ms"),
             F.to_date("timestamp").alias("day"),
         )
         .filter((F.col("routing_latency_ms") > 0) & (F.col("routing_latency_ms") < float("inf")) & F.col("target_device").isNotNull())
-        .dropDuplicates(["decision_id"])
+        .dropDuplicates(["decision_id", "apart", "target_device", "routing_latency_ms", "day"])
         .select("target_device", "routing_latency_ms", "day")
     )
 
@@ -189,20 +192,33 @@ def p2_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles_from_histogram(merge_histograms(days, ["target_device"]), ["target_device"], PERCENTILES)
 
 
-_VALID_SQL = """valid AS (
-  SELECT DISTINCT decision_id, regexp_replace(upper(trim(target_device)), '\\.[0-9]+$', '') AS target_device,
+_VALID_SQL = """latencies AS (
+  SELECT decision_id, regexp_replace(upper(trim(target_device)), '\\.[0-9]+$', '') AS target_device,
          routing_latency_ms AS v, CAST("timestamp" AS DATE) AS day
   FROM routing_decisions
   WHERE target_device IS NOT NULL AND trim(target_device) <> '' AND routing_latency_ms > 0
     AND NOT isnan(routing_latency_ms) AND routing_latency_ms < CAST('infinity' AS DOUBLE)
-), ranked AS (
+), valid AS (
+  SELECT DISTINCT * FROM latencies WHERE decision_id IS NOT NULL
+  UNION ALL SELECT * FROM latencies WHERE decision_id IS NULL
+)"""
+_RANKED_SQL = f"""{_VALID_SQL}, ranked AS (
   SELECT target_device, v, row_number() OVER (PARTITION BY target_device ORDER BY v) AS rn,
          count(*) OVER (PARTITION BY target_device) AS n
   FROM valid
-), ps AS (SELECT unnest([0.5, 0.9, 0.95, 0.99]::DOUBLE[]) AS p)"""
+), ps AS (SELECT unnest([0.5, 0.9, 0.95, 0.99]::DOUBLE[]) AS p),
+picked AS (SELECT target_device, p, n, v FROM ranked, ps WHERE rn = greatest(1, CAST(ceil(p * n) AS BIGINT)))"""
+# The exponent of a value: a guess by logarithm, put right by comparing with powers of two.
+_EXPONENT = "CAST(floor(log2(v)) AS INTEGER) + CASE WHEN pow(2::DOUBLE, floor(log2(v))) > v THEN -1 WHEN pow(2::DOUBLE, floor(log2(v)) + 1) <= v THEN 1 ELSE 0 END"
 
 QUERIES = {"p2_percentiles": p2_percentiles, "p2_daily_histograms": p2_daily_histograms, "p2_from_days": p2_from_days}
 SQL = {
-    "p2_percentiles": f"""WITH {_VALID_SQL}
-SELECT target_device, p, n, v AS value FROM ranked, ps WHERE rn = greatest(1, CAST(ceil(p * n) AS BIGINT))""",
+    "p2_percentiles": f"WITH {_RANKED_SQL} SELECT target_device, p, n, v AS value FROM picked",
+    # 24 leading bits: sign, eleven bits of the exponent and twelve of the fraction
+    "p2_daily_histograms": f"""WITH {_VALID_SQL}, e AS (SELECT *, {_EXPONENT} AS e FROM valid)
+SELECT day, target_device, CAST((e + 1023) * 4096 + floor((v / pow(2::DOUBLE, e) - 1) * 4096) AS BIGINT) AS digit, count(*) AS n FROM e GROUP BY ALL""",
+    "p2_from_days": f"""WITH {_RANKED_SQL}, e AS (SELECT *, {_EXPONENT} AS e FROM picked),
+b AS (SELECT *, floor(v * pow(2::DOUBLE, 12 - e)) * pow(2::DOUBLE, e - 12) AS low FROM e),
+ends AS (SELECT *, low + pow(2::DOUBLE, e - 12) - pow(2::DOUBLE, e - 52) AS high FROM b)
+SELECT target_device, p, n, (low + high) / 2 AS value, abs(high - low) / 2 AS error_bound FROM ends""",
 }

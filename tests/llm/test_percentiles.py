@@ -51,6 +51,13 @@ def test_empty_and_invalid(spark):
     assert sorted((r.target_device, r.routing_latency_ms) for r in got) == [("GPU", 1.0), ("GPU", 2.0)]
 
 
+def test_null_and_conflicting_ids(spark):
+    schema = "decision_id string, target_device string, routing_latency_ms double, timestamp timestamp"
+    rows = [(None, "CPU", 1.0, None)] * 3 + [(None, "CPU", 2.0, None), ("1", "CPU", 5.0, None), ("1", "CPU", 7.0, None), ("1", "cpu ", 5.0, None)]
+    got = P.device_latencies(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(r.routing_latency_ms for r in got) == [1.0, 1.0, 1.0, 2.0, 5.0, 7.0]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.floats(allow_nan=False), st.floats(allow_nan=False))
 def test_reference_bits_are_monotonic(a, b):
