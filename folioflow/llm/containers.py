@@ -61,53 +61,59 @@ class Packing:
         return sum(n for _, n in self.patterns)
 
 
-def _at_most(sizes: list[int], limit: int) -> int:
-    """Index of the largest of the sizes (descending) that is at most limit, else len(sizes)."""
-    low, high = 0, len(sizes)
-    while low < high:
-        mid = (low + high) // 2
-        if sizes[mid] <= limit:
-            high = mid
-        else:
-            low = mid + 1
-    return low
-
-
 def reduce_by_dominance(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Fix sets that dominate every other feasible set with their largest item; takes them out of ``left``.
-
-    For the largest item j, with i the largest other item that fits beside it, {j, i} dominates
-    when it fills the container, or when no two other items fit beside j, or when i is at least
-    as large as any two that fit together; {j} alone dominates when nothing fits beside it.
-    Each condition stays true while items are taken away, so equal sets are fixed together.
+    """Fix sets that dominate every other feasible set with one of their items; takes them out of ``left``.
+
+    A set dominates another with the same item j if each other item of the latter, or a group of
+    them, can be exchanged for one item at least as large. With i the largest item that fits
+    beside j: {j} dominates if nothing fits; {j, i} if i fills the container, if no two others
+    fit beside j, or if no three do and i is at least as large as any two that fit together;
+    {j, i, b}, with b the largest item that fits beside both, if no three others fit and b is at
+    least as large as the smaller item of any two that fit. Each condition stays true while
+    items are taken away, so equal sets are fixed together.
     """
     fixed: list[tuple[dict[int, int], int]] = []
     for j in sorted(left, reverse=True):
         while left.get(j):
-            sizes = sorted((s for s, n in left.items() if n > (s == j)), reverse=True)
-            room = capacity - j
-            at = _at_most(sizes, room)
-            if at == len(sizes):
-                fixed.append(({j: 1}, left.pop(j)))
+            others = _dominating(left, j, capacity)
+            if others is None:
                 break
-            i = sizes[at]
-            fits = sizes[at:]
-            free = lambda s: left[s] - (s == j)
-            low = [s for s in reversed(fits) for _ in range(min(2, free(s)))][:2]
-            if not (i == room or len(low) < 2 or sum(low) > room or i >= _best_pair(fits, free, room)):
-                break
-            n = left[j] // 2 if i == j else min(left[j], left[i])
-            fixed.append(({j: 2} if i == j else {j: 1, i: 1}, n))
-            for s, taken in ((j, n), (i, n)):
-                left[s] -= taken
-            for s in {i, j}:
+            pattern: dict[int, int] = {}
+            for s in (j, *others):
+                pattern[s] = pattern.get(s, 0) + 1
+            n = min(left[s] // each for s, each in pattern.items())
+            fixed.append((pattern, n))
+            for s, each in pattern.items():
+                left[s] -= n * each
                 if not left[s]:
                     del left[s]
     return fixed
 
 
+def _dominating(left: dict[int, int], j: int, capacity: int) -> tuple[int, ...] | None:
+    """What goes with item j in a set that dominates all others with j, or None."""
+    room = capacity - j
+    free = lambda s: left[s] - (s == j)
+    fits = sorted((s for s in left if s <= room and free(s)), reverse=True)
+    if not fits:
+        return ()
+    i = fits[0]
+    # up to three copies of the smallest items: whether two or three others fit beside j
+    least = [s for s in reversed(fits[-3:]) for _ in range(min(3, free(s)))][:3]
+    if i == room or len(least) < 2 or least[0] + least[1] > room:
+        return (i,)
+    if len(least) == 3 and sum(least) <= room:
+        return None
+    if i >= _best_pair(fits, free, room):
+        return (i,)
+    beside = next((s for s in fits if s <= room - i and free(s) > (s == i)), None)
+    # the larger item of a pair is best the next one: the smaller item is then as large as can be
+    smaller = next((s for k, s in enumerate(fits) if s + (s if free(s) > 1 else fits[k - 1] if k else room + 1) <= room), 0)
+    return (i, beside) if beside is not None and beside >= smaller else None
+
+
 def _best_pair(sizes: list[int], free, room: int) -> int:  # noqa: ANN001
-    """Largest sum of two items that fits in ``room``; sizes descending."""
+    """Largest sum of two items that fits in ``room``, 0 if none; sizes descending."""
     a, b, best = 0, len(sizes) - 1, 0
     while a <= b:
         if a == b and free(sizes[a]) < 2:
@@ -115,10 +121,13 @@ def _best_pair(sizes: list[int], free, room: int) -> int:  # noqa: ANN001
         total = sizes[a] + sizes[b]
         if total <= room:
             best = max(best, total)
+            if sizes[b] == sizes[a]:
+                break
             b -= 1
         else:
             a += 1
-    return best
+    # an item and its copy
+    return max([best, *(2 * s for s in sizes if 2 * s <= room and free(s) > 1)])
 
 
 def _best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:

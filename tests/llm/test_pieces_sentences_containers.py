@@ -1,4 +1,3 @@
-import itertools
 import math
 
 from hypothesis import given, settings
@@ -91,25 +90,44 @@ def test_packing_is_valid(sizes):
 
 
 def best(items, capacity):
-    """Fewest containers, by trying every assignment."""
-    n = len(items)
-    for k in range(1, n + 1):
-        for where in itertools.product(range(k), repeat=n):
-            load = [0] * k
-            for i, w in zip(items, where, strict=True):
-                load[w] += i
-            if max(load) <= capacity:
-                return k
-    return 0
-
-
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 10), min_size=1, max_size=6))
-def test_fixed_sets_belong_to_a_best_solution(items):
+    """Fewest containers, by trying every assignment that opens at most one new container at a time."""
+    items = sorted(items, reverse=True)
+    least = len(items)
+
+    def place(at, load):
+        nonlocal least
+        if len(load) >= least:
+            return
+        if at == len(items):
+            least = len(load)
+            return
+        for room in sorted(set(load)):
+            if room + items[at] <= capacity:
+                i = load.index(room)
+                place(at + 1, [*load[:i], room + items[at], *load[i + 1 :]])
+        place(at + 1, [*load, items[at]])
+
+    place(0, [])
+    return least
+
+
+def _rest_is_best(items, capacity):
     left = {s: items.count(s) for s in set(items)}
-    fixed = B.reduce_by_dominance(left, 10)
+    fixed = B.reduce_by_dominance(left, capacity)
     rest = [s for s, n in left.items() for _ in range(n)]
-    assert sum(n for _, n in fixed) + best(rest, 10) == best(items, 10)
+    return sum(n for _, n in fixed) + best(rest, capacity) == best(items, capacity), fixed
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=8))
+def test_fixed_sets_belong_to_a_best_solution(items):
+    assert _rest_is_best(items, 20)[0]
+
+
+def test_pairs_are_fixed_only_if_no_three_others_fit():
+    assert _rest_is_best([12, 11, 7, 3, 3, 2, 2], 20)[0]
+    ok, fixed = _rest_is_best([11, 5, 4, 4], 20)  # 11 with two others, and no three
+    assert ok and {11: 1, 5: 1, 4: 1} in [p for p, _ in fixed]
 
 
 def test_container_frame(spark):
