@@ -33,17 +33,20 @@ _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 _LINE = re.compile(r"[^\n]+")
 _END_OF_LINE = re.compile(r"[.!?…।॥。！？:;][\s\"'»”“’)\]」』]*$")
 _LIST = re.compile(r"\s*(?:[-•*‣·–]\s+|\(?\d{1,3}[.)]\s+|[a-zA-Z]\)\s+)")
-_MARK = re.compile(r"[.!?…]+|[।॥。！？]+")
+# Marks that end a sentence in scripts of their own: Devanagari, East Asian, Arabic and Urdu, Ethiopic, Armenian, Khmer, Burmese, Tibetan.
+OWN_MARKS = "।॥。！？｡؟۔።፧፨։។៕၊။༎"
+_MARK = re.compile(rf"[.!?…]+|[{OWN_MARKS}]+")
 _CLOSERS = re.compile(r"(?:[\"”“»’'）)\]」』]|[\s ]»)*")
 _SPACE = re.compile(r"\s*")
-_WORD_BEFORE = re.compile(r"[^\s(«“„\"‘「『\[]*$")
+_BEFORE_WORD = frozenset(" \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000(«“„\"‘「『[")
 _WORD_AFTER = re.compile(r"[^\W_]+")
 _THAI = re.compile(r"[฀-๿]")
 _THAI_GAP = re.compile(r"(?<=[฀-๿])\s+(?=[฀-๿\"“(])")
 _QUOTES = re.compile(r"[\"«»“”「」『』()（）„\[\]]")
-_CASED = re.compile(r"[^\W\d_]")
-#: Candidates that one span may reach back over; a span of more is no sentence.
-REACH = 64
+# Thai words that close a sentence or a clause still open, and words that carry one on.
+THAI_CLOSING = ("ครับ", "ค่ะ", "คะ", "นะ", "แล้ว", "ด้วย")
+THAI_LEADING = ("และ", "หรือ", "ว่า", "คือ", "เช่น", "ได้แก่", "ของ", "ที่", "เป็น", "โดย")
+THAI_FOLLOWING = ("และ", "หรือ", "ซึ่ง", "ที่", "โดย", "ว่า", "เป็นต้น", "ฯลฯ")
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
@@ -101,18 +104,20 @@ def _is_wrapped(text: str, lines: list[tuple[int, int]], listed: list[bool]) ->
     return open_ * 2 > all_
 
 
-def _close(text: str, start: int, at: int, mark: str) -> float:
-    """Score of a span that closes with ``mark`` at ``at``, the block beginning at ``start``."""
+def _close(text: str, start: int, begin: int, at: int, mark: str) -> float:
+    """Score of a span that closes with ``mark`` at ``at`` after the word from ``begin``, the block beginning at ``start``."""
     first = mark[0]
-    if first in "。！？।॥":
+    if first in OWN_MARKS:
         return 3.0
     if "?" in mark or "!" in mark:
         return 2.5
     if len(mark) > 1 or first == "…":
         return -1.0
-    word = _WORD_BEFORE.search(text, max(start, at - 40), at)[0]
+    word = text[begin:at]
     if not word:
         return -4.0
+    if len(word) > 64:  # longer than anything listed: all that counts is whether it is a row of initials
+        return -8.0 if begin <= start and word.isdigit() else -1.0 if len(word) % 2 and word[0::2].isalpha() and not word[1::2].strip(".") else 2.0 - 0.5 * ("." in word)
     if at - len(word) <= start and word.isdigit():
         return -8.0  # a number before a heading or an item
     low = word.lower().rstrip(".")
@@ -123,8 +128,8 @@ def _close(text: str, start: int, at: int, mark: str) -> float:
     if len(word) == 1 and word.isalpha():
         return -4.0
     if word.isdigit() and len(word) <= 2:
-        before = _WORD_BEFORE.search(text[max(start, at - len(word) - 12) : at - len(word)].rstrip())
-        if before and before[0].lower() in GERMAN_ARTICLES:
+        before = text[max(start, begin - 12) : begin].split()
+        if before and before[-1].lower() in GERMAN_ARTICLES:
             return -6.0
         return 1.5
     if "." in low:
@@ -162,6 +167,7 @@ def _open(text: str, at: int, gap: int, closed: bool, dots: bool) -> float:
 def _candidates(text: str, start: int, end: int) -> list[tuple[int, int, float, bool, bool]]:
     """(end of span, start of the next, score, behind a closing quotation mark, cased script)."""
     found = []
+    begin = seen = start  # where the word before a mark begins, and how far the text was looked at for that
     for mark in _MARK.finditer(text, start, end):
         if mark.end() == end:
             break
@@ -174,11 +180,18 @@ def _candidates(text: str, start: int, end: int) -> list[tuple[int, int, float,
         if nxt >= end:
             break
         gap = nxt - stop
+        at = mark.start()
+        k = at
+        while k > seen and text[k - 1] not in _BEFORE_WORD:
+            k -= 1
+        if k > seen or (k and text[k - 1] in _BEFORE_WORD):
+            begin = k
+        seen = at
         # a straight mark after a blank opens what follows
-        close = _close(text, start, mark.start(), mark[0])
+        close = _close(text, start, begin, at, mark[0])
         if close <= -6:
             continue
-        score = close + _open(text, nxt, gap or (mark[0][0] in "。！？।॥"), bool(closers), len(mark[0]) > 1 and mark[0][0] in ".…")
+        score = close + _open(text, nxt, gap or (mark[0][0] in OWN_MARKS), bool(closers), len(mark[0]) > 1 and mark[0][0] in ".…")
         if not gap and mark[0][0] in ".!?" and not closers:
             before = text[max(start, mark.start() - 2) : mark.start()]
             if len(before) < 2 or not before.isalpha() or before[-1].isupper():
@@ -187,14 +200,25 @@ def _candidates(text: str, start: int, end: int) -> list[tuple[int, int, float,
             found.append((stop, nxt, score, bool(closers) and closers[-1] not in ")）]", text[nxt].isupper() or text[nxt].islower()))
     if _THAI.search(text, start, end):
         for gap in _THAI_GAP.finditer(text, start, end):
-            before = text[gap.start() - 1]
-            if before in ".ๆ" and before == ".":
-                continue
-            found.append((gap.start(), gap.end(), 2.0, False, False))
+            found.append((gap.start(), gap.end(), _thai_gap(text, gap.start(), gap.end()), False, False))
         found.sort()
     return found
 
 
+def _thai_gap(text: str, stop: int, nxt: int) -> float:
+    """Score of a blank between Thai words: a sentence's end unless the words around it leave the clause open."""
+    score = 2.0
+    if text[stop - 1] == "ๆ":
+        score -= 1.0
+    if text.startswith(THAI_FOLLOWING, nxt):
+        score -= 3.0
+    if text.endswith(THAI_LEADING, max(0, stop - 8), stop):
+        score -= 4.0
+    elif text.endswith(THAI_CLOSING, max(0, stop - 8), stop):
+        score += 1.0
+    return score
+
+
 def _balance(text: str, start: int, end: int, places: list[int]) -> list[tuple[int, int]] | None:
     """For each place (ascending) the state of the quotation marks before it; None if there are none."""
     marks = [m for m in _QUOTES.finditer(text, start, end)]
@@ -236,9 +260,13 @@ def spans(text: str, start: int, end: int) -> list[tuple[int, int]]:
     state = _balance(text, start, end, [*opens, end])
     n = len(ends)
     best, back = [0.0] + [float("-inf")] * n, [0] * (n + 1)
+    upto = [0.0]  # the best score of any beginning so far
     for j in range(1, n + 1):
         close = found[j - 1][2] if j < n else 0.0
-        for i in range(max(0, j - REACH), j):
+        for i in range(j - 1, -1, -1):
+            # no longer span can score more: what is left out of a span's score only lowers it
+            if upto[i] + close + min(0.0, _length(ends[j - 1] - opens[i])) < best[j] and ends[j - 1] - opens[i] >= 8:
+                break
             score = best[i] + close + _length(ends[j - 1] - opens[i])
             if state:
                 if state[i] != state[j]:
@@ -248,8 +276,9 @@ def spans(text: str, start: int, end: int) -> list[tuple[int, int]]:
                     inner = text[opens[i] + 1 : ends[j - 1] - 1]
                     if not any(x in inner for x in "\"»”」』"):
                         score -= 1.0 if found[j - 1][4] or text[opens[j]] in OPEN_MARKS else 5.0
-            if score > best[j]:
+            if score >= best[j]:
                 best[j], back[j] = score, i
+        upto.append(max(upto[-1], best[j]))
     out, j = [], n
     while j:
         i = back[j]

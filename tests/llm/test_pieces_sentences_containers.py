@@ -50,6 +50,20 @@ def test_sentences_of_many_scripts():
     assert units("ผู้ป่วยได้รับยา 68 มก. วันละสองครั้ง ญาติขอให้นัดติดตามอาการอีกครั้ง") == ["ผู้ป่วยได้รับยา 68 มก. วันละสองครั้ง", "ญาติขอให้นัดติดตามอาการอีกครั้ง"]
 
 
+def test_long_spans_are_not_cut():
+    authors = ", ".join(f"{chr(65 + i % 26)}. {chr(65 + i % 24)}. Name{chr(97 + i % 26)}" for i in range(90))
+    text = f"Seen by {authors} and nobody else. Then it ended."
+    assert [text[a:b] for a, b in N.sentences(text)] == [text[:-15], "Then it ended."]
+    dotted = "a." * 3000 + "b"
+    assert N.sentences(f"Code {dotted} ends here. Next one.")[-1][0] == len(dotted) + 17
+
+
+def test_marks_of_other_scripts():
+    for text in ("هذا أول. كيف حالك؟ نعم.", "یہ پہلا ہے۔ یہ دوسرا ہے۔ بس۔", "ሰላም ነው። እንዴት ነህ፧ ደህና።", "នេះមួយ។ នេះពីរ។ នេះបី។"):
+        assert len(N.sentences(text)) == 3, text
+    assert len(N.sentences("ผู้ป่วยมีไข้สูงมาก และ ไอแห้งตลอดคืน")) == 1
+
+
 def test_blocks_lists_and_wraps():
     assert units("2. Results\n\nOne line\nwraps here. Two.\n\n- item one\n\n• item two\n\nNo mark at the end") == ["2. Results", "One line\nwraps here.", "Two.", "- item one", "• item two", "No mark at the end"]
     assert units("Findings\nFirst is here. Second is there.\n8) an item\nThird one is long enough to be a paragraph of its own.") == ["Findings", "First is here.", "Second is there.", "8) an item", "Third one is long enough to be a paragraph of its own."]
