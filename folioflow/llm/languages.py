@@ -31,6 +31,9 @@ DICTIONARY_BYTES = 100_000
 MIXED = 5.0
 #: Bytes that a change of language within a note must save.
 CHANGE_COST = 7.0
+#: A segment is rejected if the next language takes fewer than so many bytes more, or less than this share of its own size.
+REJECT_BYTES, REJECT_SHARE = 2.0, 0.04
+UNDECIDED = "und"
 LANGUAGES = ("en", "hi", "fr", "de", "es", "pt")
 # Spellings of the languages' names; a region or script after a dash is ignored.
 NAMES = {
@@ -81,8 +84,8 @@ def language_code(label: str | None) -> str | None:
     return _CODE.get(re.split(r"[-_ (]", plain)[0], "")
 
 
-def sentences(note: str) -> list[str]:
-    """The sentences of a note, without header lines, section labels and lines of numbers."""
+def sentences(note: str, least: int = 1) -> list[str]:
+    """The sentences of at least so many words of a note, without header lines, section labels and lines of numbers."""
     lines: list[str] = []
     for line in note.split("\n"):
         line = line.strip()
@@ -101,7 +104,7 @@ def sentences(note: str) -> list[str]:
                 parts[-1] += " " + part
             else:
                 parts.append(part)
-        out += [p for p in parts if len(_WORD.findall(p)) >= 3]
+        out += [p for p in parts if len(_WORD.findall(p)) >= least]
     return out
 
 
@@ -148,7 +151,10 @@ class Dictionaries:
         known = self.seen.get(text)
         if known is None:
             each: dict[str, int] = {}
-            for code, compressor in zip(self.codes, self.compressors, strict=True):
+            devanagari = b"\xe0\xa4" in text or b"\xe0\xa5" in text
+            for name, code, compressor in zip(self.names, self.codes, self.compressors, strict=True):
+                if name == "hi" and not devanagari:  # its dictionary holds no other letters
+                    continue
                 n = len(compressor.compress(text))
                 each[code] = min(n, each.get(code, n))
             known = np.array([each[c] for c in LANGUAGES], "f4")
@@ -189,7 +195,7 @@ def _content(name: str, texts: Counter[bytes], seed: bytes, neutral: frozenset[s
 
 def fit(notes: list[str], labels: list[str | None]) -> Dictionaries:
     """Dictionaries from labelled notes, labels checked in every round."""
-    rows = [(found, code) for note, label in zip(notes, labels, strict=True) if note and (code := language_code(label)) and (found := sentences(note))]
+    rows = [(found, code) for note, label in zip(notes, labels, strict=True) if note and (code := language_code(label)) and (found := sentences(note, 3))]
     seeds = {name: squeeze(text) for name, text in SEEDS.items()}
     now = Dictionaries(seeds)
     for _ in range(3):
@@ -211,7 +217,7 @@ def fit(notes: list[str], labels: list[str | None]) -> Dictionaries:
 
 
 def segments(note: str | None, model: Dictionaries, change: float = CHANGE_COST) -> list[tuple[str, float]]:
-    """(language, confidence) of each segment of a note, in reading order."""
+    """(language, confidence) of each segment of a note, in reading order; ``UNDECIDED`` where the margin is narrow."""
     if not note or not note.strip():
         return []
     units = sentences(note) or [line for line in note.split("\n") if _WORD.search(line)]
@@ -234,8 +240,9 @@ def segments(note: str | None, model: Dictionaries, change: float = CHANGE_COST)
         if i == len(path) or path[i] != path[start]:
             sizes = cost[start:i].sum(0)
             rest = np.delete(sizes, path[start]).min()
-            confidence = float(np.clip(0.5 + (rest - sizes[path[start]]) / rest, 0.0, 1.0))
-            out.append((LANGUAGES[path[start]], confidence))
+            margin = float(rest - sizes[path[start]])
+            confidence = min(1.0, max(0.0, 0.5 + margin / float(rest)))
+            out.append((UNDECIDED if margin < max(REJECT_BYTES, REJECT_SHARE * float(rest)) else LANGUAGES[path[start]], confidence))
             start = i
     return out
 
@@ -285,17 +292,34 @@ def note_languages(notes: DataFrame, model: Dictionaries, *, key: str = "id", te
 
 
 def doubtful_notes(judged: DataFrame, key: str = "id") -> DataFrame:
-    """Of ``note_languages`` the rows of notes whose label is missing or wrong or that mix languages."""
-    mixed = judged.groupBy(key).agg(F.count("*").alias("segments"), F.first("lang").alias("only"), F.first("label_code").alias("given"))
-    wanted = mixed.filter((F.col("segments") > 1) | F.col("given").isNull() | (F.col("given") != F.col("only"))).select(key)
-    return judged.join(wanted, key, "left_semi")
+    """(key, segment_no, lang) of notes whose label is missing or wrong or that mix languages.
+
+    Of ``note_languages`` the decided segments, neighbours of one language around an undecided
+    one as one. A note without any decided segment keeps its label, whatever that is.
+    """
+    kept = judged.filter(F.col("lang") != UNDECIDED)
+    # a note has few segments: those of one note come together in one row
+    runs = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("segment_no", "lang"))).alias("all"), F.first("label_code").alias("given"))
+    langs = F.transform("all", lambda x: x["lang"])
+    merged = F.filter(langs, lambda x, i: (i == 0) | (x != F.get(langs, i - 1)))
+    wanted = runs.withColumn("langs", merged).filter((F.size("langs") > 1) | F.col("given").isNull() | (F.col("given") != F.col("langs")[0]))
+    return wanted.select(key, F.posexplode("langs").alias("at", "lang")).select(key, (F.col("at") + 1).alias("segment_no"), "lang")
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = table(spark, sf_dir, "synthetic_notes_medium")
+    return note_languages(notes, fit_on(notes))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, segment_no, lang) of notes with a missing or wrong label or several languages."""
-    notes = table(spark, sf_dir, "synthetic_notes_medium")
-    return doubtful_notes(note_languages(notes, fit_on(notes))).select("id", "segment_no", "lang")
+    return doubtful_notes(_judged(spark, sf_dir))
+
+
+def p7_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, segment_no, lang, confidence) of every note, ``und`` where the languages come out too close."""
+    return _judged(spark, sf_dir).select("id", "segment_no", "lang", F.round("confidence", 4).alias("confidence"))
 
 
-QUERIES = {"p7_found": p7_found}
+QUERIES = {"p7_found": p7_found, "p7_segments": p7_segments}
 SQL: dict[str, str] = {}

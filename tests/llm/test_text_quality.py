@@ -129,6 +129,17 @@ def test_languages():
     assert [G.language_code(x) for x in (None, " ", "UND", "eng", "en-IN", "Deutsch", "klingon")] == [None, None, None, "en", "en", "de", ""]
 
 
+def test_narrow_margins_are_rejected(spark):
+    en, de = "The patient was seen with fever for two days and was advised rest by the family.", "Der Patient klagt seit zwei Tagen über Fieber und Schmerzen in der Brust."
+    model = G.fit([en, de] * 5, ["en", "de"] * 5)
+    for foreign in ("Ο ασθενής ήρθε με πυρετό και πόνο στο στήθος.", "xqzv wklp trgh mnbv sdfg qwrt zxcv."):
+        assert [s for s, _ in G.segments(foreign, model)] == [G.UNDECIDED]
+    # without a decided segment a label is not called wrong; short sentences are judged with the rest
+    df = spark.createDataFrame([(1, "xqzv wklp trgh mnbv.", "fr"), (2, f"{en} Ja. {en}", "en"), (3, de, None)], "id bigint, note string, language string")
+    assert [(r.id, r.lang) for r in G.doubtful_notes(G.note_languages(df, model)).collect()] == [(3, "de")]
+    assert G.sentences("Seen by all. Muito obrigado.") == ["Seen by all.", "Muito obrigado."]
+
+
 def test_language_frame(spark):
     schema = "id bigint, note string, language string, key string, label string"
     en, de = "The patient was seen with fever for two days and was advised rest.", "Der Patient klagt seit zwei Tagen über Fieber und Schmerzen in der Brust."
