@@ -25,6 +25,36 @@ def test_pieces_cut_at_boundaries_and_pages():
     assert S.place("ab\fcd", [(0, 5)], None, None) == [(None, None)]
 
 
+def test_sections_nest_and_keep_apart():
+    part = "Some words of the body follow here. " * 3
+    text = f"# One\n\n{part}\n\n## One A\n\n{part}\n\n## One B\n\n{part}{part}\n\n# Two\n\n{part}"
+    got = [text[a:b] for a, b in S.split_spans(text, 280, 0)]
+    assert [x.split("\n")[0] for x in got] == ["# One", "## One B", "# Two"]
+    tree = S.parse(text)
+    assert [c.rank for c in tree.children if text[c.start] == "#"] == [1.0, 1.0] and [text[c.start : c.start + 8].strip() for c in tree.children[-2].children][1:] == ["## One A", "## One B"]
+    # with room for less, sections are not joined across their bounds
+    for piece in (text[a:b] for a, b in S.split_spans(text, 150, 0)):
+        assert "#" not in piece.lstrip("#").split("\n", 1)[-1]
+
+
+def test_lists_tables_and_markup_are_parsed():
+    items = "".join(f"- item {i} with words\n  - below {i} more words\n" for i in range(12))
+    got = [items[a:b] for a, b in S.split_spans(items, 120, 0)]
+    assert all(x.startswith("- item") for x in got) and "".join(got) == items
+    rows = "Before the table.\n\n" + "".join(f"| cell {i} | value {i} |\n" for i in range(20))
+    assert all(x.startswith(("|", "Before")) and x.rstrip().endswith(("|", ".")) for x in (rows[a:b] for a, b in S.split_spans(rows, 100, 0)))
+    html = "<ul>" + "".join(f"<li><p>text {i} of it</p><p>and more {i}</p></li>" for i in range(12)) + "</ul>"
+    assert all(x.startswith(("<li>", "<ul>")) for x in (html[a:b] for a, b in S.split_spans(html, 150, 0)))
+    numbered = "1 Scope\nBody of it is here.\n1.1 Detail\nMore of it is here now.\n2 Rest\nThe end of it is near."
+    assert [numbered[a:b].split("\n")[0] for a, b in S.split_spans(numbered, 70, 0)] == ["1 Scope", "2 Rest"]
+
+
+def test_long_blank_runs_and_unbroken_text():
+    text = "Title\n" + " " * 3000 + "\nBody words. " * 50 + "x" * 900
+    spans = S.split_spans(text, 200, 20)
+    assert all(b - a <= 200 for a, b in spans) and "".join(text[(a + 20 if i else a) : b] for i, (a, b) in enumerate(spans)) == text
+
+
 def test_pieces_frame(spark):
     schema = "chunk_id string, text string, page_numbers array<int>, start_char_in_page int, key string, piece string"
     rows = [("a", "x" * 5000, [1], 3, "k", "p"), ("a", "x" * 5000, [1], 3, "k", "p"), (None, "y " * 1500, None, None, None, None), ("b", "short", [1], 0, None, None), ("c", None, [1], 0, None, None), ("d", "", [1], 0, None, None)]
