@@ -3,21 +3,25 @@
 Texts become streams of folded letters and digits: case, accents, spacing, punctuation and
 look-alike characters are gone. Windows of a stream begin at content-defined places, the same
 in a copy wherever it stands. A random walk after Chakraborty, Goldenberg and Koucky (2016)
-embeds each window so that edit distance becomes Hamming distance, and bit sampling LSH with
-several tables looks the windows of all documents up among those of the held-out passages.
+embeds each window so that edit distance becomes Hamming distance; bit sampling gives each window
+a key in each of several LSH tables, and keys of documents meet those of held-out passages in a
+join. Documents are read and embedded once, whatever the number of passages: what has no key in
+a bit table of the passages' keys, of fixed size, is dropped before anything is shuffled.
 A pair of a document and a passage that shares enough windows is then verified exactly: the
 edit distance of every block of the passage within the stretch of the document, by the
-bit-parallel algorithm of Myers (1999) run over all pairs at once. Only then stock wording is
+bit-parallel algorithm of Myers (1999) run over many pairs at once. Only then stock wording is
 judged, block by block, by the number of documents that hold it.
 
-The passages are the stated query set: they are taken in blocks, each block one pass over the
-documents, and no document is ever compared with another.
+Passages too short for windows are looked up by their first folded characters at every place of
+every document. No document is ever compared with another.
 """
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -39,8 +43,10 @@ SPARSE = 10
 SAMPLED, TABLES = 14, 8
 #: Characters of a verified block of a passage, at most 64.
 BLOCK = 40
-#: Passages in one pass over the documents.
-PASS_CASES = 1000
+#: Folded characters by which shorter passages are looked up: the most of these that a passage has.
+ANCHORS = (24, 16, 10, 6)
+#: Bits of the table of the passages' keys: at least and at most, and so many a key in between.
+LEAST_BITS, MOST_BITS, BITS_A_KEY = 1 << 20, 1 << 27, 64
 #: Stock wording: blocks held by so many documents and this share of all, and this many times those that hold the whole passage.
 STOCK_DOCUMENTS, STOCK_SHARE, STOCK_TIMES = 20, 0.01, 10
 #: Share of a passage from which a copy counts as whole.
@@ -125,91 +131,132 @@ def embed(stream: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return keys
 
 
+def table_keys(stream: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(TABLES, windows) of 64-bit keys that differ from table to table."""
+    keys = embed(stream, starts)
+    keys ^= np.arange(1, TABLES + 1, dtype="u8")[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    return keys.view("i8")
+
+
+def anchor_keys(stream: np.ndarray, size: int) -> np.ndarray:
+    """A key of the ``size`` characters from each place on."""
+    n = len(stream) - size + 1
+    if n <= 0:
+        return np.zeros(0, "i8")
+    key = np.full(n, np.uint64(size), "u8")
+    for i in range(size):
+        key *= np.uint64(0x100000001B3)
+        key ^= stream[i : i + n].astype("u8") + np.uint64(0x9E3779B9)
+    key ^= key >> np.uint64(31)
+    return key.view("i8")
+
+
+def passage_keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(passage number, window, key) of all passages, (windows, anchor) of each: windows of 0 for no key, anchor of 0 for LSH."""
+    stream, bounds = streams(texts)
+    starts, of = window_starts(stream, bounds)
+    windows = np.bincount(of, minlength=len(texts))
+    number = np.arange(len(starts)) - np.searchsorted(of, of)
+    keys = table_keys(stream, starts)
+    rows = [(of, number, k) for k in keys]
+    anchor = np.zeros(len(texts), int)
+    for i in np.flatnonzero(windows == 0):
+        own = stream[bounds[i] : bounds[i + 1]]
+        size = next((a for a in ANCHORS if a <= len(own)), 0)
+        if size:
+            anchor[i], windows[i] = size, 1
+            rows.append((np.array([i]), np.array([0]), anchor_keys(own[:size], size)))
+    of, number, key = (np.concatenate(x) for x in zip(*rows, strict=True)) if rows else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, "i8"))
+    return of, number, key, windows, anchor
+
+
+def document_keys(texts: list[str], anchors: Iterable[int], held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, start within the text's stream, key) of what may be a key of a passage by the bit table ``held``."""
+    stream, bounds = streams(texts)
+    starts, of = window_starts(stream, bounds)
+    out = []
+    for key in table_keys(stream, starts):
+        at = np.flatnonzero(_held(held, key))
+        out.append((of[at], starts[at] - bounds[of[at]], key[at]))
+    for size in anchors:
+        key = anchor_keys(stream, size)
+        at = np.flatnonzero(_held(held, key))
+        text = np.searchsorted(bounds, at, "right") - 1
+        inside = at + size <= bounds[text + 1]
+        out.append((text[inside], (at - bounds[text])[inside], key[at[inside]]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _held(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    at = key.view("u8") & np.uint64(len(bits) * 8 - 1)
+    return bits[(at >> np.uint64(3)).astype("i8")] >> (at & np.uint64(7)).astype("u1") & 1
+
+
+def bit_table(keys: DataFrame, size: int, chunk: int = 1 << 16) -> np.ndarray:
+    """``size`` bits in bytes, those of the keys (column ``key``) set; put together from the bits of each task."""
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(size // 8, "u1")
+        for pdf in batches:
+            at = pdf["key"].to_numpy("i8").view("u8") & np.uint64(size - 1)
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype("i8"), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype("u1")))
+        parts = bits.reshape(-1, min(chunk, len(bits)))
+        some = np.flatnonzero(parts.any(1))
+        yield pd.DataFrame({"part": some, "bits": [parts[i].tobytes() for i in some]})
+
+    def either(pdf: pd.DataFrame) -> pd.DataFrame:
+        bits = np.bitwise_or.reduce([np.frombuffer(x, "u1") for x in pdf["bits"]])
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "bits": [bits.tobytes()]})
+
+    shape = "part bigint, bits binary"
+    out = np.zeros((-(-size // 8 // chunk), min(chunk, size // 8)), "u1")
+    for r in keys.mapInPandas(mark, shape).groupBy("part").applyInPandas(either, shape).toLocalIterator():  # size / 8 bytes in all
+        out[r["part"]] = np.frombuffer(r["bits"], "u1")
+    return out.ravel()
+
+
 @dataclass
 class Passages:
-    """The LSH tables and the verification patterns of a block of passages."""
-
-    ids: list[str]
-    windows: np.ndarray  # windows of each passage
-    table_keys: list[np.ndarray]  # sorted
-    table_case: list[np.ndarray]
-    table_window: list[np.ndarray]
-    filters: list[np.ndarray]
-    lengths: np.ndarray
+    """The verification patterns of some passages."""
+
     block_case: np.ndarray
     block_length: np.ndarray
+    first: np.ndarray  # of each passage its first block, and one past the last
     symbols: np.ndarray  # code point -> symbol
     patterns: np.ndarray  # (blocks, symbols) bit masks
 
 
-def index_passages(ids: list[str], texts: list[str]) -> Passages:
+def block_lengths(length: int) -> list[int]:
+    """Lengths of the blocks of a passage of so many folded characters; a short rest is left out."""
+    return [min(BLOCK, length - s) for s in range(0, length, BLOCK) if length - s >= BLOCK // 2 or not s]
+
+
+def patterns_of(texts: list[str]) -> Passages:
     stream, bounds = streams(texts)
-    starts, of = window_starts(stream, bounds)
-    keys = embed(stream, starts)
-    # windows that several passages have make candidates of all of them
-    orders = [np.argsort(keys[t], kind="stable") for t in range(TABLES)]
-    table_keys = [keys[t][o] for t, o in enumerate(orders)]
-    filters = []
-    for k in table_keys:
-        seen = np.zeros(1 << 20, bool)
-        seen[(k & np.uint64((1 << 20) - 1)).astype("i8")] = True
-        filters.append(seen)
     used = np.unique(stream)
     symbols = np.zeros(65536, "u2")
     symbols[used] = np.arange(1, len(used) + 1)
-    block_case, pieces = [], []
-    for i in range(len(ids)):
-        a, b = bounds[i], bounds[i + 1]
-        for s in range(a, b, BLOCK):
-            if b - s >= BLOCK // 2 or s == a:
-                pieces.append(stream[s : min(s + BLOCK, b)])
-                block_case.append(i)
-    patterns = np.zeros((len(pieces), len(used) + 1), "u8")
-    for r, piece in enumerate(pieces):
-        for j, c in enumerate(piece):
-            patterns[r, symbols[c]] |= np.uint64(1 << j)
-    return Passages(
-        ids,
-        np.bincount(of, minlength=len(ids)),
-        table_keys,
-        [of[o] for o in orders],
-        orders,
-        filters,
-        np.diff(bounds),
-        np.array(block_case, int),
-        np.array([len(p) for p in pieces], int),
-        symbols,
-        patterns,
-    )
-
-
-def _pairs(p: Passages, stream: np.ndarray, bounds: np.ndarray, least_windows: float, apart: int) -> pd.DataFrame:
-    """(text, case, low, high): pairs that share enough windows in one stretch, and the stretch."""
-    starts, of = window_starts(stream, bounds)
-    keys = embed(stream, starts)
-    hits = []
-    for t in range(TABLES):
-        if not len(p.table_keys[t]):
-            continue
-        maybe = np.flatnonzero(p.filters[t][(keys[t] & np.uint64((1 << 20) - 1)).astype("i8")])
-        a = np.searchsorted(p.table_keys[t], keys[t][maybe], "left")
-        n = np.searchsorted(p.table_keys[t], keys[t][maybe], "right") - a
-        row = np.repeat(np.arange(len(maybe)), n)
-        col = np.repeat(a, n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        hits.append(np.stack([of[maybe[row]], p.table_case[t][col], p.table_window[t][col], starts[maybe[row]]], 1))
-    columns = ["text", "case", "window", "start"]
-    found = pd.DataFrame(np.concatenate(hits) if hits else np.zeros((0, 4), int), columns=columns)
-    if not len(found):
-        return pd.DataFrame({c: np.zeros(0, int) for c in ("text", "case", "low", "high")})
-    found = found.drop_duplicates(["text", "case", "window", "start"]).sort_values(["text", "case", "start"], kind="stable")
-    pair = found["text"].to_numpy() * len(p.ids) + found["case"].to_numpy()
-    start = found["start"].to_numpy()
-    new = np.r_[True, (pair[1:] != pair[:-1]) | (start[1:] - start[:-1] > apart + WINDOW)]
-    found["stretch"] = np.cumsum(new)
-    counts = found.groupby(["text", "case", "stretch"]).agg(n=("window", "nunique"), low=("start", "min"), high=("start", "max")).reset_index()
-    need = np.maximum(2, least_windows * p.windows[counts["case"]])
-    kept = counts[counts["n"].to_numpy() >= np.minimum(need, p.windows[counts["case"]])]
-    return kept.drop(columns=["n", "stretch"])
+    lengths = [block_lengths(int(b - a)) for a, b in zip(bounds, bounds[1:], strict=False)]
+    case = np.repeat(np.arange(len(texts)), [len(x) for x in lengths])
+    length = np.array([n for x in lengths for n in x], int)
+    first = np.r_[0, np.cumsum([len(x) for x in lengths])].astype(int)
+    # blocks stand at every BLOCK-th character of their passage
+    at = bounds[case] + BLOCK * (np.arange(len(case)) - first[case])
+    patterns = np.zeros((len(case), len(used) + 1), "u8")
+    rows = np.arange(len(case))
+    for j in range(BLOCK):
+        on = j < length
+        patterns[rows[on], symbols[stream[at[on] + j]]] |= np.uint64(1 << j)
+    return Passages(case, length, first, symbols, patterns)
+
+
+def stretches(start: np.ndarray, window: np.ndarray, windows: int, least_windows: float, apart: int) -> list[tuple[int, int]]:
+    """(low, high) of the stretches of a document in which enough windows of a passage lie."""
+    order = np.argsort(start, kind="stable")
+    start, window = start[order], window[order]
+    cut = np.flatnonzero(np.diff(start) > apart + WINDOW) + 1
+    need = min(max(2, least_windows * windows), windows)
+    return [(int(a[0]), int(a[-1])) for a, w in zip(np.split(start, cut), np.split(window, cut), strict=True) if len(set(w.tolist())) >= need]
 
 
 def _distances(p: Passages, blocks: np.ndarray, texts: list[np.ndarray], of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -292,51 +339,38 @@ def _copied(distance: np.ndarray, place: np.ndarray, length: np.ndarray, far: fl
     return float(best.max(initial=0.0)) / max(1, int(length.sum())), held[::-1]
 
 
-def find_copies(p: Passages, texts: list[str], share: float, far: float, least_windows: float, apart: int) -> list[tuple[int, int, float, list[int]]]:
-    """(text number, case number, share copied, blocks copied) of texts that carry a passage."""
-    stream, bounds = streams(texts)
-    pairs = _pairs(p, stream, bounds, least_windows, apart)
-    if not len(pairs):
-        return []
-    # what lies beyond the outermost windows is at most the rest of the passage
-    reach = p.lengths[pairs["case"]]
-    text = pairs["text"].to_numpy()
-    low = np.maximum(pairs["low"].to_numpy() - reach, bounds[text])
-    high = np.minimum(pairs["high"].to_numpy() + WINDOW + reach, bounds[text + 1])
-    case = pairs["case"].to_numpy()
-    first = np.searchsorted(p.block_case, np.arange(len(p.ids) + 1))
-    order = np.argsort(high - low, kind="stable")
+def verify(p: Passages, pieces: list[np.ndarray], case: np.ndarray, share: float, far: float, apart: int) -> list[tuple[int, float, list[int]]]:
+    """(piece number, share copied, blocks copied) of the pieces of streams that carry their passage."""
+    order = np.argsort([len(x) for x in pieces], kind="stable")
     out = []
     for i in range(0, len(order), 256):
         part = order[i : i + 256]
-        stretches = [p.symbols[stream[low[x] : high[x]]] for x in part]
-        blocks = [np.arange(first[case[x]], first[case[x] + 1]) for x in part]
+        blocks = [np.arange(p.first[case[x]], p.first[case[x] + 1]) for x in part]
         of = np.repeat(np.arange(len(part)), [len(b) for b in blocks])
-        distance, place = _distances(p, np.concatenate(blocks), stretches, of)
+        distance, place = _distances(p, np.concatenate(blocks), [p.symbols[pieces[x]] for x in part], of)
+        ends = np.cumsum([len(b) for b in blocks])
         for k, x in enumerate(part):
-            mine = of == k
+            mine = slice(ends[k] - len(blocks[k]), ends[k])
             copied, held = _copied(distance[mine], place[mine], p.block_length[blocks[k]], far, BLOCK * 2 // 5, apart)
             if copied >= share:
-                out.append((int(text[x]), int(case[x]), copied, held))
+                out.append((int(x), copied, held))
     return out
 
 
-def _without_stock(found: DataFrame, lengths: list[tuple[int, list[int]]], documents: DataFrame, least: float) -> DataFrame:
+def _without_stock(found: DataFrame, blocks: DataFrame, documents: DataFrame, least: float) -> DataFrame:
     """Pairs that hold the whole passage, or more of it than wording that very many documents hold."""
-    spark = found.sparkSession
-    blocks = spark.createDataFrame(lengths, "passage_no int, lengths array<int>")
-    whole = found.groupBy("passage_no").agg(F.count(F.when(F.col("copied") >= WHOLE, 1)).alias("whole"))
-    holders = found.select("passage_no", F.explode("held").alias("block")).groupBy("passage_no", "block").agg(F.count("*").alias("holders"))
+    whole = found.groupBy("passage_id").agg(F.count(F.when(F.col("copied") >= WHOLE, 1)).alias("whole"))
+    holders = found.select("passage_id", F.explode("held").alias("block")).groupBy("passage_id", "block").agg(F.count("*").alias("holders"))
     many = documents.agg(F.greatest(F.lit(float(STOCK_DOCUMENTS)), F.count("*") * STOCK_SHARE).alias("many"))
-    stock = holders.join(whole, "passage_no").crossJoin(F.broadcast(many)).filter((F.col("holders") >= F.col("many")) & (F.col("holders") >= STOCK_TIMES * F.col("whole")))
-    stock = stock.groupBy("passage_no").agg(F.collect_list("block").alias("stock")).join(blocks, "passage_no")
+    stock = holders.join(whole, "passage_id").crossJoin(F.broadcast(many)).filter((F.col("holders") >= F.col("many")) & (F.col("holders") >= STOCK_TIMES * F.col("whole")))
+    stock = stock.groupBy("passage_id").agg(F.collect_list("block").alias("stock")).join(blocks, "passage_id")
 
     def own(at: str | Column) -> Column:
         return F.aggregate(F.array_except(at, "stock"), F.lit(0), lambda n, b: n + F.get("lengths", b))
 
     total = own(F.sequence(F.lit(0), F.size("lengths") - 1))
     kept = F.col("stock").isNull() | (F.col("copied") >= WHOLE) | ((own("held") > 0) & (own("held") >= least * total))
-    return found.join(stock, "passage_no", "left").filter(kept).select("key", "passage_no", "copied")
+    return found.join(stock, "passage_id", "left").filter(kept).select("key", "passage_id", "copied")
 
 
 def leaked_passages(
@@ -363,54 +397,110 @@ def leaked_passages(
     are stock wording; a document that holds less than ``least_windows`` of the other blocks'
     characters is no copy. Wording that passages share counts for each of them.
 
-    Null and blank texts and passages give no rows; passages shorter than a window are found
-    only if they hold one. A passage given twice under a key counts once, the first by text;
-    the same passage under several keys is reported for each.
-    Repeated documents are documents of their own. Texts are read whole.
+    Null and blank texts and passages give no rows. A passage without windows is found where the
+    document has its first folded characters (as many as 24, 16, 10 or 6); one of less than six
+    is no wording to be told. A passage given twice under a key counts once, the first by text;
+    the same passage under several keys is reported for each. Repeated documents are documents
+    of their own. Texts are read whole.
     """
     spark = documents.sparkSession
-    # the query set: not a table that grows with the corpus, and read in blocks all the same
     asked = cases.filter(F.col(passage).isNotNull() & F.col(case_key).isNotNull()).groupBy(F.col(case_key).cast("string").alias("case")).agg(F.min(passage).alias("passage"))
-    same: dict[bytes, tuple[str, list[str]]] = {}
-    for r in asked.orderBy("case").toLocalIterator():
-        same.setdefault(streams([r["passage"]])[0].tobytes(), (r["passage"], []))[1].append(r["case"])
-    held = [(ids, t) for t, ids in same.values()]
+
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = pdf["passage"].tolist()
+            of, window, key, windows, anchor = passage_keys(texts)
+            stream, bounds = streams(texts)
+            order = np.argsort(of, kind="stable")
+            cut = np.cumsum(windows * np.where(anchor > 0, 1, TABLES))[:-1]
+            folded = [stream[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+            yield pd.DataFrame(
+                {
+                    "case": pdf["case"],
+                    "passage_id": [hashlib.blake2b(x.tobytes(), digest_size=16).hexdigest() for x in folded],
+                    "passage": texts,
+                    "windows": windows,
+                    "anchor": anchor,
+                    "lengths": [block_lengths(len(x)) for x in folded],
+                    "keys": [[{"window": int(w), "key": int(k)} for w, k in zip(a, b, strict=True)] for a, b in zip(np.split(window[order], cut), np.split(key[order], cut), strict=True)],
+                }
+            )
+
+    shape = "case string, passage_id string, passage string, windows int, anchor int, lengths array<int>, keys array<struct<window:int,key:bigint>>"
+    named = written(spread(asked).mapInPandas(index, shape).filter("windows > 0"), "passages")
+    # passages of equal folded wording are one
+    distinct = named.groupBy("passage_id").agg(F.min(F.struct("passage", "windows", "anchor", "lengths", "keys")).alias("p")).select("passage_id", "p.*")
+    keys = written(distinct.select("passage_id", F.explode("keys").alias("k")).select("passage_id", "k.window", "k.key"), "passage-keys")
+    size = LEAST_BITS
+    while size < min(MOST_BITS, keys.count() * BITS_A_KEY):
+        size *= 2
+    anchors = sorted(r["anchor"] for r in named.select("anchor").distinct().filter("anchor > 0").collect())  # of ANCHORS
+    held = spark.sparkContext.broadcast(bit_table(keys, size))  # MOST_BITS at most
     kind = documents.schema[key].dataType.simpleString()
-    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") >= WINDOW)
-    rows = spread(rows)
-    schema = f"key {kind}, passage_no int, copied double, held array<int>"
-    found = spark.createDataFrame([], schema)
-    lengths = []
-    for i in range(0, len(held), PASS_CASES):
-        block = held[i : i + PASS_CASES]
-        passages = spark.sparkContext.broadcast(index_passages([str(i + n) for n in range(len(block))], [t for _, t in block]))
-        lengths += [(i + n, passages.value.block_length[passages.value.block_case == n].tolist()) for n in range(len(block))]
-
-        def look(batches: Iterator[pd.DataFrame], passages=passages, base=i) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            for pdf in batches:
-                keys, texts = pdf["key"], pdf["text"].tolist()
-                size, start = 0, 0
-                for at, t in enumerate(texts):
-                    size += len(t)
-                    # some 2 million characters at a time, whole texts
-                    if size > 2_000_000 or at == len(texts) - 1:
-                        hits = find_copies(passages.value, texts[start : at + 1], share, far, least_windows, apart)
-                        if hits:
-                            yield pd.DataFrame(
-                                {
-                                    "key": keys.iloc[[start + x for x, _, _, _ in hits]].to_numpy(),
-                                    "passage_no": [base + c for _, c, _, _ in hits],
-                                    "copied": [s for _, _, s, _ in hits],
-                                    "held": [h for _, _, _, h in hits],
-                                }
-                            )
-                        size, start = 0, at + 1
-
-        part = rows.mapInPandas(look, schema)
-        found = part if i == 0 else found.unionByName(part)
-    found = _without_stock(written(found), lengths, documents, least_windows)
-    names = spark.createDataFrame([(n, c) for n, (ids, _) in enumerate(held) for c in ids], "passage_no int, case_key string")
-    return found.join(names, "passage_no").select(F.col("key").alias(key), F.col("case_key").alias(case_key), "copied")
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            size, start = 0, 0
+            for at, t in enumerate(texts):
+                size += len(t)
+                # some 2 million characters at a time, whole texts
+                if size > 2_000_000 or at == len(texts) - 1:
+                    of, place, found = document_keys(texts[start : at + 1], anchors, held.value)
+                    order = np.argsort(of, kind="stable")
+                    some, first = np.unique(of[order], return_index=True)
+                    if len(some):
+                        hits = [[{"start": int(a), "key": int(b)} for a, b in zip(x, y, strict=True)] for x, y in zip(np.split(place[order], first[1:]), np.split(found[order], first[1:]), strict=True)]
+                        part = pdf.iloc[start + some]
+                        yield pd.DataFrame({"row": part["row"].to_numpy(), "key": part["key"].to_numpy(), "text": part["text"].to_numpy(), "hits": hits})
+                    size, start = 0, at + 1
+
+    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") >= min(ANCHORS))
+    rows = spread(rows).withColumn("row", F.monotonically_increasing_id())
+    touched = written(rows.mapInPandas(look, f"row bigint, key {kind}, text string, hits array<struct<start:int,key:bigint>>"), "touched")
+    hits = touched.select("row", F.explode("hits").alias("h")).select("row", "h.start", "h.key")
+    # a set of places and windows a document and passage: bounded by the document
+    pairs = hits.join(keys, "key").groupBy("row", "passage_id").agg(F.collect_set(F.struct("start", "window")).alias("at"))
+    pairs = pairs.join(distinct.select("passage_id", "passage", "windows"), "passage_id").filter(F.size("at") >= F.least(F.lit(2), F.col("windows")))
+    candidates = pairs.join(touched.select("row", "key", "text"), "row")
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        patterns: OrderedDict[tuple[str, ...], Passages] = OrderedDict()
+        for pdf in batches:
+            out = []
+            for begin in range(0, len(pdf), 2000):
+                some = pdf.iloc[begin : begin + 2000]
+                near = []
+                for i, (at, windows) in enumerate(zip(some["at"], some["windows"], strict=True)):
+                    start, window = np.array([x["start"] for x in at], int), np.array([x["window"] for x in at], int)
+                    near += [(i, low, high) for low, high in stretches(start, window, int(windows), least_windows, apart)]
+                if not near:
+                    continue
+                asked = tuple(sorted(set(some["passage"])))
+                if asked not in patterns:
+                    patterns.clear()
+                    patterns[asked] = patterns_of(list(asked))
+                p, number = patterns[asked], {x: n for n, x in enumerate(asked)}
+                used = sorted({i for i, _, _ in near})
+                stream, bounds = streams(some["text"].iloc[used].tolist())
+                place = {i: (bounds[n], bounds[n + 1]) for n, i in enumerate(used)}
+                case = np.array([number[some["passage"].iloc[i]] for i, _, _ in near])
+                pieces = []
+                for (i, low, high), c in zip(near, case, strict=True):
+                    a, b = place[i]
+                    # what lies beyond the outermost windows is at most the rest of the passage
+                    reach = int(p.block_length[p.first[c] : p.first[c + 1]].sum()) + BLOCK
+                    pieces.append(stream[max(a, a + low - reach) : min(b, a + high + WINDOW + reach)])
+                for x, copied, held_blocks in verify(p, pieces, case, share, far, apart):
+                    i = near[x][0]
+                    out.append((some["row"].iloc[i], some["key"].iloc[i], some["passage_id"].iloc[i], copied, held_blocks))
+            frame = pd.DataFrame(out, columns=["row", "key", "passage_id", "copied", "held"])
+            # of several stretches the fullest
+            yield frame.sort_values("copied", ascending=False, kind="stable").drop_duplicates(["row", "passage_id"]).drop(columns="row")
+
+    found = written(candidates.select("row", "key", "text", "passage_id", "passage", "windows", "at").mapInPandas(check, f"key {kind}, passage_id string, copied double, held array<int>"))
+    found = _without_stock(found, distinct.select("passage_id", "lengths"), documents, least_windows)
+    return found.join(named.select("passage_id", "case"), "passage_id").select(F.col("key").alias(key), F.col("case").alias(case_key), "copied")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import pandas as pd
+
 from folioflow.llm import languages as G
 from folioflow.llm import leakage as L
 from folioflow.llm import scans as S
@@ -40,7 +42,7 @@ def test_leaks(spark):
     assert L.leaked_passages(df.limit(0), cases).count() == 0 and L.leaked_passages(df, cases.limit(0)).count() == 0
 
 
-def test_leaks_of_passages_that_share_wording(spark, monkeypatch):
+def test_leaks_of_passages_that_share_wording(spark):
     r = random.Random(7)
     one, two, half, stock = passage(r), passage(r), passage(r, 45), passage(r, 60)
     held = [("a", one), ("b", one), ("in", two), ("out", f"{two} {passage(r, 30)}"), ("x", f"{half} {passage(r, 45)}"), ("y", f"{passage(r, 45)} {half}")]
@@ -50,11 +52,18 @@ def test_leaks_of_passages_that_share_wording(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id bigint, text string")
     truth = {(0, "a"), (0, "b"), (1, "in"), (1, "out"), (2, "x"), (2, "y"), (3, "in"), (3, "out"), (4, "s"), (5, "t")}
     cases = spark.createDataFrame(held, "case_id string, passage string")
-    for size in (1000, 1, 3):
-        monkeypatch.setattr(L, "PASS_CASES", size)
-        got = {(x.doc_id, x.case_id) for x in L.leaked_passages(docs, cases).collect()}
+    for parts in (1, 7):
+        got = {(x.doc_id, x.case_id) for x in L.leaked_passages(docs.repartition(parts), cases.repartition(parts)).collect()}
         # a copy of s holds the stock wording of t, and the other way round: no leak of t's own words
-        assert got == truth, (size, got ^ truth)
+        assert got == truth, (parts, got ^ truth)
+
+
+def test_short_passages(spark):
+    r = random.Random(3)
+    held = [("a", "Capital of Alsace is it"), ("b", "Answer: blue-grey."), ("c", "no"), ("d", "seven mules")]
+    docs = [(1, passage(r, 30) + " The CAPITAL of  Alsace, is it? " + passage(r, 30)), (2, "answer blue grey"), (3, passage(r, 40)), (4, "no"), (5, "Seven mules and more"), (6, "seven mu")]
+    got = L.leaked_passages(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(held, "case_id string, passage string")).collect()
+    assert sorted((x.doc_id, x.case_id) for x in got) == [(1, "a"), (2, "b"), (5, "d")]
 
 
 def test_candidates_reach_the_stated_recall():
@@ -62,7 +71,6 @@ def test_candidates_reach_the_stated_recall():
 
     r = random.Random(11)
     held = [passage(r) for _ in range(150)]
-    p = L.index_passages([str(i) for i in range(len(held))], held)
     texts, case = [], []
     for c, whole in enumerate(held):
         for share in (0.4, 0.5, 0.7, 1.0):
@@ -73,18 +81,16 @@ def test_candidates_reach_the_stated_recall():
             edited = "".join(x if r.random() > 0.05 else r.choice(["", r.choice("bcdfg"), x + r.choice("klmnp")]) for x in " ".join(w))
             texts += [f"{passage(r, 20)} {x} {passage(r, 20)}" for x in (" ".join(w), " ".join(r.choice(WORDS) if i % 8 == 3 else x for i, x in enumerate(w)), edited)]
             case += [c] * 3
+    of, window, key, windows, anchor = L.passage_keys(held)
+    assert not anchor.any()
+    everything = np.full(1 << 10, 255, "u1")
+    text, start, found = L.document_keys(texts, [], everything)
+    both = pd.DataFrame({"key": found, "text": text, "start": start}).merge(pd.DataFrame({"key": key, "case": of, "window": window}), on="key")
+    have = {k for k, x in both.groupby(["text", "case"]) if L.stretches(x["start"].to_numpy(), x["window"].to_numpy(), int(windows[k[1]]), 0.1, 1200)}
+    p = L.patterns_of(held)
     stream, bounds = L.streams(texts)
-    pairs = L._pairs(p, stream, bounds, 0.1, 1200)
-    have = set(zip(pairs["text"], pairs["case"], strict=True))
-    hit = want = 0
-    for i in range(0, len(texts), 100):
-        part = range(i, min(i + 100, len(texts)))
-        blocks = [np.flatnonzero(p.block_case == case[k]) for k in part]
-        of = np.repeat(np.arange(len(part)), [len(b) for b in blocks])
-        d, place = L._distances(p, np.concatenate(blocks), [p.symbols[stream[bounds[k] : bounds[k + 1]]] for k in part], of)
-        for x, k in enumerate(part):
-            if L._copied(d[of == x], place[of == x], p.block_length[blocks[x]], 0.2, L.BLOCK * 2 // 5, 1200)[0] >= 0.35:
-                want, hit = want + 1, hit + ((k, case[k]) in have)
+    copies = L.verify(p, [stream[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], np.array(case), 0.35, 0.2, 1200)
+    want, hit = len(copies), sum((k, case[k]) in have for k, _, _ in copies)
     assert want > 1000 and hit >= 0.99 * want, (hit, want)
 
 
@@ -102,7 +108,7 @@ def test_edit_distances_are_exact():
 
     r = random.Random(1)
     text = "".join(r.choice("abc") for _ in range(60))
-    p = L.index_passages(["x"], [text])
+    p = L.patterns_of([text])
     other = "".join(r.choice("abc") for _ in range(80)) + text[10:40] + "cab"
     stream, _ = L.streams([other])
     own, _ = L.streams([text])
