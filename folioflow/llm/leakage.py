@@ -5,8 +5,10 @@ look-alike characters are gone. Windows of a stream begin at content-defined pla
 in a copy wherever it stands. A random walk after Chakraborty, Goldenberg and Koucky (2016)
 embeds each window so that edit distance becomes Hamming distance; bit sampling gives each window
 a key in each of several LSH tables, and keys of documents meet those of held-out passages in a
-join. Documents are read and embedded once, whatever the number of passages: what has no key in
-a bit table of the passages' keys, of fixed size, is dropped before anything is shuffled.
+join. Documents are read and embedded once, whatever the number of passages. As long as the
+passages' keys are few (``BROADCAST_KEYS``) every task has them and nothing of a document is
+shuffled; beyond that, what has no key in a bit table of fixed size is dropped and the rest meets
+the keys in a join by key. Both ways give the same rows.
 A pair of a document and a passage that shares enough windows is then verified exactly: the
 edit distance of every block of the passage within the stretch of the document, by the
 bit-parallel algorithm of Myers (1999) run over many pairs at once. Only then stock wording is
@@ -20,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -45,6 +46,8 @@ SAMPLED, TABLES = 14, 8
 BLOCK = 40
 #: Folded characters by which shorter passages are looked up: the most of these that a passage has.
 ANCHORS = (24, 16, 10, 6)
+#: Keys, and characters of passages, up to which all tasks get them.
+BROADCAST_KEYS, BROADCAST_CHARACTERS = 1_000_000, 16_000_000
 #: Bits of the table of the passages' keys: at least and at most, and so many a key in between.
 LEAST_BITS, MOST_BITS, BITS_A_KEY = 1 << 20, 1 << 27, 64
 #: Stock wording: blocks held by so many documents and this share of all, and this many times those that hold the whole passage.
@@ -250,13 +253,18 @@ def patterns_of(texts: list[str]) -> Passages:
     return Passages(case, length, first, symbols, patterns)
 
 
-def stretches(start: np.ndarray, window: np.ndarray, windows: int, least_windows: float, apart: int) -> list[tuple[int, int]]:
-    """(low, high) of the stretches of a document in which enough windows of a passage lie."""
-    order = np.argsort(start, kind="stable")
-    start, window = start[order], window[order]
-    cut = np.flatnonzero(np.diff(start) > apart + WINDOW) + 1
-    need = min(max(2, least_windows * windows), windows)
-    return [(int(a[0]), int(a[-1])) for a, w in zip(np.split(start, cut), np.split(window, cut), strict=True) if len(set(w.tolist())) >= need]
+def stretches(text: np.ndarray, case: np.ndarray, start: np.ndarray, window: np.ndarray, windows: np.ndarray, least_windows: float, apart: int) -> pd.DataFrame:
+    """(text, case, low, high): stretches of texts in which enough windows of a passage lie; ``windows`` counts those of each case."""
+    found = pd.DataFrame({"text": text, "case": case, "start": start, "window": window}).drop_duplicates().sort_values(["text", "case", "start"], kind="stable")
+    if not len(found):
+        return found.assign(low=0, high=0)[["text", "case", "low", "high"]]
+    t, c, at = (found[x].to_numpy() for x in ("text", "case", "start"))
+    new = np.r_[True, (t[1:] != t[:-1]) | (c[1:] != c[:-1]) | (at[1:] - at[:-1] > apart + WINDOW)]
+    found["stretch"] = np.cumsum(new)
+    counts = found.groupby(["text", "case", "stretch"]).agg(n=("window", "nunique"), low=("start", "min"), high=("start", "max")).reset_index()
+    have = windows[counts["case"].to_numpy(int)]
+    kept = counts[counts["n"].to_numpy() >= np.minimum(np.maximum(2, least_windows * have), have)]
+    return kept[["text", "case", "low", "high"]]
 
 
 def _distances(p: Passages, blocks: np.ndarray, texts: list[np.ndarray], of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -357,6 +365,51 @@ def verify(p: Passages, pieces: list[np.ndarray], case: np.ndarray, share: float
     return out
 
 
+class Verifier:
+    """Verifies stretches of texts; the patterns of the passages last asked for are kept."""
+
+    def __init__(self, share: float, far: float, apart: int):
+        self.share, self.far, self.apart = share, far, apart
+        self.asked: tuple[str, ...] = ()
+        self.patterns: Passages | None = None
+
+    def copies(self, near: pd.DataFrame, texts: list[str], passages: list[str]) -> list[tuple[int, int, float, list[int]]]:
+        """(text, case, share copied, blocks copied) of the rows of ``stretches`` that are copies, the fullest of a pair."""
+        if not len(near):
+            return []
+        asked = tuple(sorted({passages[c] for c in near["case"]}))
+        if asked != self.asked:
+            self.asked, self.patterns = asked, patterns_of(list(asked))
+        p, number = self.patterns, {x: n for n, x in enumerate(asked)}
+        used = sorted(set(near["text"]))
+        stream, bounds = streams([texts[i] for i in used])
+        at = {i: n for n, i in enumerate(used)}
+        case = np.array([number[passages[c]] for c in near["case"]])
+        pieces = []
+        for i, low, high, c in zip(near["text"], near["low"], near["high"], case, strict=True):
+            a, b = bounds[at[i]], bounds[at[i] + 1]
+            # what lies beyond the outermost windows is at most the rest of the passage
+            reach = int(p.block_length[p.first[c] : p.first[c + 1]].sum()) + BLOCK
+            pieces.append(stream[max(a, a + low - reach) : min(b, a + high + WINDOW + reach)])
+        best: dict[tuple[int, int], tuple[float, list[int]]] = {}
+        text, of = near["text"].to_numpy(), near["case"].to_numpy()
+        for x, copied, held in verify(p, pieces, case, self.share, self.far, self.apart):
+            pair = (int(text[x]), int(of[x]))
+            if pair not in best or copied > best[pair][0]:
+                best[pair] = (copied, held)
+        return [(*pair, *found) for pair, found in best.items()]
+
+
+def _portions(texts: list[str], most: int = 2_000_000) -> Iterator[slice]:
+    """Runs of some 2 million characters, whole texts."""
+    size, start = 0, 0
+    for at, t in enumerate(texts):
+        size += len(t)
+        if size > most or at == len(texts) - 1:
+            yield slice(start, at + 1)
+            size, start = 0, at + 1
+
+
 def _without_stock(found: DataFrame, blocks: DataFrame, documents: DataFrame, least: float) -> DataFrame:
     """Pairs that hold the whole passage, or more of it than wording that very many documents hold."""
     whole = found.groupBy("passage_id").agg(F.count(F.when(F.col("copied") >= WHOLE, 1)).alias("whole"))
@@ -385,6 +438,7 @@ def leaked_passages(
     far: float = 0.2,
     least_windows: float = 0.1,
     apart: int = 1200,
+    broadcast_keys: int = BROADCAST_KEYS,
 ) -> DataFrame:
     """(key, case_key, copied): documents that reproduce a share of a held-out passage in order.
 
@@ -431,32 +485,84 @@ def leaked_passages(
     # passages of equal folded wording are one
     distinct = named.groupBy("passage_id").agg(F.min(F.struct("passage", "windows", "anchor", "lengths", "keys")).alias("p")).select("passage_id", "p.*")
     keys = written(distinct.select("passage_id", F.explode("keys").alias("k")).select("passage_id", "k.window", "k.key"), "passage-keys")
-    size = LEAST_BITS
-    while size < min(MOST_BITS, keys.count() * BITS_A_KEY):
-        size *= 2
     anchors = sorted(r["anchor"] for r in named.select("anchor").distinct().filter("anchor > 0").collect())  # of ANCHORS
-    held = spark.sparkContext.broadcast(bit_table(keys, size))  # MOST_BITS at most
     kind = documents.schema[key].dataType.simpleString()
+    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") >= min(ANCHORS))
+    rows = spread(rows)
+    size = keys.count()
+    characters = distinct.agg(F.sum(F.length("passage"))).first()[0] or 0
+    how = (share, far, apart, least_windows)
+    if size <= broadcast_keys and characters <= BROADCAST_CHARACTERS:
+        found = _found_in_tasks(rows, distinct, keys, anchors, kind, *how)
+    else:
+        found = _found_by_join(rows, distinct, keys, size, anchors, kind, *how)
+    found = written(found)
+    found = _without_stock(found, distinct.select("passage_id", "lengths"), documents, least_windows)
+    return found.join(named.select("passage_id", "case"), "passage_id").select(F.col("key").alias(key), F.col("case").alias(case_key), "copied")
+
+
+_FOUND = "key {kind}, passage_id string, copied double, held array<int>"
+
+
+def _found_in_tasks(rows: DataFrame, distinct: DataFrame, keys: DataFrame, anchors: list[int], kind: str, share: float, far: float, apart: int, least_windows: float) -> DataFrame:
+    """Copies of passages whose keys all tasks hold: sorted, looked up where a document has them."""
+    listed = distinct.select("passage_id", "passage", "windows").toPandas()
+    number = {x: i for i, x in enumerate(listed["passage_id"])}
+    table = keys.toPandas()
+    order = np.argsort(table["key"].to_numpy("i8"), kind="stable")
+    index = rows.sparkSession.sparkContext.broadcast(  # BROADCAST_KEYS and BROADCAST_CHARACTERS at most
+        (
+            listed["passage_id"].tolist(),
+            listed["passage"].tolist(),
+            listed["windows"].to_numpy(int),
+            table["key"].to_numpy("i8")[order],
+            np.array([number[x] for x in table["passage_id"]], "i4")[order],
+            table["window"].to_numpy("i4")[order],
+        )
+    )
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, passages, windows, key, case, window = index.value
+        bits = np.zeros(LEAST_BITS * 8, "u1")
+        at = key.view("u8") & np.uint64(len(bits) * 8 - 1)
+        np.bitwise_or.at(bits, (at >> np.uint64(3)).astype("i8"), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype("u1")))
+        verifier = Verifier(share, far, apart)
         for pdf in batches:
-            texts = pdf["text"].tolist()
-            size, start = 0, 0
-            for at, t in enumerate(texts):
-                size += len(t)
-                # some 2 million characters at a time, whole texts
-                if size > 2_000_000 or at == len(texts) - 1:
-                    of, place, found = document_keys(texts[start : at + 1], anchors, held.value)
-                    order = np.argsort(of, kind="stable")
-                    some, first = np.unique(of[order], return_index=True)
-                    if len(some):
-                        hits = [[{"start": int(a), "key": int(b)} for a, b in zip(x, y, strict=True)] for x, y in zip(np.split(place[order], first[1:]), np.split(found[order], first[1:]), strict=True)]
-                        part = pdf.iloc[start + some]
-                        yield pd.DataFrame({"row": part["row"].to_numpy(), "key": part["key"].to_numpy(), "text": part["text"].to_numpy(), "hits": hits})
-                    size, start = 0, at + 1
+            keyed, texts = pdf["key"].to_numpy(), pdf["text"].tolist()
+            for some in _portions(texts):
+                of, start, seen = document_keys(texts[some], anchors, bits)
+                a = np.searchsorted(key, seen, "left")
+                n = np.searchsorted(key, seen, "right") - a
+                hit = np.repeat(np.arange(len(seen)), n)
+                entry = np.repeat(a, n) + np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)
+                near = stretches(of[hit], case[entry], start[hit], window[entry], windows, least_windows, apart)
+                found = verifier.copies(near, texts[some], passages)
+                if found:
+                    yield pd.DataFrame({"key": keyed[[some.start + t for t, _, _, _ in found]], "passage_id": [ids[c] for _, c, _, _ in found], "copied": [x for _, _, x, _ in found], "held": [h for _, _, _, h in found]})
+
+    return rows.mapInPandas(look, _FOUND.format(kind=kind))
+
+
+def _found_by_join(rows: DataFrame, distinct: DataFrame, keys: DataFrame, count: int, anchors: list[int], kind: str, share: float, far: float, apart: int, least_windows: float) -> DataFrame:
+    """Copies of any number of passages: documents' keys that pass the bit table are joined with theirs."""
+    size = LEAST_BITS
+    while size < min(MOST_BITS, count * BITS_A_KEY):
+        size *= 2
+    held = rows.sparkSession.sparkContext.broadcast(bit_table(keys, size))  # MOST_BITS at most
 
-    rows = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).filter(F.length("text") >= min(ANCHORS))
-    rows = spread(rows).withColumn("row", F.monotonically_increasing_id())
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            for part in _portions(texts):
+                of, place, found = document_keys(texts[part], anchors, held.value)
+                order = np.argsort(of, kind="stable")
+                some, first = np.unique(of[order], return_index=True)
+                if len(some):
+                    hits = [[{"start": int(a), "key": int(b)} for a, b in zip(x, y, strict=True)] for x, y in zip(np.split(place[order], first[1:]), np.split(found[order], first[1:]), strict=True)]
+                    mine = pdf.iloc[part.start + some]
+                    yield pd.DataFrame({"row": mine["row"].to_numpy(), "key": mine["key"].to_numpy(), "text": mine["text"].to_numpy(), "hits": hits})
+
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
     touched = written(rows.mapInPandas(look, f"row bigint, key {kind}, text string, hits array<struct<start:int,key:bigint>>"), "touched")
     hits = touched.select("row", F.explode("hits").alias("h")).select("row", "h.start", "h.key")
     # a set of places and windows a document and passage: bounded by the document
@@ -465,42 +571,19 @@ def leaked_passages(
     candidates = pairs.join(touched.select("row", "key", "text"), "row")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        patterns: OrderedDict[tuple[str, ...], Passages] = OrderedDict()
+        verifier = Verifier(share, far, apart)
         for pdf in batches:
-            out = []
             for begin in range(0, len(pdf), 2000):
-                some = pdf.iloc[begin : begin + 2000]
-                near = []
-                for i, (at, windows) in enumerate(zip(some["at"], some["windows"], strict=True)):
-                    start, window = np.array([x["start"] for x in at], int), np.array([x["window"] for x in at], int)
-                    near += [(i, low, high) for low, high in stretches(start, window, int(windows), least_windows, apart)]
-                if not near:
-                    continue
-                asked = tuple(sorted(set(some["passage"])))
-                if asked not in patterns:
-                    patterns.clear()
-                    patterns[asked] = patterns_of(list(asked))
-                p, number = patterns[asked], {x: n for n, x in enumerate(asked)}
-                used = sorted({i for i, _, _ in near})
-                stream, bounds = streams(some["text"].iloc[used].tolist())
-                place = {i: (bounds[n], bounds[n + 1]) for n, i in enumerate(used)}
-                case = np.array([number[some["passage"].iloc[i]] for i, _, _ in near])
-                pieces = []
-                for (i, low, high), c in zip(near, case, strict=True):
-                    a, b = place[i]
-                    # what lies beyond the outermost windows is at most the rest of the passage
-                    reach = int(p.block_length[p.first[c] : p.first[c + 1]].sum()) + BLOCK
-                    pieces.append(stream[max(a, a + low - reach) : min(b, a + high + WINDOW + reach)])
-                for x, copied, held_blocks in verify(p, pieces, case, share, far, apart):
-                    i = near[x][0]
-                    out.append((some["row"].iloc[i], some["key"].iloc[i], some["passage_id"].iloc[i], copied, held_blocks))
-            frame = pd.DataFrame(out, columns=["row", "key", "passage_id", "copied", "held"])
-            # of several stretches the fullest
-            yield frame.sort_values("copied", ascending=False, kind="stable").drop_duplicates(["row", "passage_id"]).drop(columns="row")
-
-    found = written(candidates.select("row", "key", "text", "passage_id", "passage", "windows", "at").mapInPandas(check, f"key {kind}, passage_id string, copied double, held array<int>"))
-    found = _without_stock(found, distinct.select("passage_id", "lengths"), documents, least_windows)
-    return found.join(named.select("passage_id", "case"), "passage_id").select(F.col("key").alias(key), F.col("case").alias(case_key), "copied")
+                some = pdf.iloc[begin : begin + 2000].reset_index(drop=True)
+                at = np.repeat(np.arange(len(some)), [len(x) for x in some["at"]])
+                start, window = (np.array([x[name] for places in some["at"] for x in places], int) for name in ("start", "window"))
+                near = stretches(at, at, start, window, some["windows"].to_numpy(int), least_windows, apart)
+                found = verifier.copies(near, some["text"].tolist(), some["passage"].tolist())
+                if found:
+                    i = [t for t, _, _, _ in found]
+                    yield pd.DataFrame({"key": some["key"].to_numpy()[i], "passage_id": some["passage_id"].to_numpy()[i], "copied": [x for _, _, x, _ in found], "held": [h for _, _, _, h in found]})
+
+    return candidates.select("key", "text", "passage_id", "passage", "windows", "at").mapInPandas(check, _FOUND.format(kind=kind))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

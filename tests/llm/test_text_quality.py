@@ -52,8 +52,8 @@ def test_leaks_of_passages_that_share_wording(spark):
     docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id bigint, text string")
     truth = {(0, "a"), (0, "b"), (1, "in"), (1, "out"), (2, "x"), (2, "y"), (3, "in"), (3, "out"), (4, "s"), (5, "t")}
     cases = spark.createDataFrame(held, "case_id string, passage string")
-    for parts in (1, 7):
-        got = {(x.doc_id, x.case_id) for x in L.leaked_passages(docs.repartition(parts), cases.repartition(parts)).collect()}
+    for parts, keys in ((1, L.BROADCAST_KEYS), (7, L.BROADCAST_KEYS), (5, 0)):
+        got = {(x.doc_id, x.case_id) for x in L.leaked_passages(docs.repartition(parts), cases.repartition(parts), broadcast_keys=keys).collect()}
         # a copy of s holds the stock wording of t, and the other way round: no leak of t's own words
         assert got == truth, (parts, got ^ truth)
 
@@ -62,8 +62,9 @@ def test_short_passages(spark):
     r = random.Random(3)
     held = [("a", "Capital of Alsace is it"), ("b", "Answer: blue-grey."), ("c", "no"), ("d", "seven mules")]
     docs = [(1, passage(r, 30) + " The CAPITAL of  Alsace, is it? " + passage(r, 30)), (2, "answer blue grey"), (3, passage(r, 40)), (4, "no"), (5, "Seven mules and more"), (6, "seven mu")]
-    got = L.leaked_passages(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(held, "case_id string, passage string")).collect()
-    assert sorted((x.doc_id, x.case_id) for x in got) == [(1, "a"), (2, "b"), (5, "d")]
+    for keys in (L.BROADCAST_KEYS, 0):
+        got = L.leaked_passages(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(held, "case_id string, passage string"), broadcast_keys=keys).collect()
+        assert sorted((x.doc_id, x.case_id) for x in got) == [(1, "a"), (2, "b"), (5, "d")]
 
 
 def test_candidates_reach_the_stated_recall():
@@ -86,7 +87,8 @@ def test_candidates_reach_the_stated_recall():
     everything = np.full(1 << 10, 255, "u1")
     text, start, found = L.document_keys(texts, [], everything)
     both = pd.DataFrame({"key": found, "text": text, "start": start}).merge(pd.DataFrame({"key": key, "case": of, "window": window}), on="key")
-    have = {k for k, x in both.groupby(["text", "case"]) if L.stretches(x["start"].to_numpy(), x["window"].to_numpy(), int(windows[k[1]]), 0.1, 1200)}
+    near = L.stretches(*[both[c].to_numpy() for c in ("text", "case", "start", "window")], windows, 0.1, 1200)
+    have = set(zip(near["text"], near["case"], strict=True))
     p = L.patterns_of(held)
     stream, bounds = L.streams(texts)
     copies = L.verify(p, [stream[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], np.array(case), 0.35, 0.2, 1200)
