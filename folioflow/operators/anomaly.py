@@ -150,6 +150,16 @@ def _blocks(hours: DataFrame, block_rows: int, halo_rows: int) -> DataFrame:
     )
 
 
+def with_margins(rows: DataFrame, block_rows: int, halo_rows: int) -> DataFrame:
+    """``rows`` (with columns src and unit) with ``block`` and ``own``: cut into blocks of time, each with a margin.
+
+    A row is in its own block once and, as a margin, in the block beside it if that is near.
+    """
+    places = _blocks(rows.groupBy("src", "unit").agg(F.count("*").alias("n")), block_rows, halo_rows)
+    placed = rows.join(places, ["src", "unit"]).withColumn("place", F.explode("places"))
+    return placed.select(*rows.columns, "place.block", "place.own")
+
+
 def implausible_readings(
     readings: DataFrame,
     *,
@@ -200,8 +210,6 @@ def implausible_readings(
         .distinct()
     )
     timed = rows.filter(F.col("ts").isNotNull()).withColumn("unit", F.floor(F.unix_micros("ts") / (unit_seconds * 1_000_000)))
-    counts = timed.groupBy("src", "unit").agg(F.count("*").alias("n"))
-    places = _blocks(counts, block_rows, halo)
     hour_of = F.pmod(F.floor(F.col("unit") * unit_seconds / 3600), F.lit(24)).cast("int")
     course = (
         timed.withColumn("hour", hour_of)
@@ -223,11 +231,7 @@ def implausible_readings(
         .select("src", F.when(F.col("seasonal"), F.col("course")).alias("course"))
     )
     # the daily course is at most 24 rows a source and rides along with the margins' plan
-    grouped = (
-        timed.join(places, ["src", "unit"])
-        .withColumn("place", F.explode("places"))
-        .select("key", "src", "ts", *[f"m{i}" for i in range(len(metrics))], "place.block", "place.own")
-    )
+    grouped = with_margins(timed, block_rows, halo).select("key", "src", "ts", *[f"m{i}" for i in range(len(metrics))], "block", "own")
     grouped = grouped.join(course, "src", "left")
     names = metrics
 

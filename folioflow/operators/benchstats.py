@@ -7,29 +7,43 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.runtime import null_safe_key
+
+
+def _bucket(v: Column) -> Column:
+    """A coarse integer of a number that keeps the order: 64 steps a power of two, NaN last."""
+    size = F.floor(F.log2(F.abs(v)) * 64) + 80_000
+    return F.when(F.isnan(v), 1_000_000).when(v > 0, size).when(v < 0, -size).otherwise(0).cast("int")
+
 
 def percentile_rules(rows: DataFrame, groups: Sequence[str], value: str, p: float) -> DataFrame:
     """(groups..., n, nearest, floor_index, linear): the three rules in use, exact.
 
-    Values are counted before they are ranked, so what is sorted is the distinct values.
+    Counts of coarse buckets, pre-aggregated, tell which buckets hold the wanted ranks; only
+    the values of those are counted one by one and ranked. Null values are left out, a null
+    group is a group, an empty table gives no rows.
     """
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("c"))
-    line = Window.partitionBy(*groups).orderBy(value)
-    upto = counts.withColumn("end", F.sum("c").over(line)).withColumn("begin", F.col("end") - F.col("c"))
-    n = F.sum("c").over(Window.partitionBy(*groups))
-    upto = upto.withColumn("n", n)
-
-    def at(rank: Column) -> Column:  # rank counted from 0
-        return F.max(F.when((F.col("begin") <= rank) & (rank < F.col("end")), F.col(value)))
-
+    keys = [f"_g{i}" for i in range(len(groups))]
+    v = rows.filter(F.col(value).isNotNull()).select(*[null_safe_key(F.col(g)).alias(k) for g, k in zip(groups, keys, strict=True)], F.col(value).cast("double").alias("v")).withColumn("bucket", _bucket(F.col("v")))
+    coarse = v.groupBy(*keys, "bucket").agg(F.count("*").alias("c"))
+    line = Window.partitionBy(*keys).orderBy("bucket")
+    upto = coarse.withColumn("end", F.sum("c").over(line)).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
     last = F.col("n") - 1
     low = F.floor(last * p)
-    part = F.max(last * p - low)
-    return upto.groupBy(*groups, "n").agg(
-        at(F.greatest(F.lit(0), F.ceil(F.col("n") * p) - 1)).alias("nearest"),
-        at(F.least(last, F.floor(F.col("n") * p))).alias("floor_index"),
-        (at(low) + part * (at(F.least(last, low + 1)) - at(low))).alias("linear"),
+    ranks = (F.greatest(F.lit(0), F.ceil(F.col("n") * p) - 1), F.least(last, F.floor(F.col("n") * p)), low, F.least(last, low + 1))
+    wanted = (
+        upto.select(*keys, "bucket", "c", "end", "n", F.posexplode(F.array(*[r.cast("bigint") for r in ranks])).alias("rule", "rank"))
+        .filter((F.col("end") - F.col("c") <= F.col("rank")) & (F.col("rank") < F.col("end")))
+        .select(*keys, "bucket", "n", "rule", (F.col("rank") - F.col("end") + F.col("c")).alias("rank"))
     )
+    fine = v.join(wanted.select(*keys, "bucket").distinct(), [*keys, "bucket"], "left_semi").groupBy(*keys, "bucket", "v").agg(F.count("*").alias("c"))
+    inside = fine.withColumn("end", F.sum("c").over(Window.partitionBy(*keys, "bucket").orderBy("v")))
+    found = inside.join(wanted, [*keys, "bucket"]).filter((F.col("end") - F.col("c") <= F.col("rank")) & (F.col("rank") < F.col("end")))
+    at = lambda rule: F.max(F.when(F.col("rule") == rule, F.col("v")))
+    part = F.max((F.col("n") - 1) * p - F.floor((F.col("n") - 1) * p))
+    out = found.groupBy(*keys, "n").agg(at(0).alias("nearest"), at(1).alias("floor_index"), (at(2) + part * (at(3) - at(2))).alias("linear"))
+    named = [F.when(F.col(k) != "n", F.expr(f"substring({k}, 2)")).cast(rows.schema[g].dataType).alias(g) for g, k in zip(groups, keys, strict=True)]
+    return out.select(*named, "n", "nearest", "floor_index", "linear")
 
 
 def speedup(base: Column, now: Column) -> Column:

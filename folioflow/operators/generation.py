@@ -11,6 +11,7 @@ RULES = (
     "Cite document and pages. If the evidence does not hold the answer, say that it is insufficient. Give no diagnosis."
 )
 NO_RULES = "No evidence was found for this question. Say so and do not guess."
+# The lines around the evidence.
 BEGIN, END = "--- BEGIN UNTRUSTED RETRIEVED EVIDENCE ---", "--- END UNTRUSTED RETRIEVED EVIDENCE ---"
 # Words of a question that tell nothing about its subject.
 STOPWORDS = "what which where when does were patient clinical documented undergo have with this that from report".split()

@@ -18,21 +18,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.operators import retrieval as R
+from folioflow.operators.scheduling import global_rank
 
+# Fixed value: what the embedding model expects before a question.
 QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
 Embedder = Callable[[pd.Series], list[np.ndarray]]
 
 
 def hashing_embedder(dimension: int = 64) -> Embedder:
-    """Signed counts of hashed words: the same on every machine, no model needed."""
+    """Signed counts of hashed words: the same on every machine, no model needed.
+
+    The first two hexadecimal digits of a word's MD5 name its place, the third its sign, so that
+    SQL can say it too. At most 256 places.
+    """
+    known: dict[str, tuple[int, float]] = {}
+
+    def place(word: str) -> tuple[int, float]:
+        found = known.get(word)
+        if found is None:
+            h = hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()
+            if len(known) > 200_000:  # memory stays bounded
+                known.clear()
+            found = known[word] = (int(h[:2], 16) % dimension, 1.0 if h[2] < "8" else -1.0)
+        return found
 
     def embed(texts: pd.Series) -> list[np.ndarray]:
         out = []
         for t in texts:
             v = np.zeros(dimension, "f4")
             for w in re.findall(r"[a-z0-9]+", (t or "").lower()):
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-                v[h % dimension] += 1.0 if (h >> 32) & 1 else -1.0
+                at, sign = place(w)
+                v[at] += sign
             out.append(v)
         return out
 
@@ -110,6 +126,49 @@ def pdf_pages(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(read, "path string, page_number int, text string")
 
 
+def sampled_pages(n: int) -> list[int]:
+    """Indices of the pages that are looked at closely: every tenth of the document."""
+    return list(range(0, n, max(1, n // 10)))
+
+
+def page_structure(page) -> dict:  # noqa: ANN001
+    """Fonts, size, characters and image share of a page object of a PDF library (``resources``, ``mediabox``, ``extract_text``)."""
+    resources = page.get("/Resources", {}) or {}
+    fonts = sorted({str(f.get("/BaseFont", name)) for name, f in (resources.get("/Font", {}) or {}).items()})
+    width, height = float(page.mediabox.width), float(page.mediabox.height)
+    objects = (resources.get("/XObject", {}) or {}).values()
+    pixels = sum(int(o.get("/Width", 0)) * int(o.get("/Height", 0)) for o in objects if o.get("/Subtype") == "/Image")
+    # at 150 dots an inch an image of the page's size covers it
+    whole = max(1.0, width / 72 * 150 * height / 72 * 150)
+    return {"fonts": fonts, "width": width, "height": height, "characters": len(page.extract_text() or ""), "image_density": min(1.0, pixels / whole)}
+
+
+def pdf_structure(files: DataFrame) -> DataFrame:
+    """(path, pages, fonts, width, height, text_pages, image_density) of PDF files: all pages' text, every tenth's images."""
+    if not importlib.util.find_spec("pypdf"):
+        raise RuntimeError("reading PDF files needs pypdf, which is optional")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+
+        import pypdf
+
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    pages = pypdf.PdfReader(io.BytesIO(content)).pages
+                    seen = [page_structure(pages[i]) for i in sampled_pages(len(pages))]
+                    fonts = sorted({f for s in seen for f in s["fonts"]})
+                    density = sum(s["image_density"] for s in seen) / max(1, len(seen))
+                    rows.append((path, max(1, len(pages)), fonts, seen[0]["width"], seen[0]["height"], sum(s["characters"] > 0 for s in seen), density))
+                except Exception:  # noqa: BLE001 - a file that can't be read has one empty page
+                    rows.append((path, 1, [], 0.0, 0.0, 0, 0.0))
+            yield pd.DataFrame(rows, columns=["path", "pages", "fonts", "width", "height", "text_pages", "image_density"])
+
+    return files.select("path", "content").mapInPandas(read, "path string, pages int, fonts array<string>, width double, height double, text_pages int, image_density double")
+
+
 def ctc_decode(scores: np.ndarray, alphabet: str, blank: int = 0) -> tuple[str, float]:
     """Greedy reading of (steps, symbols) scores: best symbol a step, repeats and blanks dropped; mean probability."""
     p = np.exp(scores - scores.max(1, keepdims=True))
@@ -135,18 +194,14 @@ def cycled(pool: DataFrame, order: str, n: int) -> DataFrame:
     size = pool.count()
     if not size:
         raise ValueError("the pool is empty")
-    from pyspark.sql import Window
-
-    numbered = pool.withColumn("_place", F.row_number().over(Window.orderBy(order)) - 1)
+    numbered = global_rank(pool, [F.col(order)], "_place").withColumn("_place", F.col("_place") - 1)
     return pool.sparkSession.range(n).select(F.col("id").alias("position"), (F.col("id") % size).alias("_place")).join(numbered, "_place").drop("_place")
 
 
 def interleaved(classes: list[DataFrame], order: str) -> DataFrame:
     """First rows of every class, then the second ones, and so on, numbered by ``position``."""
-    from pyspark.sql import Window
-
     placed = None
     for i, c in enumerate(classes):
-        part = c.withColumn("_turn", F.row_number().over(Window.orderBy(order))).withColumn("_class", F.lit(i))
+        part = global_rank(c, [F.col(order)], "_turn").withColumn("_class", F.lit(i))
         placed = part if placed is None else placed.unionByName(part)
-    return placed.withColumn("position", F.row_number().over(Window.orderBy("_turn", "_class")) - 1).drop("_turn", "_class")
+    return global_rank(placed, [F.col("_turn"), F.col("_class")], "position").withColumn("position", F.col("position") - 1).drop("_turn", "_class")

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from folioflow.functions.text import tokens
 
-#: Rows up to which the query side of a search is broadcast; beyond it the joins shuffle.
-BROADCAST_ROWS = 100_000
+#: Rows of a block of queries that is broadcast to the vectors.
+BLOCK_QUERIES = 4096
 MAX_TOP_K = 50
 
 
@@ -110,7 +110,7 @@ def cosine_scores(vectors: DataFrame, queries: DataFrame, key: str = "id", vecto
     unit = vectors.select(F.col(key).alias("id"), normalised(F.col(vector)).alias("v"))
     asked = queries.select("query", normalised(F.col("query_vector")).alias("q"))
     n = asked.count()
-    blocks = max(1, -(-n // 4096))
+    blocks = max(1, -(-n // BLOCK_QUERIES))
     parts = [asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i) for i in range(blocks)]
     out = None
     for part in parts:

@@ -7,10 +7,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import clamp
+from folioflow.runtime import null_safe_key
 
 # A standard page in points, and the pixels of the largest page that counts.
 PAGE_AREA = 612.0 * 792.0
 MOST_PIXELS = 2550 * 3300
+# Fixed value: megabytes of free GPU memory that a page needs.
+LEAST_FREE_MB = 256.0
 
 
 def complexity(scanned: Column, chars: Column, density: Column, images: Column, area: Column) -> Column:
@@ -32,27 +35,45 @@ def intensity(width: Column, height: Column, density: Column, effort: Column, ch
     return clamp(0.35 * clamp(pixels / MOST_PIXELS, 0, 1) + 0.25 * clamp(density, 0, 1) + 0.25 * clamp(effort, 0, 1) + 0.15 * clamp(chars / 3000.0, 0, 1), 0, 1)
 
 
-def suitability(level: Column, text: Column, gpu: Column, cpu: Column, queue: Column, warm: Column, pages: Column) -> Column:
-    """Struct (cpu_score, gpu_score, confidence, backend) from intensity, text density and load."""
+def suitability(level: Column, text: Column, gpu: Column, cpu: Column, queue: Column, warm: Column, pages: Column, free_mb: Column | None = None, pixels: Column | None = None) -> Column:
+    """Struct (cpu_score, gpu_score, confidence, backend, reason) from intensity, text density and load.
+
+    Less than ``LEAST_FREE_MB`` of free GPU memory counts against the GPU; an unknown amount does not.
+    """
     dense = (text > 0.40) & (level > 0.60)
     g = 0.20 + 0.75 * level - F.when(dense, 0.08 * text).otherwise(0.0)
     c = 0.85 - 0.65 * level + F.when(dense, 0.12 * text).otherwise(0.0)
     g = g * F.when(warm, 1.0).otherwise(0.35 + 0.65 * F.least(F.lit(1.0), pages / 15.0))
     busy = F.when(gpu > 80, F.greatest(F.lit(0.2), 1.0 - 0.8 * (gpu - 80) / 20.0)).otherwise(F.lit(1.0))
+    if free_mb is not None:
+        g = g * F.when(free_mb < LEAST_FREE_MB, 0.30).otherwise(1.0)
     g = g * busy * F.when((queue > 4) & (busy < 0.8), 0.85).otherwise(1.0)
     c = c * F.when(cpu > 85, F.greatest(F.lit(0.2), 1.0 - 0.7 * (cpu - 85) / 15.0)).otherwise(1.0)
     g, c = clamp(g, 0.05, 0.98), clamp(c, 0.05, 0.98)
     sure = clamp(F.abs(g - c) * 1.6 + 0.10, 0.15, 0.99)
-    return F.struct(F.round(c, 6).alias("cpu_score"), F.round(g, 6).alias("gpu_score"), F.round(sure, 6).alias("confidence"), F.when(g > c, "GPU").otherwise("CPU").alias("backend"))
+    many = pages >= 15
+    reason = (
+        F.when((g > c) & ~warm & many, "large_batch_amortizes_cold_gpu")
+        .when((g > c) & (level >= 0.50), "high_compute_intensity_favors_gpu")
+        .when((g > c) & ((F.lit(0) if pixels is None else pixels) >= 1_500_000), "large_pixel_surface_favors_gpu")
+        .when(g > c, "gpu_suitability_higher_than_cpu")
+        .when(~warm & ~many, "cold_gpu_overhead_unlikely_to_amortize")
+        .when(busy < 0.7, "gpu_overloaded_routing_to_cpu")
+        .when(dense, "dense_text_layout_favors_cpu")
+        .when(level < 0.35, "small_simple_page_favors_cpu")
+        .otherwise("cpu_suitability_higher_than_gpu")
+    )
+    return F.struct(F.round(c, 6).alias("cpu_score"), F.round(g, 6).alias("gpu_score"), F.round(sure, 6).alias("confidence"), F.when(g > c, "GPU").otherwise("CPU").alias("backend"), reason.alias("reason"))
 
 
-def device_rules(available: Column, cpu: Column, memory: Column, gpu: Column, pages: Column, effort: Column) -> Column:
-    """Struct (device, rule): the first rule that holds decides."""
+def device_rules(available: Column, cpu: Column, memory: Column, gpu: Column, pages: Column, effort: Column, free_mb: Column | None = None) -> Column:
+    """Struct (device, rule): the first rule that holds decides; a null value fulfils none."""
     rules = (
         (available.isNull() | ~available, "CPU", "A"),
         ((cpu < 0) | (memory < 0), "CPU", "B"),
         ((pages <= 1) & (effort <= 0.20), "CPU", "C"),
         (gpu >= 85, "CPU", "D"),
+        (F.lit(False) if free_mb is None else free_mb < LEAST_FREE_MB, "CPU", "E"),
         (cpu >= 80, "GPU", "F"),
         (effort >= 0.35, "GPU", "G"),
     )
@@ -63,37 +84,46 @@ def device_rules(available: Column, cpu: Column, memory: Column, gpu: Column, pa
     return F.struct(device.otherwise("CPU").alias("device"), rule.otherwise("H").alias("rule"))
 
 
-def held_devices(decisions: DataFrame, source: str, time: str, key: str, device: str, hold_seconds: float = 2.0) -> DataFrame:
+def held_devices(decisions: DataFrame, source: str, time: str, key: str, device: str, hold_seconds: float = 2.0, release: str | None = None, block_seconds: int = 3600) -> DataFrame:
     """(key, device, held): a device is kept for ``hold_seconds`` after the last switch.
 
-    A gap of at least that long between two decisions leaves nothing to hold, so each source is
-    cut there and the pieces are folded on their own, some hundred of them in a task: no task
-    gets a whole source.
-    Rows without time or device are left out; ties in time are ordered by key.
+    Where the boolean column ``release`` is true the GPU is let go at once: it is lost or overloaded.
+    A gap of at least ``hold_seconds`` between two decisions leaves nothing to hold, so each source is
+    cut there, and the pieces that begin in one block of time are folded together. Gaps are looked
+    for within blocks; what crosses their bounds is told from one row a block. Only a source that
+    never pauses that long stays one piece. Rows without time or device are left out; ties in time
+    are ordered by key.
     """
     kind = decisions.schema[key].dataType.simpleString()
+    hold, size = int(hold_seconds * 1e6), block_seconds * 1_000_000
     rows = decisions.filter(F.col(time).isNotNull() & F.col(device).isNotNull()).select(
-        F.col(key).alias("key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.unix_micros(F.col(time).cast("timestamp")).alias("at"), F.col(device).alias("asked")
-    )
-    line = Window.partitionBy("source").orderBy("at", "key")
-    gap = F.col("at") - F.lag("at").over(line) >= int(hold_seconds * 1e6)
-    cut = rows.withColumn("before", F.lag("asked").over(line)).withColumn("piece", F.sum(F.when(F.coalesce(gap, F.lit(True)), 1).otherwise(0)).over(line))
+        F.col(key).alias("key"), null_safe_key(F.col(source)).alias("source"), F.unix_micros(F.col(time).cast("timestamp")).alias("at"), F.col(device).alias("asked"),
+        (F.coalesce(F.col(release), F.lit(False)) if release else F.lit(False)).alias("release"),
+    ).withColumn("block", F.floor(F.col("at") / size))
+    by_block = Window.partitionBy("source").orderBy("block")
+    ends = rows.groupBy("source", "block").agg(F.max("at").alias("end")).withColumn("before", F.lag("end").over(by_block)).drop("end")
+    line = Window.partitionBy("source", "block").orderBy("at", "key")
+    gap = F.col("at") - F.coalesce(F.lag("at").over(line), F.col("before"))
+    begun = rows.join(ends, ["source", "block"]).withColumn("begin", F.when(F.coalesce(gap >= hold, F.lit(True)), F.col("at")))
+    last = begun.groupBy("source", "block").agg(F.max("begin").alias("begin"))
+    carried = last.select("source", "block", F.last("begin", ignorenulls=True).over(by_block.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    cut = begun.join(carried, ["source", "block"]).withColumn("piece", F.coalesce(F.last("begin", ignorenulls=True).over(line), F.col("carried")))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["at", "key"])
         now, switched, inside, out = None, None, None, []
-        for at, asked, piece in zip(pdf["at"], pdf["asked"], pdf["piece"], strict=True):
+        for at, asked, free, piece in zip(pdf["at"], pdf["asked"], pdf["release"], pdf["piece"], strict=True):
             if piece != inside:
                 now, inside = None, piece
-            held = now is not None and asked != now and switched is not None and at - switched < hold_seconds * 1e6
+            held = now is not None and asked != now and at - switched < hold and not (free and now == "GPU")
             if now is None or (asked != now and not held):
                 switched = at
                 now = asked
             out.append((now, held))
         return pd.DataFrame({"key": pdf["key"].to_numpy(), "device": [d for d, _ in out], "held": [h for _, h in out]})
 
-    several = cut.withColumn("several", F.floor(F.col("piece") / 500))
-    return several.groupBy("source", "several").applyInPandas(fold, f"key {kind}, device string, held boolean").withColumnRenamed("key", key)
+    grouped = cut.select("key", "source", "at", "asked", "release", "piece", F.floor(F.col("piece") / size).alias("begun"))
+    return grouped.groupBy("source", "begun").applyInPandas(fold, f"key {kind}, device string, held boolean").withColumnRenamed("key", key)
 
 
 def reading_strategy(kind: Column) -> Column:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
 from folioflow.operators import evaluation as E
 from folioflow.operators import generation as G
+from folioflow.operators import providers as PR
 from folioflow.operators import retrieval as R
-from folioflow.runtime import table
+from folioflow.runtime import scratch, table, written
+from folioflow.sources import files as S
 
 QUERY = "chronic kidney disease serum creatinine telmisartan kidney"
 VECTOR_ID = 7
@@ -93,26 +95,100 @@ def vector_delete(spark: SparkSession, d: str) -> DataFrame:
     return _vectors(spark, d).filter(~F.col("label").eqNullSafe(3)).groupBy("label").agg(F.count("*").alias("vectors"))
 
 
-def _ranked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Two rankings of the vectors for each query: by cosine, and by shared label and closeness of id."""
-    v, q = _vectors(spark, d), _asked(spark, d)
-    dense = R.top_k(R.cosine_scores(v, q), 20)
-    labels = q.join(v.select(F.col("id").alias("query"), F.col("label").alias("wanted")), "query").select("query", "wanted")
-    near = F.round(1.0 / (1.0 + F.abs(F.col("id") - F.col("query"))), 6)
-    other = v.join(labels, v["label"] == labels["wanted"]).select("query", "id", near.alias("score"))
-    return dense, R.top_k(other, 20)
+def _dense_hits(spark: SparkSession, d: str, k: int = 20, only: Column | None = None) -> DataFrame:
+    """(query, id, score, rank): cosine of embedded chunks and questions."""
+    chunks = _chunks(spark, d)
+    made = PR.embed_texts(chunks if only is None else chunks.filter(only), "chunk_id", "text", PR.hashing_embedder())
+    asked = PR.embed_texts(table(spark, d, "eval_cases"), "case_id", "question", PR.hashing_embedder(), query=True)
+    return R.top_k(R.cosine_scores(made, asked.select(F.col("case_id").alias("query"), F.col("vector").alias("query_vector")), "chunk_id"), k)
+
+
+def _hybrid(spark: SparkSession, d: str, k: int, candidates: int = 20) -> DataFrame:
+    """Both searches over the same chunks, fused by reciprocal ranks."""
+    return R.reciprocal_rank_fusion(_dense_hits(spark, d, candidates), _case_hits(spark, d, candidates), k)
+
+
+def dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _dense_hits(spark, d, 5).select(F.col("query").alias("case_id"), F.col("id").alias("chunk_id"), "score", "rank")
 
 
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
-    return R.reciprocal_rank_fusion(*_ranked(spark, d), 10).select("query", F.col("id").alias("vec_id"), "dense_rank", "sparse_rank", "rrf_score", "rank")
+    return _hybrid(spark, d, 10).select(F.col("query").alias("case_id"), F.col("id").alias("chunk_id"), "dense_rank", "sparse_rank", "rrf_score", "rank")
 
 
 def hybrid_min_score(spark: SparkSession, d: str) -> DataFrame:
-    return R.reciprocal_rank_fusion(*_ranked(spark, d), 20).filter(F.col("rrf_score") >= 0.016).groupBy("query").agg(F.count("*").alias("kept"), F.count_if(F.col("dense_rank").isNotNull() & F.col("sparse_rank").isNotNull()).alias("both"))
+    kept = _hybrid(spark, d, 20).filter(F.col("rrf_score") >= 0.016)
+    return kept.groupBy(F.col("query").alias("case_id")).agg(F.count("*").alias("kept"), F.count_if(F.col("dense_rank").isNotNull() & F.col("sparse_rank").isNotNull()).alias("both"))
+
+
+def hybrid_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid search in scanned documents only: the filter goes before both rankings."""
+    only = F.col("document_id").like("scan%")
+    bag = R.query_bag(table(spark, d, "eval_cases"), "case_id", "question")
+    index = R.sparse_index(_chunks(spark, d).filter(only), "chunk_id", "text", only=bag)
+    fused = R.reciprocal_rank_fusion(_dense_hits(spark, d, 20, only), R.top_k(R.bm25(index, bag), 20), 5)
+    return fused.select(F.col("query").alias("case_id"), F.col("id").alias("chunk_id"), "rrf_score", "rank")
+
+
+def hybrid_one_side(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid search while the dense side is down: the sparse ranking alone is fused."""
+    bag = R.query_bag(table(spark, d, "eval_cases"), "case_id", "question")
+    scored = R.bm25(R.sparse_index(_chunks(spark, d), "chunk_id", "text", only=bag), bag)
+    found = PR.retriever("hybrid", 5)(table(spark, d, "eval_cases"), None, scored)
+    return found.select(F.col("query").alias("case_id"), F.col("id").alias("chunk_id"), "rrf_score", "rank")
 
 
 def adaptive_depth(spark: SparkSession, d: str) -> DataFrame:
-    return R.adaptive_depth(R.reciprocal_rank_fusion(*_ranked(spark, d), 40))
+    return R.adaptive_depth(_hybrid(spark, d, 40)).withColumnRenamed("query", "case_id")
+
+
+def bm25_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The search of ``bm25_batch`` on an index written to the shared folder and read back."""
+    path = scratch(spark, "bm25")
+    R.sparse_index(_chunks(spark, d), "chunk_id", "text").write(path)
+    bag = R.query_bag(table(spark, d, "eval_cases"), "case_id", "question")
+    return R.top_k(R.bm25(R.SparseIndex.read(spark, path), bag), 5).select(F.col("query").alias("case_id"), F.col("id").alias("chunk_id"), "score", "rank")
+
+
+def rag_flow(spark: SparkSession, d: str) -> DataFrame:
+    """Question to answer: hybrid search, budgeted context, deterministic answerer, status and sources."""
+    texts = _chunks(spark, d).withColumnRenamed("chunk_id", "id")
+    hits = _hybrid(spark, d, 5).select("query", "id", "rank", F.col("rrf_score").alias("score"))
+    evidence = written(G.context(hits.join(texts, "id"), budget=2500), "evidence")
+    answers = G.extractive_answers(_questions(spark, d), evidence)
+    sources = evidence.groupBy("query").agg(F.count_distinct("document_id").alias("documents"), F.sum(F.length("text")).alias("characters"))
+    return answers.join(sources, "query", "left").select(F.col("query").alias("case_id"), "status", "answer", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("characters", F.lit(0)).alias("characters"))
+
+
+def retrieval_counters(spark: SparkSession, d: str) -> DataFrame:
+    """What an engine counts: questions, questions without result, results a question."""
+    found = _case_hits(spark, d, 5).groupBy("query").agg(F.count("*").alias("n"))
+    per = _questions(spark, d).join(found, "query", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
+    return per.agg(F.count("*").alias("queries"), F.count_if(F.col("n") == 0).alias("empty"), F.round(F.avg("n"), 6).alias("mean_results"))
+
+
+def metric_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """Change of each mean metric from single chunks to whole documents."""
+    before = E.mean_metrics(E.case_metrics(_case_hits(spark, d), _relevant(spark, d, "relevant_chunk_ids"))).select("k", "metric", F.col("value").alias("before"))
+    after = E.mean_metrics(E.case_metrics(_by_document(spark, d), _relevant(spark, d, "relevant_document_ids"))).select("k", "metric", F.col("value").alias("after"))
+    absolute, relative = E.change(F.col("before"), F.col("after"))
+    return before.join(after, ["k", "metric"]).select("k", "metric", F.round(absolute, 6).alias("absolute"), F.round(relative, 6).alias("relative"))
+
+
+def depth_choice(spark: SparkSession, d: str) -> DataFrame:
+    """The smallest number of candidates that keeps 95 percent of the recall at the greatest."""
+    recall = candidate_recall(spark, d)
+    best = recall.agg(F.max_by("recall", "depth").alias("best"))  # one row
+    return recall.crossJoin(F.broadcast(best)).filter(F.col("recall") >= 0.95 * F.col("best")).agg(F.min("depth").alias("depth"))
+
+
+def evaluation_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report as written for other tools and read back: (level, k, metric, value), four places."""
+    chunk = ir_metrics_chunk(spark, d).select(F.lit("chunk").alias("level"), "k", "metric", "value")
+    document = ir_metrics_doc(spark, d).select(F.lit("document").alias("level"), "k", "metric", "value")
+    path = scratch(spark, "evaluation")
+    S.write_report(chunk.unionByName(document), path)
+    return S.read_report(spark, path)
 
 
 def rerank_lexical(spark: SparkSession, d: str) -> DataFrame:
@@ -197,13 +273,23 @@ _CASE_HITS = _bm25_sql(f"SELECT chunk_id AS id, {_TOK.format('text')} AS terms F
 _UNIT = """unit AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE))))) AS v FROM embeddings),
 asked AS (SELECT id AS query, label AS wanted, v AS q FROM unit WHERE id % 50 = 0)"""
 _COS = "round(list_dot_product(v, q), 6)"
-_RANKED = f"""{_UNIT},
-dense AS (SELECT * FROM (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM (SELECT query, id, {_COS} AS score FROM unit, asked)) WHERE rank <= 20),
-sparse AS (SELECT * FROM (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM (SELECT query, id, round(1.0 / (1.0 + abs(id - query)), 6) AS score FROM unit JOIN asked ON label = wanted)) WHERE rank <= 20),
+_HASHED = "(strpos('0123456789abcdef', substr(md5(term), 1, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(md5(term), 2, 1)) - 1"
+
+
+def _hybrid_sql(only: str = "true", k: int = 20) -> str:
+    """CTEs down to ``dense``, ``hits`` and ``fused``."""
+    chunks = f"SELECT chunk_id AS id, {_TOK.format('text')} AS terms FROM ({_CHUNKS}) WHERE text IS NOT NULL AND {only}"
+    embed = lambda rows, key: f"SELECT {key}, ({_HASHED}) % 64 AS b, sum(CASE WHEN substr(md5(term), 3, 1) < '8' THEN 1 ELSE -1 END)::DOUBLE AS v FROM (SELECT {key}, unnest(terms) AS term FROM {rows}) GROUP BY 1, 2"
+    return f"""{_bm25_sql(chunks, _CASE_BAG, k)}, asked AS (SELECT case_id AS query, {_TOK.format(f"'{PR.QUERY_PREFIX}' || question")} AS terms FROM eval_cases WHERE question IS NOT NULL),
+dv AS ({embed('docs', 'id')}), qv AS ({embed('asked', 'query')}),
+dn AS (SELECT id, sqrt(sum(v * v)) AS n FROM dv GROUP BY id), qn AS (SELECT query, sqrt(sum(v * v)) AS n FROM qv GROUP BY query),
+dots AS (SELECT query, id, sum((qv.v / qn.n) * (dv.v / dn.n)) AS s FROM qv JOIN qn USING (query) JOIN dv USING (b) JOIN dn USING (id) WHERE qn.n > 0 AND dn.n > 0 GROUP BY query, id),
+scores AS (SELECT a.query, d.id, round(coalesce(s, 0), 6) AS score FROM asked a CROSS JOIN docs d LEFT JOIN dots x ON x.query = a.query AND x.id = d.id),
+dense AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM scores) WHERE rank <= {k}),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rrf_score DESC, dense_rank NULLS LAST, id) AS rank FROM (
   SELECT coalesce(a.query, b.query) AS query, coalesce(a.id, b.id) AS id, a.rank AS dense_rank, b.rank AS sparse_rank,
     round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 8) AS rrf_score
-  FROM dense a FULL JOIN sparse b ON a.query = b.query AND a.id = b.id))"""
+  FROM dense a FULL JOIN hits b ON a.query = b.query AND a.id = b.id))"""
 
 
 def _metrics_sql(ranked: str, column: str, cuts: str, distinct: bool = False) -> str:
@@ -220,20 +306,27 @@ m AS (SELECT query, k, round(hits::DOUBLE / k, 6) AS precision, round(CASE WHEN
 
 _LONG = " UNION ALL ".join(f"SELECT k, '{x}' AS metric, round(avg({x}), 4) AS value, count(*) AS cases FROM m GROUP BY k" for x in ("precision", "recall", "rr", "ndcg", "hit"))
 _DOC_RANKED = f"SELECT h.query, c.document_id AS id, h.rank FROM hits h JOIN ({_CHUNKS}) c ON h.id = c.chunk_id"
-_EVIDENCE = f"""{_CASE_HITS}, top AS (SELECT h.query, h.id, h.score, h.rank, c.* EXCLUDE (chunk_id) FROM hits h JOIN ({_CHUNKS}) c ON h.id = c.chunk_id WHERE h.rank <= 8),
-placed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank) AS place FROM top WHERE score >= 0 AND text IS NOT NULL) WHERE place <= 5),
+_TAKEN = """placed AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank) AS place FROM top WHERE score >= 0 AND text IS NOT NULL) WHERE place <= 5),
 sums AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY query ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM placed),
 evidence AS (SELECT query, id, rank, document_id, source_file, page_numbers, section_heading, length(text) > 2500 - used AS cut,
   CASE WHEN length(text) <= 2500 - used THEN text ELSE substring(text, 1, CAST(2500 - used AS BIGINT)) END AS text
   FROM sums WHERE used <= 2500 AND (length(text) <= 2500 - used OR 2500 - used > 50))"""
+_TOP = f"top AS (SELECT h.query, h.id, h.score, h.rank, c.* EXCLUDE (chunk_id) FROM {{hits}} h JOIN ({_CHUNKS}) c ON h.id = c.chunk_id WHERE h.rank <= {{k}})"
+_EVIDENCE = f"{_CASE_HITS}, {_TOP.format(hits='hits', k=8)}, {_TAKEN}"
 _PAGES = "CASE WHEN len(page_numbers) > 0 THEN array_to_string(page_numbers, ', ') ELSE 'N/A' END"
+_ANSWERED = f"""per AS (SELECT query, string_agg('(' || document_id || ', p. ' || {_PAGES} || ')', ', ' ORDER BY rank) AS sources,
+  arg_min(substring(trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1], ' '), 1, 150), rank) AS snippet, lower(string_agg(text, chr(10))) AS evidence FROM evidence GROUP BY query),
+q AS (SELECT case_id, question, per.*, list_filter(list_distinct(regexp_extract_all(lower(question), '\\b[a-z]{{4,}}\\b')), lambda w: NOT list_contains({G.STOPWORDS!r}, w)) AS content FROM eval_cases LEFT JOIN per ON case_id = query),
+s AS (SELECT *, CASE WHEN trim(coalesce(question, '')) = '' THEN 'empty_query' WHEN evidence IS NULL THEN 'no_results' WHEN len(content) > 0 AND len(list_filter(content, lambda w: contains(evidence, w))) = 0 THEN 'insufficient_evidence' ELSE 'ok' END AS status FROM q)
+SELECT case_id, status, CASE status WHEN 'ok' THEN 'Based on the retrieved evidence: ' || snippet || '... Sources: ' || sources || '.' WHEN 'insufficient_evidence' THEN 'Insufficient evidence to answer this question.' WHEN 'no_results' THEN 'No relevant documents were found.' END AS answer FROM s"""
 
 QUERIES = {
     "token_stats": token_stats, "vocab_df": vocab_df, "corpus_stats": corpus_stats, "bm25_topk": bm25_topk, "bm25_batch": bm25_batch,
     "cosine_topk": cosine_topk, "cosine_topk_prefilter": cosine_topk_prefilter, "cosine_topk_postfilter": cosine_topk_postfilter, "vector_norms": vector_norms,
     "vector_index_stats": vector_index_stats, "vector_delete": vector_delete, "rrf_fuse": rrf_fuse, "hybrid_min_score": hybrid_min_score, "adaptive_depth": adaptive_depth, "rerank_lexical": rerank_lexical,
     "ir_case_metrics": ir_case_metrics, "ir_metrics_chunk": ir_metrics_chunk, "ir_metrics_doc": ir_metrics_doc, "candidate_recall": candidate_recall,
-    "context_budget": context_budget, "prompt_render": prompt_render, "extractive_answer": extractive_answer, "source_refs": source_refs,
+    "dense_topk": dense_topk, "hybrid_filtered": hybrid_filtered, "hybrid_one_side": hybrid_one_side, "bm25_stored": bm25_stored, "rag_flow": rag_flow,
+    "retrieval_counters": retrieval_counters, "metric_deltas": metric_deltas, "depth_choice": depth_choice, "evaluation_report": evaluation_report, "context_budget": context_budget, "prompt_render": prompt_render, "extractive_answer": extractive_answer, "source_refs": source_refs,
 }
 SQL = {
     "token_stats": f"SELECT doc_id, len({_TOK.format('text')}) AS dl, len(list_distinct({_TOK.format('text')})) AS terms, len(list_filter(regexp_split_to_array(text, '[\\s\\x0B\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+'), lambda x: x <> '')) AS words FROM documents WHERE text IS NOT NULL",
@@ -247,11 +340,11 @@ SQL = {
     "vector_norms": f"WITH {_UNIT} SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))), 6) AS length, round(sqrt(list_sum(list_transform(v, lambda y: y * y))), 6) AS unit_length, round(v[1], 6) AS first FROM embeddings JOIN unit ON vec_id = id",
     "vector_index_stats": "SELECT count(*) AS vectors, count(DISTINCT label) AS labels, max(len(embedding)) AS dimension, count(*) FILTER (len(embedding) <> 64) AS wrong_dimension FROM embeddings",
     "vector_delete": "SELECT label, count(*) AS vectors FROM embeddings WHERE label IS DISTINCT FROM 3 GROUP BY label",
-    "rrf_fuse": f"WITH {_RANKED} SELECT query, id AS vec_id, dense_rank, sparse_rank, rrf_score, rank FROM fused WHERE rank <= 10",
-    "hybrid_min_score": f"WITH {_RANKED} SELECT query, count(*) AS kept, count(*) FILTER (dense_rank IS NOT NULL AND sparse_rank IS NOT NULL) AS both FROM fused WHERE rank <= 20 AND rrf_score >= 0.016 GROUP BY query",
-    "adaptive_depth": f"""WITH {_RANKED}, s AS (SELECT query, coalesce(bool_or(rank = 1 AND dense_rank <= 5 AND sparse_rank <= 5), false) AS top1, coalesce(bool_or(rank <= 3 AND dense_rank <= 5 AND sparse_rank <= 5), false) AS top3,
+    "rrf_fuse": f"WITH {_hybrid_sql()} SELECT query AS case_id, id AS chunk_id, dense_rank, sparse_rank, rrf_score, rank FROM fused WHERE rank <= 10",
+    "hybrid_min_score": f"WITH {_hybrid_sql()} SELECT query AS case_id, count(*) AS kept, count(*) FILTER (dense_rank IS NOT NULL AND sparse_rank IS NOT NULL) AS both FROM fused WHERE rank <= 20 AND rrf_score >= 0.016 GROUP BY query",
+    "adaptive_depth": f"""WITH {_hybrid_sql()}, s AS (SELECT query, coalesce(bool_or(rank = 1 AND dense_rank <= 5 AND sparse_rank <= 5), false) AS top1, coalesce(bool_or(rank <= 3 AND dense_rank <= 5 AND sparse_rank <= 5), false) AS top3,
   round(max(CASE WHEN rank = 1 THEN rrf_score END) - coalesce(max(CASE WHEN rank = 5 THEN rrf_score END), min(CASE WHEN rank <= 5 THEN rrf_score END)), 8) AS gap, count(*) AS available FROM fused WHERE rank <= 40 GROUP BY query)
-SELECT query, gap, CAST(least(CASE WHEN top1 AND gap >= 0.005 THEN 5 WHEN top3 THEN 10 ELSE 20 END, available) AS INTEGER) AS depth FROM s""",
+SELECT query AS case_id, gap, CAST(least(CASE WHEN top1 AND gap >= 0.005 THEN 5 WHEN top3 THEN 10 ELSE 20 END, available) AS INTEGER) AS depth FROM s""",
     "rerank_lexical": f"""WITH {_CASE_HITS}, r AS (SELECT h.query, h.id, h.rank, round(CASE WHEN len(list_distinct({_TOK.format('e.question')})) > 0 THEN len(list_intersect(list_distinct({_TOK.format('e.question')}), {_TOK.format('c.text')}))::DOUBLE / len(list_distinct({_TOK.format('e.question')})) ELSE 0 END, 6) AS rerank_score
   FROM hits h JOIN ({_CHUNKS}) c ON h.id = c.chunk_id JOIN eval_cases e ON h.query = e.case_id)
 SELECT query AS case_id, id AS chunk_id, rerank_score, rr AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY rerank_score DESC, rank) AS rr FROM r) WHERE rr <= 5""",
@@ -264,9 +357,18 @@ SELECT query AS case_id, id AS chunk_id, rerank_score, rr AS rank FROM (SELECT *
     "prompt_render": f"""WITH {_EVIDENCE}, b AS (SELECT query, string_agg('[Source: ' || document_id || ' | File: ' || coalesce(source_file, '') || ' | Pages: ' || {_PAGES} || CASE WHEN section_heading IS NOT NULL AND section_heading <> '' THEN ' | Section: ' || section_heading ELSE '' END || ' | Rank: ' || rank || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS blocks FROM evidence GROUP BY query),
 p AS (SELECT case_id, blocks IS NOT NULL AS has_evidence, CASE WHEN blocks IS NOT NULL THEN '{G.RULES}' || chr(10) || chr(10) || '{G.BEGIN}' || chr(10) || blocks || chr(10) || '{G.END}' || chr(10) || chr(10) || 'User Question: ' || question ELSE '{G.NO_RULES}' || chr(10) || chr(10) || 'User Question: ' || question END AS prompt FROM eval_cases LEFT JOIN b ON case_id = query)
 SELECT case_id, has_evidence, md5(prompt) AS prompt_md5, length(prompt) AS characters FROM p""",
-    "extractive_answer": f"""WITH {_EVIDENCE}, per AS (SELECT query, string_agg('(' || document_id || ', p. ' || {_PAGES} || ')', ', ' ORDER BY rank) AS sources,
-  arg_min(substring(trim(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1], ' '), 1, 150), rank) AS snippet, lower(string_agg(text, chr(10))) AS evidence FROM evidence GROUP BY query),
-q AS (SELECT case_id, question, per.*, list_filter(list_distinct(regexp_extract_all(lower(question), '\\b[a-z]{{4,}}\\b')), lambda w: NOT list_contains({G.STOPWORDS!r}, w)) AS content FROM eval_cases LEFT JOIN per ON case_id = query),
-s AS (SELECT *, CASE WHEN trim(coalesce(question, '')) = '' THEN 'empty_query' WHEN evidence IS NULL THEN 'no_results' WHEN len(content) > 0 AND len(list_filter(content, lambda w: contains(evidence, w))) = 0 THEN 'insufficient_evidence' ELSE 'ok' END AS status FROM q)
-SELECT case_id, status, CASE status WHEN 'ok' THEN 'Based on the retrieved evidence: ' || snippet || '... Sources: ' || sources || '.' WHEN 'insufficient_evidence' THEN 'Insufficient evidence to answer this question.' WHEN 'no_results' THEN 'No relevant documents were found.' END AS answer FROM s""",
+    "extractive_answer": f"WITH {_EVIDENCE}, {_ANSWERED}",
+    "dense_topk": f"WITH {_hybrid_sql()} SELECT query AS case_id, id AS chunk_id, score, rank FROM dense WHERE rank <= 5",
+    "hybrid_filtered": f"""WITH {_hybrid_sql("document_id LIKE 'scan%'")} SELECT query AS case_id, id AS chunk_id, rrf_score, rank FROM fused WHERE rank <= 5""",
+    "hybrid_one_side": f"WITH {_CASE_HITS} SELECT query AS case_id, id AS chunk_id, round(1.0::DOUBLE / (60 + rank), 8) AS rrf_score, rank FROM hits WHERE rank <= 5",
+    "bm25_stored": f"WITH {_CASE_HITS} SELECT query AS case_id, id AS chunk_id, score, rank FROM hits WHERE rank <= 5",
+    "rag_flow": f"""WITH {_hybrid_sql()}, found AS (SELECT query, id, rrf_score AS score, rank FROM fused), {_TOP.format(hits='found', k=5)}, {_TAKEN}, answers AS (WITH {_ANSWERED}),
+src AS (SELECT query, count(DISTINCT document_id) AS documents, CAST(sum(length(text)) AS BIGINT) AS characters FROM evidence GROUP BY query)
+SELECT a.case_id, status, answer, coalesce(documents, 0) AS documents, coalesce(characters, 0) AS characters FROM answers a LEFT JOIN src ON a.case_id = src.query""",
+    "retrieval_counters": f"WITH {_CASE_HITS}, n AS (SELECT query, count(*) AS n FROM hits WHERE rank <= 5 GROUP BY query) SELECT count(*) AS queries, count(*) FILTER (coalesce(n, 0) = 0) AS empty, round(avg(coalesce(n, 0)), 6) AS mean_results FROM eval_cases LEFT JOIN n ON case_id = query",
+    "depth_choice": f"WITH {_CASE_HITS}, {_metrics_sql('SELECT query, id, rank FROM hits', 'relevant_chunk_ids', '[5, 10, 15, 20]', True)}, c AS (SELECT k AS depth, round(avg(recall), 6) AS recall FROM m GROUP BY k) SELECT min(depth) AS depth FROM c WHERE recall >= 0.95::DOUBLE * (SELECT recall FROM c WHERE depth = 20)",
+    "evaluation_report": f"""SELECT 'chunk' AS level, k, metric, value FROM (WITH {_CASE_HITS}, {_metrics_sql('SELECT query, id, rank FROM hits', 'relevant_chunk_ids', '[1, 3, 5]')} {_LONG})
+UNION ALL SELECT 'document' AS level, k, metric, value FROM (WITH {_CASE_HITS}, {_metrics_sql(_DOC_RANKED, 'relevant_document_ids', '[1, 3, 5]')} {_LONG})""",
+    "metric_deltas": f"""WITH a AS (WITH {_CASE_HITS}, {_metrics_sql('SELECT query, id, rank FROM hits', 'relevant_chunk_ids', '[1, 3, 5]')} {_LONG}), b AS (WITH {_CASE_HITS}, {_metrics_sql(_DOC_RANKED, 'relevant_document_ids', '[1, 3, 5]')} {_LONG})
+SELECT k, metric, round(b.value - a.value, 6) AS absolute, round(CASE WHEN a.value <> 0 THEN (b.value - a.value) / a.value ELSE 0 END, 6) AS relative FROM a JOIN b USING (k, metric)""",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -52,7 +53,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="folioflow-")
     spark.sparkContext.setCheckpointDir(made)
@@ -76,6 +77,13 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str = "stage") -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back.
 
@@ -83,8 +91,7 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     lets several consumers share the work. Removed when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _SCRATCH.append((spark, path))
+    path = scratch(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -102,7 +109,3 @@ def null_safe_key(column: Column) -> Column:
     """A non-null string key: null is a group of its own, apart from every text."""
     return F.when(column.isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), column.cast("string")))
 
-
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows, looking at no more than ``rows + 1``."""
-    return df.limit(rows + 1).count() <= rows

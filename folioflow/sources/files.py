@@ -60,8 +60,26 @@ def write_metadata(rows: DataFrame, path: str, fmt: str = "csv") -> None:
     out.option("header", "true").option("nullValue", "").csv(path) if fmt == "csv" else out.json(path)
 
 
+REPORT = "level string, k int, metric string, value double"
+
+
+def write_report(metrics: DataFrame, path: str) -> None:
+    """Mean metrics (level, k, metric, value) as JSON lines, values to four places."""
+    metrics.select("level", "k", "metric", F.round("value", 4).alias("value")).write.mode("overwrite").json(path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(REPORT).json(path)
+
+
+def write_cases(cases: DataFrame, path: str) -> None:
+    """Evaluation cases as JSON lines, null fields left out."""
+    cases.select([c.split()[0] for c in CASES.split(", ")]).write.mode("overwrite").json(path)
+
+
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CASES).option("multiLine", "true").json(path)
+    """Cases from one JSON array a file, or from a folder of JSON lines."""
+    return spark.read.schema(CASES).option("multiLine", str(path.endswith(".json")).lower()).json(path)
 
 
 def cached_or_missing(requested: DataFrame, cached: DataFrame, key: str = "file_path") -> tuple[DataFrame, DataFrame]:

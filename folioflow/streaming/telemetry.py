@@ -68,8 +68,12 @@ def lost_workers(beats: DataFrame, timeout_seconds: float = 15.0, late: str = "3
 
 
 def complete_documents(pages: DataFrame, expected: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Pages seen of each document against the expected number (update mode); ``expected`` is static."""
-    seen = pages.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy("document_id").agg(F.approx_count_distinct("page_number", 0.01).alias("seen"))
+    """Different pages seen of each document against the expected number (update mode); ``expected`` is static.
+
+    A page that comes again within ``late`` counts once; later ones are dropped by the watermark.
+    """
+    once = pages.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["document_id", "page_number"])
+    seen = once.groupBy("document_id").agg(F.count("*").alias("seen"))
     return seen.join(expected, "document_id").withColumn("complete", F.col("seen") >= F.col("expected"))
 
 
