@@ -6,8 +6,10 @@ against the frequency lexicon of the whole corpus: a symmetric-delete index, joi
 broadcast, with the form in which confused characters are alike as a further key, gives for each
 rare form the frequent words near it; a weighted edit distance, cheap
 for pairs of characters that scanners confuse, keeps those that a scanner could have made of the
-word, and the word before decides between several. A line that ends in a hyphen is a broken
-word where the lexicon knows the joined word better than the compound.
+word, and the word before decides between repairs that are equally near, which also tells on which
+of its two lines a broken word was misread. A line that ends in a hyphen is a broken word where
+the lexicon knows the joined word better than the compound. Rows found by form alone, with no candidate in the lexicon, are
+numbers with letters in place of digits and words with characters that no word has.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ HYPHENS = "-‐‑¬\xad"
 COMMON_WORDS = 100_000
 #: Counters of the bigram table that are sent to all tasks: its size.
 BIGRAM_BUCKETS = 1 << 18
-#: Lines at the top and at the bottom of a page that may be running lines or page numbers.
+#: Lines at the top and at the bottom of a page that may be running lines or page numbers: what stands deeper inside is body.
 EDGE = 3
 
 _COST = {}
@@ -104,7 +106,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             seen: Counter[str] = Counter()
             for word, n in raw.items():
                 w = core(word).lower()
-                if len(w) < 40 and _WORDISH.search(w):
+                if _WORDISH.search(w):
                     seen[w] += n
             yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
 
@@ -116,9 +118,17 @@ _ALIKE = {c: to for chars, to in (("eco0", "e"), ("i¡!1|l", "i"), ("a@", "a"),
 _ALIKE_TABLE = str.maketrans(_ALIKE)
 
 
+#: Characters of words that are indexed with deletions too, so that no key is of less than three; all others by their
+#: confusion-folded form, which covers every distance that is admitted.
+DELETED_FROM, DELETED_UP_TO = 5, 40
+
+
 def variants(word: str) -> set[str]:
     """The word with nothing, one character, or two neighbouring ones left out, and with confused characters alike."""
-    return {word, f"={word.translate(_ALIKE_TABLE)}", *(word[:i] + word[i + 1 :] for i in range(len(word))), *(word[:i] + word[i + 2 :] for i in range(len(word) - 1))}
+    whole = {word, f"={word.translate(_ALIKE_TABLE)}"}
+    if not DELETED_FROM <= len(word) <= DELETED_UP_TO:
+        return whole
+    return {*whole, *(word[:i] + word[i + 1 :] for i in range(len(word))), *(word[:i] + word[i + 2 :] for i in range(len(word) - 1))}
 
 
 def scan_distance(printed: str, read: str, most: float = 0.9) -> float:
@@ -133,27 +143,36 @@ def scan_distance(printed: str, read: str, most: float = 0.9) -> float:
     if (a, b) in _COST:
         return _COST[(a, b)]
     n, m = len(a), len(b)
-    d = [[9.0] * (m + 1) for _ in range(n + 1)]
+    # every edit moves off the diagonal by one place at most and costs at least 0.4
+    band = int(most / 0.4) + 1
+    if abs(n - m) > band:
+        return 9.0
+    d: list[dict[int, float]] = [{} for _ in range(n + 3)]
     d[0][0] = 0.0
+
+    def reach(i: int, j: int, x: float) -> None:
+        if x <= most + 1 and x < d[i].get(j, 9.0):
+            d[i][j] = x
+
     for i in range(n + 1):
-        for j in range(m + 1):
-            x = d[i][j]
+        for j in range(max(0, i - band), min(m, i + band) + 1):
+            x = d[i].get(j, 9.0)
             if x > most:
                 continue
             if i < n and j < m:
-                d[i + 1][j + 1] = min(d[i + 1][j + 1], x + (a[i] != b[j]))
+                reach(i + 1, j + 1, x + (a[i] != b[j]))
             if i < n:
-                d[i + 1][j] = min(d[i + 1][j], x + 1)
+                reach(i + 1, j, x + 1)
             if j < m:
-                d[i][j + 1] = min(d[i][j + 1], x + 1)
+                reach(i, j + 1, x + 1)
             for u, v in ((1, 1), (1, 2), (2, 1)):
                 if i + u <= n and j + v <= m and (a[i : i + u], b[j : j + v]) in _COST:
-                    d[i + u][j + v] = min(d[i + u][j + v], x + 0.4)
-    return d[n][m]
+                    reach(i + u, j + v, x + 0.4)
+    return d[n].get(m, 9.0)
 
 
 def corrections(words: DataFrame, total: int, times: float = 8.0) -> DataFrame:
-    """(word, repairs): misread forms with the words they may stand for, best first.
+    """(word, repairs): misread forms with the words of least distance they may stand for, the most frequent first.
 
     A repair is a plain word within 0.9 of the form by ``scan_distance`` and at least ``times``
     as frequent; for a form with characters no word has, at least as frequent. Such a form without
@@ -173,7 +192,7 @@ def corrections(words: DataFrame, total: int, times: float = 8.0) -> DataFrame:
     known = words.filter((F.length("word") >= 2) & plain & (F.col("n") >= 2)).mapInPandas(explode, shape).select("variant", F.col("word").alias("repair"), F.col("n").alias("m"))
     rare = rare.withColumn("odd", odd)
     pairs = (
-        rare.join(known, "variant")
+        rare.join(grown(known), "variant")
         .filter((F.col("word") != F.col("repair")) & (F.abs(F.length("word") - F.length("repair")) <= 2) & (F.col("m") >= F.col("n") * F.when(F.col("odd"), 1.0).otherwise(times)))
         .select("word", "repair", "m")
         .distinct()
@@ -185,12 +204,13 @@ def corrections(words: DataFrame, total: int, times: float = 8.0) -> DataFrame:
             yield pdf.assign(cost=cost)[cost <= 0.9]
 
     close = pairs.mapInPandas(near, "word string, repair string, m bigint, cost double")
-    # a likelier reading first: fewer confusions, then the more frequent word
-    listed = close.groupBy("word").agg(
-        F.transform(F.slice(F.sort_array(F.collect_list(F.struct(F.col("cost"), (-F.col("m")).alias("m"), "repair"))), 1, 8), lambda x: F.struct(x["repair"].alias("repair"), x["cost"].alias("cost"), (-x["m"]).alias("m"))).alias("repairs")
+    # a likelier reading first: fewer confusions, then the more frequent word; of more confusions than the best has, none
+    ordered = F.sort_array(F.collect_list(F.struct(F.col("cost"), (-F.col("m")).alias("m"), "repair")))
+    listed = close.groupBy("word").agg(ordered.alias("all")).select(
+        "word", F.transform(F.filter("all", lambda x: x["cost"] <= F.col("all")[0]["cost"] + 0.01), lambda x: F.struct(x["repair"].alias("repair"), x["cost"].alias("cost"), (-x["m"]).alias("m"))).alias("repairs")
     )
     strange = words.filter(F.col("word").rlike(r"\p{L}[@!¡|$]\p{L}|\p{L}\p{L}[0-9]\p{L}|\p{L}[0-9]\p{L}\p{L}|^[0-9@]\p{L}{3}|\p{L}{3}[0-9|@$]$") & ~F.col("word").rlike(r"[/.@]\p{L}+\.") & (F.col("n") <= 2 + total * 1e-5))
-    alone = strange.select("word").join(listed, "word", "left_anti").withColumn("repairs", F.array().cast("array<struct<repair:string,cost:double,m:bigint>>"))
+    alone = strange.select("word").join(grown(listed), "word", "left_anti").withColumn("repairs", F.array().cast("array<struct<repair:string,cost:double,m:bigint>>"))
     return listed.unionByName(alone)
 
 
@@ -199,23 +219,21 @@ def _bucket(before: str, word: str) -> int:
 
 
 def bigram_table(texts: DataFrame) -> np.ndarray:
-    """Counts of neighbouring words in a table of fixed size, by hash."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = np.zeros(BIGRAM_BUCKETS, "i8")
-        for pdf in batches:
-            at = [_bucket(b, w.lower()) for text in pdf["text"] for _, w, _, b, _ in _body_words(_LINES.split(text))]
-            out += np.bincount(np.array(at, "i8"), minlength=BIGRAM_BUCKETS) if at else 0
-        keep = np.flatnonzero(out)
-        yield pd.DataFrame({"bucket": keep, "n": out[keep]})
-
-    rows = texts.select("text").mapInPandas(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = rows.toPandas()  # at most BIGRAM_BUCKETS rows
+    """Counts of neighbouring words in a table of fixed size, by hash; counted in the JVM, before anything is shuffled."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), rf"[{HYPHENS}][^\\S\n\f]*[\n\f]\\s*", ""), r"[\s.,;:?!\"()\[\]«»“”„…]+", " "))
+    words = texts.select(F.split(plain, " ").alias("w")).filter(F.size("w") > 1)
+    buckets = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.pmod(F.crc32(F.concat_ws(" ", a, b)), F.lit(BIGRAM_BUCKETS)))
+    got = words.select(F.explode(buckets).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).toPandas()  # at most BIGRAM_BUCKETS rows
     out = np.zeros(BIGRAM_BUCKETS, "f4")
     out[got["bucket"].to_numpy(int)] = got["n"].to_numpy()
     return out
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: never broadcast."""
+    return df.hint("merge")
+
+
 def fold_line(line: str) -> str:
     """A key that a line shares with its damaged copies: page numbers at its ends cut, confused characters alike."""
     low = _TAIL_NUMBER.sub("", line.strip()).lower()
@@ -253,7 +271,7 @@ def page_number(line: str) -> tuple[int, bool] | None:
 
 
 def scanned_chunks(chunks: DataFrame, metadata: DataFrame, pages: DataFrame) -> DataFrame:
-    """(chunk_id, document_id, chunk_index, page_numbers, text) of scanned documents, each chunk once.
+    """(chunk_id, document_id, chunk_index, page_numbers, text) of scanned documents, each chunk once: of different rows that of the least text.
 
     A document is scanned if its metadata say so, or if they say nothing and some of its pages
     carry a recognition check (``confidence_valid`` is null for pages read directly).
@@ -268,8 +286,10 @@ def scanned_chunks(chunks: DataFrame, metadata: DataFrame, pages: DataFrame) ->
     return (
         chunks.select("chunk_id", "document_id", "chunk_index", "page_numbers", "text")
         .filter(F.col("text").isNotNull() & F.col("chunk_id").isNotNull())
-        .join(scanned, "document_id", "left_semi")
-        .dropDuplicates(["chunk_id"])
+        .join(grown(scanned), "document_id", "left_semi")
+        .groupBy("chunk_id")
+        .agg(F.min(F.struct("text", "document_id", "chunk_index", "page_numbers")).alias("row"))
+        .select("chunk_id", "row.document_id", "row.chunk_index", "row.page_numbers", "row.text")
     )
 
 
@@ -288,7 +308,7 @@ def _edges(scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
                     page = -1 if numbers is None or not len(numbers) else int(numbers[min(k, len(numbers) - 1)])
                     inside = [fold_line(x) for _, x in full[EDGE:-EDGE] if len(x) < 60]
                     rows.append(
-                        (doc, page, -1 if pd.isna(idx) else int(idx), cid, [{"line_no": i, "line": x[:200]} for i, x in full[:EDGE]], [{"line_no": i, "line": x[:200]} for i, x in full[-EDGE:][::-1]], inside)
+                        (doc, page, -1 if pd.isna(idx) else int(idx), cid, [{"line_no": i, "line": x} for i, x in full[:EDGE]], [{"line_no": i, "line": x} for i, x in full[-EDGE:][::-1]], inside)
                     )
             yield pd.DataFrame(rows, columns=["document_id", "page", "chunk_index", "chunk_id", "top", "bottom", "inside"])
 
@@ -326,10 +346,10 @@ def page_noise(scanned: DataFrame) -> DataFrame:
         lines.filter(F.col("value").isNull() & (F.length("key") >= 6))
         .groupBy("document_id", "key")
         .agg(F.count_distinct("page").alias("on"))
-        .join(pages, "document_id")
+        .join(grown(pages), "document_id")
         .filter((F.col("on") >= 2) & (F.col("on") >= 0.4 * F.col("pages")))
-        .join(at_edge, "key")
-        .join(inside, "key", "left")
+        .join(grown(at_edge), "key")
+        .join(grown(inside), "key", "left")
         .filter(F.coalesce("inside", F.lit(0)) <= 0.5 * F.col("edge"))
         .groupBy("document_id")
         .agg(F.collect_list("key").alias("patterns"))  # each on two fifths of the pages: a dozen at most
@@ -362,8 +382,8 @@ def page_noise(scanned: DataFrame) -> DataFrame:
             yield out[out["noise_kind"].notna()]
 
     return (
-        lines.join(recurring, "document_id", "left")
-        .join(offsets, "document_id", "left")
+        lines.join(grown(recurring), "document_id", "left")
+        .join(grown(offsets), "document_id", "left")
         .select("chunk_id", "line_no", "key", "value", "explicit", "page", "patterns", "best")
         .mapInPandas(judge, "chunk_id string, line_no int, noise_kind string")
     )
@@ -382,7 +402,7 @@ def _marks(scanned: DataFrame, noise: DataFrame, common: set[str]) -> DataFrame:
 
         def judge(raw: str) -> str | bool:
             w = core(raw)
-            odd = len(w) > 1 and len(w) < 40 and not _NUMBER.fullmatch(w) and w.lower() not in known
+            odd = len(w) > 1 and not _NUMBER.fullmatch(w) and w.lower() not in known
             if len(worth) > 500_000:  # memory stays bounded
                 worth.clear()
             worth[raw] = w if odd else False
@@ -426,7 +446,7 @@ def _marks(scanned: DataFrame, noise: DataFrame, common: set[str]) -> DataFrame:
             yield pd.DataFrame(rows, columns=columns)
 
     schema = "document_id string, chunk_index int, chunk_id string, line_no int, mark string, word string, raw string, part int, before string, second string"
-    return scanned.join(skip, "chunk_id", "left").mapInPandas(look, schema)
+    return scanned.join(grown(skip), "chunk_id", "left").mapInPandas(look, schema)
 
 
 def line_noise(chunks: DataFrame, metadata: DataFrame, pages: DataFrame) -> dict[str, DataFrame]:
@@ -443,7 +463,7 @@ def line_noise(chunks: DataFrame, metadata: DataFrame, pages: DataFrame) -> dict
     fixes = written(corrections(words, total), "corrections")
     # what looks like a misread number is a name (B12) only if it is frequent
     named = ~F.upper("word").rlike(f"^(?:{_BROKEN_NUMBER.pattern})$") | (F.col("n") >= max(20, 1e-4 * total))
-    sound = words.join(fixes, "word", "left_anti").filter((F.col("n") >= 2) & named).orderBy(F.desc("n"), "word").limit(COMMON_WORDS)
+    sound = words.join(grown(fixes), "word", "left_anti").filter((F.col("n") >= 2) & named).orderBy(F.desc("n"), "word").limit(COMMON_WORDS)
     marks = written(_marks(scanned, edges, {r["word"] for r in sound.select("word").toLocalIterator()}), "marks")
     # the second half of a word broken at a chunk's end is the first word of the next chunk with a body
     heads = marks.filter(F.col("mark") == "head").select("document_id", "chunk_index", F.col("raw").alias("second"))
@@ -453,7 +473,7 @@ def line_noise(chunks: DataFrame, metadata: DataFrame, pages: DataFrame) -> dict
         .groupBy("document_id", "chunk_index")
         .agg(F.min_by("second", "away").alias("second"))
     )
-    tails = marks.filter(F.col("mark") == "tail").drop("second").join(ahead, ["document_id", "chunk_index"], "left").select("chunk_id", "line_no", F.col("raw").alias("first"), "second")
+    tails = marks.filter(F.col("mark") == "tail").drop("second").join(grown(ahead), ["document_id", "chunk_index"], "left").select("chunk_id", "line_no", F.col("raw").alias("first"), "second")
     inner = marks.filter(F.col("mark") == "broken").select("chunk_id", "line_no", F.col("raw").alias("first"), "second")
     hyphens = _broken(inner.unionByName(tails), words, fixes)
     # the first word of a chunk whose predecessor ends in a broken word is no word of its own
@@ -464,9 +484,10 @@ def line_noise(chunks: DataFrame, metadata: DataFrame, pages: DataFrame) -> dict
         .agg(F.max("previous").alias("previous"))
     )
     ends = marks.filter(F.col("mark") == "tail").select("document_id", F.col("chunk_index").alias("previous"))
-    rest = behind.join(ends, ["document_id", "previous"], "left_semi").select("document_id", "chunk_index")
-    whole = marks.filter(F.col("mark") != "first").unionByName(marks.filter(F.col("mark") == "first").join(rest, ["document_id", "chunk_index"], "left_anti").withColumn("mark", F.lit("word")).select(*marks.columns))
-    misread = _misread(whole, fixes)
+    rest = behind.join(grown(ends), ["document_id", "previous"], "left_semi").select("document_id", "chunk_index")
+    whole = marks.filter(F.col("mark") != "first").unionByName(marks.filter(F.col("mark") == "first").join(grown(rest), ["document_id", "chunk_index"], "left_anti").withColumn("mark", F.lit("word")).select(*marks.columns))
+    bigrams = bigram_table(scanned)
+    misread = written(_misread(whole, fixes, bigrams), "misread")
     found = (
         edges.select("chunk_id", "noise_kind", "line_no")
         .unionByName(hyphens.select("chunk_id", F.lit("hyphen").alias("noise_kind"), "line_no"))
@@ -485,7 +506,7 @@ def _broken(halves: DataFrame, words: DataFrame, fixes: DataFrame) -> DataFrame:
         F.explode(F.map_from_arrays(F.array(*map(F.lit, ("joined", "compound", "a", "b"))), F.array(F.concat("a", "b"), F.concat_ws("-", "a", "b"), F.col("a"), F.col("b")))).alias("what", "word"),
     )
     best = fixes.select("word", F.try_element_at("repairs", F.lit(1))["m"].alias("m"))
-    looked = wanted.join(words, "word", "left").join(best, "word", "left").select("chunk_id", "line_no", "b", "what", F.greatest(F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))).alias("n"))
+    looked = wanted.join(grown(words), "word", "left").join(grown(best), "word", "left").select("chunk_id", "line_no", "b", "what", F.greatest(F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))).alias("n"))
     side = looked.groupBy("chunk_id", "line_no").pivot("what", ["joined", "compound", "a", "b"]).agg(F.max("n"))
     # breaking itself counts joined forms, some of every compound: a word is known if it is the likelier of both,
     # or if the halves are not both words
@@ -493,25 +514,25 @@ def _broken(halves: DataFrame, words: DataFrame, fixes: DataFrame) -> DataFrame:
     return side.filter(is_broken | ((F.col("compound") == 0) & (F.least("a", "b") <= 2))).select("chunk_id", "line_no")
 
 
-def _misread(marks: DataFrame, fixes: DataFrame) -> DataFrame:
-    """(chunk_id, line_no, raw, before, repairs, part): words and numbers with misread characters."""
-    single = marks.filter(F.col("mark") == "word").join(fixes, "word").select("chunk_id", "line_no", "raw", "before", "repairs", F.lit(0).alias("part"))
+def _misread(marks: DataFrame, fixes: DataFrame, bigrams: np.ndarray) -> DataFrame:
+    """(chunk_id, line_no, raw, part, repair): words and numbers with misread characters and what they stand for."""
+    single = marks.filter(F.col("mark") == "word").join(grown(fixes), "word").select("chunk_id", "line_no", "raw", "before", "repairs", F.lit(0).alias("part"))
     numbers = marks.filter((F.col("mark") == "word") & F.col("raw").rlike(f"^(?:{_BROKEN_NUMBER.pattern})$") & ~F.col("raw").rlike("^(?:L[0-9]|B[0-9])"))
-    numbers = numbers.join(fixes.select("word"), "word", "left_anti").select("chunk_id", "line_no", "raw", "before", F.array().cast(fixes.schema["repairs"].dataType).alias("repairs"), F.lit(0).alias("part"))
-    # of a broken word the half that differs from the repair tells the line
-    whole = marks.filter(F.col("mark") == "broken").join(fixes, "word").select("chunk_id", "line_no", F.col("word").alias("raw"), "before", "repairs", "part")
-    repair = F.coalesce(F.try_element_at("repairs", F.lit(1))["repair"], F.regexp_replace("raw", r"[@!¡|$0-9]", " "))
+    numbers = numbers.join(grown(fixes.select("word")), "word", "left_anti").select("chunk_id", "line_no", "raw", "before", F.array().cast(fixes.schema["repairs"].dataType).alias("repairs"), F.lit(0).alias("part"))
+    whole = marks.filter(F.col("mark") == "broken").join(grown(fixes), "word").select("chunk_id", "line_no", F.col("word").alias("raw"), "before", "repairs", "part")
+    picked = choose_repairs(single.unionByName(numbers).unionByName(whole), bigrams)
+    # of a broken word the half that differs from the repair tells the line; without any repair the half with odd characters
+    repair = F.when(F.col("raw") != F.col("repair"), F.col("repair")).otherwise(F.regexp_replace("raw", r"[@!¡|$0-9]", " "))
     same = F.aggregate(
         F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("raw"))),
         F.lit(0),
         lambda acc, i: F.when((acc == i - 1) & (F.substring("raw", i, 1) == F.substring(repair, i, 1)), i).otherwise(acc),
     )
-    split = whole.withColumn("line_no", F.when(same < F.col("part"), F.col("line_no")).otherwise(F.col("line_no") + 1))
-    return single.unionByName(numbers).unionByName(split)
+    return picked.withColumn("line_no", F.when((F.col("part") == 0) | (same < F.col("part")), F.col("line_no")).otherwise(F.col("line_no") + 1))
 
 
 def choose_repairs(misread: DataFrame, bigrams: np.ndarray) -> DataFrame:
-    """(chunk_id, line_no, raw, repair, part): of equally near repairs the one that follows the word before most often."""
+    """(chunk_id, line_no, raw, part, repair): of equally near repairs the one that follows the word before most often."""
     counts = misread.sparkSession.sparkContext.broadcast(bigrams)  # BIGRAM_BUCKETS numbers
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -526,7 +547,7 @@ def choose_repairs(misread: DataFrame, bigrams: np.ndarray) -> DataFrame:
                 out.append(best.upper() if raw.isupper() and len(raw) > 1 else best.capitalize() if raw[:1].isupper() else best)
             yield pdf[["chunk_id", "line_no", "raw", "part"]].assign(repair=out)
 
-    return misread.select("chunk_id", "line_no", "raw", "before", "repairs", "part").mapInPandas(pick, "chunk_id string, line_no int, raw string, part int, repair string")
+    return misread.mapInPandas(pick, "chunk_id string, line_no int, raw string, part int, repair string")
 
 
 def paragraphs_of(text: str, drop: set[int], broken: set[int], fixes: dict[int, list[tuple[str, str]]]) -> list[tuple[str, bool]]:
@@ -577,8 +598,7 @@ def repaired_paragraphs(chunks: DataFrame, metadata: DataFrame, pages: DataFrame
     the next chunk. Nulls, empty texts and repeated rows as in ``line_noise``.
     """
     found = line_noise(chunks, metadata, pages)
-    scanned = found["scanned"]
-    repairs = choose_repairs(found["misread"], bigram_table(scanned))
+    scanned, repairs = found["scanned"], found["misread"]
     of = lambda df, name: df.groupBy("chunk_id").agg(F.collect_set("line_no").alias(name))
     # a misread word that is broken over two lines is repaired once its halves are joined
     fixed = repairs.filter(F.col("part") == 0).groupBy("chunk_id").agg(F.collect_list(F.struct("line_no", "raw", "repair")).alias("fixes"))

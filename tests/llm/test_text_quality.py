@@ -210,6 +210,24 @@ def test_scan_noise(spark):
     assert empty.count() == 0
 
 
+def test_long_words_and_context(spark):
+    import numpy as np
+
+    long = "pneumonoultramicroscopicsilicovolcanoconiosis"
+    assert S.scan_distance(long, long.replace("i", "!", 1)) == 0.4 and S.scan_distance("a" * 5000 + "e", "a" * 5000 + "c") == 0.4
+    words = spark.createDataFrame([(long, 9), (long.replace("i", "!", 1), 1)], "word string, n bigint")
+    assert [(r.word, r.repairs[0].repair) for r in S.corrections(words, 1000).collect()] == [(long.replace("i", "!", 1), long)]
+    # of two repairs that are equally near the word before decides
+    shape = "chunk_id string, line_no int, raw string, before string, repairs array<struct<repair:string,cost:double,m:bigint>>, part int"
+    repairs = [{"repair": "dear", "cost": 0.4, "m": 900}, {"repair": "door", "cost": 0.4, "m": 80}, {"repair": "deaf", "cost": 0.8, "m": 9000}]
+    rows = [("a", 1, "d3ar", "my", repairs, 0), ("b", 2, "D3ar", "the", repairs, 0), ("c", 3, "1O5", "of", [], 0)]
+    table = np.zeros(S.BIGRAM_BUCKETS, "f4")
+    table[S._bucket("my", "dear")], table[S._bucket("the", "door")], table[S._bucket("the", "deaf")] = 40, 30, 99
+    assert [r.repair for r in S.choose_repairs(spark.createDataFrame(rows, shape), table).orderBy("chunk_id").collect()] == ["dear", "Door", "105"]
+    texts = spark.createDataFrame([("My dear, my DEAR friend",)], "text string")
+    assert S.bigram_table(texts)[S._bucket("my", "dear")] == 2
+
+
 def test_paragraphs():
     lines = ["Plan", "The first line of a paragraph is long and it has a bro-", "Running head 12", "ken word in it, and m0re.", "", "A second paragraph that stands alone here for once."]
     got = S.paragraphs_of("\n".join(lines), {2}, {1}, {3: [("m0re", "more")]})
