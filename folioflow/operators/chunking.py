@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.functions.text import sentences
+
 _PARAGRAPH = re.compile(r"\n\s*\n+")
 _SENTENCE = re.compile(r"(?<=[.!?])(?:[)\]'\"]*)\s+(?=[A-ZÀ-ɏ\d])")
 
@@ -114,6 +116,14 @@ def chunk_pages(pages: list[tuple[int, str | None]], limits: Limits = Limits(),
     return done
 
 
+def sentence_chunks(texts: DataFrame, keys: list[str], text: str, n: int) -> DataFrame:
+    """(keys..., part, sentences, piece): every ``n`` sentences of a text joined by blanks, in the JVM; blank texts have none."""
+    named = texts.select(*keys, sentences(F.col(text)).alias("all")).filter(F.size("all") > 0)
+    parts = F.explode(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / n).cast("int"))).alias("part")
+    cut = named.select(*keys, "all", parts).withColumn("some", F.slice("all", F.col("part") * n + 1, n))
+    return cut.select(*keys, "part", F.size("some").cast("bigint").alias("sentences"), F.array_join("some", " ").alias("piece"))
+
+
 def semantic_chunks(pages: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """(document_id, chunk_index, chunk_id, text, page_numbers, section_heading, characters, words).
 

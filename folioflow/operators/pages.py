@@ -130,3 +130,24 @@ def utilisation(cpu: Column, memory: Column) -> Column:
 
 def balance(std: Column, mean: Column) -> Column:
     return F.when(mean > 0, clamp(1.0 - std / mean, 0.0, 1.0)).otherwise(F.lit(1.0))
+
+
+def completion_seconds(most_pages: Column, pages_per_second: Column) -> Column:
+    """When the fullest partition is done; infinite without any speed."""
+    return F.when(pages_per_second > 0, most_pages / pages_per_second).otherwise(F.lit(float("inf")))
+
+
+def scheduler_overhead(scheduling: Column, total: Column) -> Column:
+    """Struct (fraction, percent, light): the scheduler's share of the time, and whether it is below one percent."""
+    part = ratio(scheduling, total)
+    return F.struct(part.alias("fraction"), (part * 100).alias("percent"), (part < 0.01).alias("light"))
+
+
+def energy_per_page(watts: Column, seconds: Column, pages: Column) -> Column:
+    """Joules a page; null without pages."""
+    return F.when(pages > 0, watts * seconds / pages)
+
+
+def figure_dpi(pixels: Column, points: Column) -> Column:
+    """Resolution of an image from its pixels and its width on the page, 72 at least."""
+    return F.greatest(F.lit(72), F.floor(ratio(pixels, points) * 72).cast("int"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import clamp
-from folioflow.runtime import null_safe_key
+from folioflow.runtime import null_safe_key, written
 
 # A standard page in points, and the pixels of the largest page that counts.
 PAGE_AREA = 612.0 * 792.0
@@ -17,12 +17,12 @@ LEAST_FREE_MB = 256.0
 
 
 def complexity(scanned: Column, chars: Column, density: Column, images: Column, area: Column) -> Column:
-    """Effort of a page between 0 and 1, to 6 places: small for digital ones, by images and size for scans."""
+    """Effort of a page between 0 and 1, to 8 places: small for digital ones, by images and size for scans."""
     digital = F.least(F.lit(0.20), 0.05 + F.least(F.lit(0.15), chars / 4000.0 * 0.15))
     large = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (area - PAGE_AREA) / PAGE_AREA))
     split = F.least(F.lit(1.0), F.greatest(F.lit(0), images - 1) * 0.1)
     scan = clamp(0.35 + 0.25 * clamp(density, 0, 1) + 0.15 * large + 0.15 * split, 0.10, 1.0)
-    return F.round(F.when(scanned, scan).otherwise(digital), 6)
+    return F.round(F.when(scanned, scan).otherwise(digital), 8)
 
 
 def work_units(pages: Column, effort: Column) -> Column:
@@ -88,11 +88,13 @@ def held_devices(decisions: DataFrame, source: str, time: str, key: str, device:
     """(key, device, held): a device is kept for ``hold_seconds`` after the last switch.
 
     Where the boolean column ``release`` is true the GPU is let go at once: it is lost or overloaded.
-    A gap of at least ``hold_seconds`` between two decisions leaves nothing to hold, so each source is
-    cut there, and the pieces that begin in one block of time are folded together. Gaps are looked
-    for within blocks; what crosses their bounds is told from one row a block. Only a source that
-    never pauses that long stays one piece. Rows without time or device are left out; ties in time
-    are ordered by key.
+    After a gap of at least ``hold_seconds`` nothing is held any more, so each source is cut there,
+    and the pieces that begin in one block of time are folded together. All that a fold needs from
+    before is the device in use: each group first tells which device it ends with from each one it
+    may begin with, one row a group; those rows are chained by source, and then every group is
+    folded from its own beginning. Gaps are looked for within blocks, what crosses their bounds is
+    told from one row a block. Only a source that never pauses that long stays one group. Rows
+    without time or device are left out; ties in time are ordered by key.
     """
     kind = decisions.schema[key].dataType.simpleString()
     hold, size = int(hold_seconds * 1e6), block_seconds * 1_000_000
@@ -109,21 +111,41 @@ def held_devices(decisions: DataFrame, source: str, time: str, key: str, device:
     carried = last.select("source", "block", F.last("begin", ignorenulls=True).over(by_block.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     cut = begun.join(carried, ["source", "block"]).withColumn("piece", F.coalesce(F.last("begin", ignorenulls=True).over(line), F.col("carried")))
 
+    def run(pdf: pd.DataFrame, now: str | None) -> list[tuple[str, bool]]:
+        switched, out = None, []
+        for at, asked, free in zip(pdf["at"], pdf["asked"], pdf["release"], strict=True):
+            held = now is not None and asked != now and switched is not None and at - switched < hold and not (free and now == "GPU")
+            if asked != now and not held:
+                now, switched = asked, at
+            out.append((now, held))
+        return out
+
+    def ends_with(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["at", "key"])
+        begins = sorted(set(pdf["asked"]))
+        # an unheard-of device, and none, as the last two
+        last = [run(pdf, d)[-1][0] for d in [*begins, "\0", None]]
+        return pd.DataFrame({"source": pdf["source"].iloc[:1].tolist(), "begun": pdf["begun"].iloc[:1].tolist(), "begins": [begins], "last": [last]})
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("begun")
+        now, before = None, []
+        for begins, last in zip(pdf["begins"], pdf["last"], strict=True):
+            before.append(now)
+            at = {d: i for i, d in enumerate(begins)}
+            now = last[len(last) - 1 if now is None else at.get(now, len(last) - 2)]
+        return pd.DataFrame({"source": pdf["source"].to_numpy(), "begun": pdf["begun"].to_numpy(), "now": before})
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["at", "key"])
-        now, switched, inside, out = None, None, None, []
-        for at, asked, free, piece in zip(pdf["at"], pdf["asked"], pdf["release"], pdf["piece"], strict=True):
-            if piece != inside:
-                now, inside = None, piece
-            held = now is not None and asked != now and at - switched < hold and not (free and now == "GPU")
-            if now is None or (asked != now and not held):
-                switched = at
-                now = asked
-            out.append((now, held))
+        now = pdf["now"].iloc[0]
+        out = run(pdf, None if pd.isna(now) else now)
         return pd.DataFrame({"key": pdf["key"].to_numpy(), "device": [d for d, _ in out], "held": [h for _, h in out]})
 
-    grouped = cut.select("key", "source", "at", "asked", "release", "piece", F.floor(F.col("piece") / size).alias("begun"))
-    return grouped.groupBy("source", "begun").applyInPandas(fold, f"key {kind}, device string, held boolean").withColumnRenamed("key", key)
+    grouped = written(cut.select("key", "source", "at", "asked", "release", F.floor(F.col("piece") / size).alias("begun")), "pieces")
+    ends = grouped.groupBy("source", "begun").applyInPandas(ends_with, "source string, begun bigint, begins array<string>, last array<string>")
+    known = ends.groupBy("source").applyInPandas(chain, "source string, begun bigint, now string")  # a row a block of time
+    return grouped.join(known, ["source", "begun"]).groupBy("source", "begun").applyInPandas(fold, f"key {kind}, device string, held boolean").withColumnRenamed("key", key)
 
 
 def reading_strategy(kind: Column) -> Column:

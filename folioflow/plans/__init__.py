@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.plans import pages, retrieval, telemetry
+from folioflow.plans import library, pages, retrieval, telemetry
 
-_MODULES = (retrieval, pages, telemetry)
+_MODULES = (retrieval, pages, telemetry, library)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

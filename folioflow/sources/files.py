@@ -72,6 +72,15 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REPORT).json(path)
 
 
+def write_state(state: DataFrame, path: str) -> None:
+    """A small state table as JSON lines in place of the last one; readers see the old or the new one, by Spark's commit."""
+    state.write.mode("overwrite").json(path)
+
+
+def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
 def write_cases(cases: DataFrame, path: str) -> None:
     """Evaluation cases as JSON lines, null fields left out."""
     cases.select([c.split()[0] for c in CASES.split(", ")]).write.mode("overwrite").json(path)

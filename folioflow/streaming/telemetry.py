@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from folioflow.runtime import scratch
+
 LOSS_SCHEMA = "worker_id string, kind string, at timestamp, gap_seconds double"
 
 
@@ -61,7 +63,8 @@ def lost_workers(beats: DataFrame, timeout_seconds: float = 15.0, late: str = "3
             state.update((last, lost))
             deadline = last // 1000 + int(timeout_seconds * 1000) + 1
             state.setTimeoutTimestamp(max(deadline, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["worker_id", "kind", "at", "gap_seconds"])
+        if out:
+            yield pd.DataFrame(out, columns=["worker_id", "kind", "at", "gap_seconds"])
 
     timed = beats.select("worker_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
     return timed.groupBy("worker_id").applyInPandasWithState(step, LOSS_SCHEMA, "last bigint, lost boolean", "append", GroupStateTimeout.EventTimeTimeout)
@@ -96,3 +99,37 @@ def fan_out(events: DataFrame, handlers: dict[str, list], anything: list):  # no
             batch.unpersist()
 
     return events.writeStream.foreachBatch(deliver)
+
+
+def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of a folder as a stream of files."""
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def run_once(spark: SparkSession, stream: DataFrame, mode: str) -> str:
+    """Run a stream over all that is there and stop; the folder its last result was written to.
+
+    In complete mode each batch replaces the one before, in append mode it adds to it.
+    """
+    out = scratch(spark, "stream")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", scratch(spark, "offsets")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return out
+
+
+def append_stream_log(stream: DataFrame, path: str) -> str:
+    """Append the columns that are not nested, and none of free text, of a stream of events to a CSV log; the log's folder."""
+    flat = stream.select("event_id", "ts", "user_id", "event_type", "value")
+    options = {"checkpointLocation": f"{path}/offsets", "header": "true"}
+    flat.writeStream.format("csv").options(**options).outputMode("append").trigger(availableNow=True).start(f"{path}/log").awaitTermination()
+    return f"{path}/log"
+
+
+def every(stream: DataFrame, seconds: float, step, offsets: str):  # noqa: ANN001, ANN201
+    """A periodic loop: ``step(batch, number)`` on what has come every so many seconds (steal or poll loop); returns the writer."""
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", offsets).trigger(processingTime=f"{seconds} seconds")
