@@ -37,7 +37,7 @@ DIGITS = {"l": "1", "I": "1", "|": "1", "!": "1", "o": "0", "O": "0", "s": "5",
 HYPHENS = "-‐‑¬\xad"
 #: Most frequent sound words that are sent to all tasks: its bound.
 COMMON_WORDS = 100_000
-#: Counters of the bigram table that are sent to all tasks: its size.
+#: Counters of the table of bigrams, by hash, that is sent to all tasks: its size.
 BIGRAM_BUCKETS = 1 << 18
 #: Lines at the top and at the bottom of a page that may be running lines or page numbers: what stands deeper inside is body.
 EDGE = 3
@@ -218,17 +218,6 @@ def _bucket(before: str, word: str) -> int:
     return zlib.crc32(f"{before} {word}".encode()) % BIGRAM_BUCKETS
 
 
-def bigram_table(texts: DataFrame) -> np.ndarray:
-    """Counts of neighbouring words in a table of fixed size, by hash; counted in the JVM, before anything is shuffled."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), rf"[{HYPHENS}][^\\S\n\f]*[\n\f]\\s*", ""), r"[\s.,;:?!\"()\[\]«»“”„…]+", " "))
-    words = texts.select(F.split(plain, " ").alias("w")).filter(F.size("w") > 1)
-    buckets = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.pmod(F.crc32(F.concat_ws(" ", a, b)), F.lit(BIGRAM_BUCKETS)))
-    got = words.select(F.explode(buckets).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).toPandas()  # at most BIGRAM_BUCKETS rows
-    out = np.zeros(BIGRAM_BUCKETS, "f4")
-    out[got["bucket"].to_numpy(int)] = got["n"].to_numpy()
-    return out
-
-
 def grown(df: DataFrame) -> DataFrame:
     """A side of a join that grows with the corpus: never broadcast."""
     return df.hint("merge")
@@ -389,15 +378,19 @@ def page_noise(scanned: DataFrame) -> DataFrame:
     )
 
 
-def _marks(scanned: DataFrame, noise: DataFrame, common: set[str]) -> DataFrame:
-    """What the lines of the body show: first words, words to look up, and broken words."""
-    good = scanned.sparkSession.sparkContext.broadcast(common)  # at most COMMON_WORDS words
+def _marks(scanned: DataFrame, noise: DataFrame, common: set[str], contested: set[str]) -> DataFrame:
+    """What the lines of the body show: first words, words to look up, broken words, and what stands before contested words.
+
+    ``contested`` are common words that compete with others as repairs. Of them the bigrams are
+    counted, per batch: rows of the mark "pair" with a bucket and its count.
+    """
+    good = scanned.sparkSession.sparkContext.broadcast((common, contested))  # at most COMMON_WORDS words each
     skip = noise.groupBy("chunk_id").agg(F.collect_list("line_no").alias("skip"))
     columns = ["document_id", "chunk_index", "chunk_id", "line_no", "mark", "word", "raw", "part", "before", "second"]
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = good.value
-        # what a written form is worth: False, or its core if it has to be looked up
+        known, rivals = good.value
+        # what a written form is worth: False, its core if it has to be looked up, True if it is contested
         worth: dict[str, str | bool] = {}
 
         def judge(raw: str) -> str | bool:
@@ -405,11 +398,12 @@ def _marks(scanned: DataFrame, noise: DataFrame, common: set[str]) -> DataFrame:
             odd = len(w) > 1 and not _NUMBER.fullmatch(w) and w.lower() not in known
             if len(worth) > 500_000:  # memory stays bounded
                 worth.clear()
-            worth[raw] = w if odd else False
+            worth[raw] = w if odd else w.lower() in rivals
             return worth[raw]
 
         for pdf in batches:
             rows = []
+            pairs: Counter[int] = Counter()
             for cid, doc, idx, text, skipped in zip(pdf["chunk_id"], pdf["document_id"], pdf["chunk_index"], pdf["text"], pdf["skip"], strict=True):
                 lines = _LINES.split(text)
                 skip_set = set() if skipped is None else {int(x) for x in skipped}
@@ -442,7 +436,11 @@ def _marks(scanned: DataFrame, noise: DataFrame, common: set[str]) -> DataFrame:
                             w = judge(words[i])
                         if w:
                             before = core(words[i - 1]).lower() if i else core(body[k - 1][1][-1]).lower() if k else ""
+                            if w is True:
+                                pairs[_bucket(before, core(words[i]).lower())] += 1
+                                continue
                             rows.append((doc, at, cid, no, "word" if k or i else "first", w.lower(), w, 0, before, None))
+            rows += [(None, bucket, None, n, "pair", None, None, 0, None, None) for bucket, n in pairs.items()]
             yield pd.DataFrame(rows, columns=columns)
 
     schema = "document_id string, chunk_index int, chunk_id string, line_no int, mark string, word string, raw string, part int, before string, second string"
@@ -464,7 +462,10 @@ def line_noise(chunks: DataFrame, metadata: DataFrame, pages: DataFrame) -> dict
     # what looks like a misread number is a name (B12) only if it is frequent
     named = ~F.upper("word").rlike(f"^(?:{_BROKEN_NUMBER.pattern})$") | (F.col("n") >= max(20, 1e-4 * total))
     sound = words.join(grown(fixes), "word", "left_anti").filter((F.col("n") >= 2) & named).orderBy(F.desc("n"), "word").limit(COMMON_WORDS)
-    marks = written(_marks(scanned, edges, {r["word"] for r in sound.select("word").toLocalIterator()}), "marks")
+    common = {r["word"] for r in sound.select("word").toLocalIterator()}
+    rivals = fixes.filter(F.size("repairs") > 1).select(F.explode("repairs").alias("r")).select(F.col("r.repair").alias("word")).distinct()
+    contested = {r["word"] for r in rivals.join(sound.select("word"), "word", "left_semi").toLocalIterator()}  # COMMON_WORDS at most
+    marks = written(_marks(scanned, edges, common, contested), "marks")
     # the second half of a word broken at a chunk's end is the first word of the next chunk with a body
     heads = marks.filter(F.col("mark") == "head").select("document_id", "chunk_index", F.col("raw").alias("second"))
     ahead = (
@@ -486,7 +487,9 @@ def line_noise(chunks: DataFrame, metadata: DataFrame, pages: DataFrame) -> dict
     ends = marks.filter(F.col("mark") == "tail").select("document_id", F.col("chunk_index").alias("previous"))
     rest = behind.join(grown(ends), ["document_id", "previous"], "left_semi").select("document_id", "chunk_index")
     whole = marks.filter(F.col("mark") != "first").unionByName(marks.filter(F.col("mark") == "first").join(grown(rest), ["document_id", "chunk_index"], "left_anti").withColumn("mark", F.lit("word")).select(*marks.columns))
-    bigrams = bigram_table(scanned)
+    counted = marks.filter(F.col("mark") == "pair").groupBy("chunk_index").agg(F.sum("line_no").alias("n")).toPandas()  # BIGRAM_BUCKETS rows at most
+    bigrams = np.zeros(BIGRAM_BUCKETS, "f4")
+    bigrams[counted["chunk_index"].to_numpy(int)] = counted["n"].to_numpy()
     misread = written(_misread(whole, fixes, bigrams), "misread")
     found = (
         edges.select("chunk_id", "noise_kind", "line_no")

@@ -224,8 +224,10 @@ def test_long_words_and_context(spark):
     table = np.zeros(S.BIGRAM_BUCKETS, "f4")
     table[S._bucket("my", "dear")], table[S._bucket("the", "door")], table[S._bucket("the", "deaf")] = 40, 30, 99
     assert [r.repair for r in S.choose_repairs(spark.createDataFrame(rows, shape), table).orderBy("chunk_id").collect()] == ["dear", "Door", "105"]
-    texts = spark.createDataFrame([("My dear, my DEAR friend",)], "text string")
-    assert S.bigram_table(texts)[S._bucket("my", "dear")] == 2
+    chunk = spark.createDataFrame([("d", 0, "c", [1], "my dear, my DEAR friend\nand my\ndear one")], "document_id string, chunk_index int, chunk_id string, page_numbers array<int>, text string")
+    noise = spark.createDataFrame([], "chunk_id string, line_no int, noise_kind string")
+    marks = S._marks(chunk, noise, {"my", "and", "one", "friend", "dear"}, {"dear"}).filter("mark = 'pair'").collect()
+    assert [(r.chunk_index, r.line_no) for r in marks] == [(S._bucket("my", "dear"), 3)]
 
 
 def test_paragraphs():
