@@ -150,12 +150,17 @@ def _blocks(hours: DataFrame, block_rows: int, halo_rows: int) -> DataFrame:
     )
 
 
-def with_margins(rows: DataFrame, block_rows: int, halo_rows: int) -> DataFrame:
+def block_places(rows: DataFrame, block_rows: int, halo_rows: int) -> DataFrame:
+    """(src, unit, places) of ``rows`` with columns src and unit: one row a source and unit of time."""
+    return _blocks(rows.groupBy("src", "unit").agg(F.count("*").alias("n")), block_rows, halo_rows)
+
+
+def with_margins(rows: DataFrame, block_rows: int, halo_rows: int, places: DataFrame | None = None) -> DataFrame:
     """``rows`` (with columns src and unit) with ``block`` and ``own``: cut into blocks of time, each with a margin.
 
     A row is in its own block once and, as a margin, in the block beside it if that is near.
     """
-    places = _blocks(rows.groupBy("src", "unit").agg(F.count("*").alias("n")), block_rows, halo_rows)
+    places = block_places(rows, block_rows, halo_rows) if places is None else places
     placed = rows.join(places, ["src", "unit"]).withColumn("place", F.explode("places"))
     return placed.select(*rows.columns, "place.block", "place.own")
 
@@ -221,25 +226,22 @@ def implausible_readings(
             ],
             F.count_distinct("unit").alias("units"),
         )
-        # the course of a day can only be told from more than one day
-        .withColumn("days", F.floor(F.col("units") * unit_seconds / 3600))
-        .groupBy("src")
-        .agg(
-            F.sort_array(F.collect_list(F.struct("hour", *[f"c{i}" for i in range(len(metrics))]))).alias("course"),
-            ((F.min("days") >= 2) & (F.count("*") == 24)).alias("seasonal"),
-        )
-        .select("src", F.when(F.col("seasonal"), F.col("course")).alias("course"))
     )
-    # the daily course is at most 24 rows a source and rides along with the margins' plan
-    grouped = with_margins(timed, block_rows, halo).select("key", "src", "ts", *[f"m{i}" for i in range(len(metrics))], "block", "own")
-    grouped = grouped.join(course, "src", "left")
+    # the course of a day can only be told from more than one day
+    told = course.groupBy("src").agg((F.min(F.floor(F.col("units") * unit_seconds / 3600)) >= 2).alias("days"), F.count("*").alias("hours")).filter("days and hours = 24").select("src")
+    # 24 rows a source, sent once to each of its blocks
+    places = block_places(timed, block_rows, halo)
+    blocks = places.select("src", F.explode("places.block").alias("block")).distinct()
+    values = [f"c{i}" for i in range(len(metrics))]
+    daily = course.join(told, "src", "left_semi").join(blocks, "src").select(F.col("src").alias("source"), F.col("block").alias("in_block"), "hour", *values)
+    grouped = with_margins(timed, block_rows, halo, places).select("key", "src", "ts", *[f"m{i}" for i in range(len(metrics))], "block", "own")
     names = metrics
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame, course: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "key", *[f"m{i}" for i in range(len(names))]], kind="stable")
         pdf = pdf[~(pdf.duplicated(["ts", "key"]) & pdf["key"].notna())]
         own = pdf["own"].to_numpy(bool)
-        day = pdf["course"].iloc[0] if len(pdf) else None
+        course = course.sort_values("hour")
         micros = pdf["ts"].astype("int64").to_numpy() // (1000 if str(pdf["ts"].dtype).startswith("datetime64[ns") else 1)
         hours = (micros / 3.6e9) % 24
         found = []
@@ -253,8 +255,8 @@ def implausible_readings(
             kind[stuck] = "stuck"
             ok = np.flatnonzero(possible)
             season = np.zeros(len(ok))
-            if day is not None and all(d[f"c{i}"] is not None for d in day):
-                level = np.array([d[f"c{i}"] for d in day], float)
+            level = course[f"c{i}"].to_numpy("float64")
+            if len(level) == 24 and np.isfinite(level).all():
                 season = np.interp(hours[ok], np.arange(-1, 26) + 0.5, np.r_[level[-1], level, level[:2]]) - np.median(level)
             hit = spikes(x[ok], season, alpha, far, longest, side, trend_half)
             hit = ok[hit]
@@ -266,6 +268,7 @@ def implausible_readings(
     flagged = (
         grouped.select("*", *[F.col(f"m{i}").isNull().alias(f"z{i}") for i in range(len(metrics))])
         .groupBy("src", "block")
+        .cogroup(daily.groupBy("source", "in_block"))
         .applyInPandas(one, f"key {key_type}, metric string, kind string")
     )
     return flagged.unionByName(untimed).select(F.col("key").alias(key), "metric", "kind")
