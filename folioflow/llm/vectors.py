@@ -2,16 +2,19 @@
 
 Spherical k-means centroids and residual codebooks are fitted on the driver from a bounded
 sample; every vector is then indexed (its list, its code) and every vector is a query against
-the ``probes`` nearest lists. Within a list, asymmetric distance tables rank the members and
-the best ``rerank`` of them are compared exactly. Vectors of the same direction form a class
-whose representative alone is indexed, so that a vector repeated under a third of all keys
-costs one index entry; its members are expanded afterwards, at most ``k`` neighbours each.
+the ``probes`` nearest lists. Neighbouring lists form groups: a vector is sent once to each
+group that holds a list it probes, and where that is its own group the same row is member and
+query. Within a list, asymmetric distance tables rank the members and the best ``rerank`` of them
+are compared exactly. Vectors of the same direction form a class whose representative alone is
+indexed, so that a vector repeated under a third of all keys costs one index entry; its members
+are expanded afterwards, at most ``k`` neighbours each.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +24,13 @@ from pyspark.sql import functions as F
 
 from folioflow.runtime import table, written
 
-#: Rows of the sample that centroids and codebooks are fitted on: its bound.
-SAMPLE_ROWS = 40_000
-#: Most members, and most queries, of a list that one task compares at once.
+#: Rows of the sample that centroids and codebooks are fitted on: so many a list, and its bound. No more lists are made
+#: than the bound gives so many rows, so beyond some 9 million vectors lists grow longer instead of more.
+ROWS_A_LIST, SAMPLE_ROWS = 32, 200_000
+#: Most members, and most queries, of a group of lists that one task compares at once.
 BLOCK_ROWS = 8192
+#: Lists of a group.
+GROUPED = 16
 
 
 def latest_vectors(cache: DataFrame, key: str = "cache_key", value: str = "vector_bytes", at: str = "created_at") -> DataFrame:
@@ -106,10 +112,16 @@ class Quantiser:
         rng = np.random.default_rng(seed)
         self.parts = parts
         self.centres = _spherical_kmeans(sample, min(lists, len(sample)), rounds, rng).astype("f4")
+        self.groups = self._grouped(rng)
         part = sample[rng.choice(len(sample), min(len(sample), 12_000), replace=False)]
         residual = part - self.centres[_nearest(part, self.centres, 1)[:, 0]]
         self.books = np.stack([_kmeans(s, words, rounds, rng) for s in np.split(residual, parts, axis=1)]).astype("f4")
 
+    def _grouped(self, rng: np.random.Generator) -> np.ndarray:
+        """The group of each list: neighbouring centroids together."""
+        n = max(1, round(len(self.centres) / GROUPED))
+        return _nearest(self.centres, _spherical_kmeans(self.centres, n, 6, rng), 1)[:, 0].astype("i4")
+
     def encode(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
         residual = x - self.centres[lists]
         return np.stack([_codes(s, self.books[j]) for j, s in enumerate(np.split(residual, self.parts, axis=1))], 1).astype("u1")
@@ -142,98 +154,110 @@ def similar_vectors(
     """
     spark = vectors.sparkSession
     keyed = written(vectors, "unit")
-    one = F.struct("key", "vec")
-    classes = keyed.groupBy("sig").agg(
-        F.min(one).alias("rep"),
-        F.count("*").alias("size"),
-    )
-    reps = written(classes.select(F.col("rep.key").alias("rep"), F.col("rep.vec").alias("vec"), "sig", "size"), "reps")
-    n = reps.count()
+    # classes of one direction, by signature and key only
+    classes = keyed.groupBy("sig").agg(F.min("key").alias("rep"), F.count("*").alias("size"))
+    shared = written(classes.filter("size > 1"), "shared")
+    counts = keyed.agg(F.count("*").alias("n")).crossJoin(F.broadcast(shared.agg(F.coalesce(F.sum(F.col("size") - 1), F.lit(0)).alias("more")))).first()  # one row each
+    n = counts["n"] - counts["more"]
     empty = "key string, neighbour string, similarity double, rank int"
     if not n:
         return spark.createDataFrame([], empty)
+    reps = keyed.join(shared.select("sig", F.col("rep").alias("first")), "sig", "left").filter(F.col("first").isNull() | (F.col("first") == F.col("key"))).select(F.col("key").alias("rep"), "vec")
     lists = lists or max(1, min(n, round(2 * math.sqrt(n))))
-    share = max(1, n // sample_rows)
-    sample = reps.filter(F.pmod(F.xxhash64("sig"), F.lit(share)) == 0).orderBy(F.xxhash64("rep")).limit(sample_rows).select("vec").toPandas()
+    lists = max(1, min(lists, sample_rows // ROWS_A_LIST))
+    wanted = min(sample_rows, ROWS_A_LIST * lists)
+    share = max(1, keyed.count() // wanted)
+    sample = keyed.filter(F.pmod(F.xxhash64("sig"), F.lit(share)) == 0).dropDuplicates(["sig"]).orderBy(F.xxhash64("key")).limit(sample_rows).select("vec").toPandas()
     if not len(sample):
-        sample = reps.limit(sample_rows).select("vec").toPandas()
+        sample = keyed.limit(sample_rows).select("vec").toPandas()
     x = np.frombuffer(b"".join(sample["vec"]), "<f4").reshape(-1, dim)
     lists = min(lists, len(x))
     model = spark.sparkContext.broadcast(Quantiser(x, lists))  # lists and 256 words of float32 vectors: bounded by the sample
     probes = min(probes, lists)
 
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = model.value
+        members, asks = (np.zeros(int(q.groups.max()) + 1, int) for _ in range(2))
+        for pdf in batches:
+            if len(pdf):
+                near = q.groups[_nearest(np.frombuffer(b"".join(pdf["vec"]), "<f4").reshape(-1, dim), q.centres, probes)]
+                members += np.bincount(near[:, 0], minlength=len(members))
+                near.sort(axis=1)
+                asks += np.bincount(near[np.c_[np.ones(len(near), bool), near[:, 1:] != near[:, :-1]]], minlength=len(asks))
+        yield pd.DataFrame({"grp": np.arange(len(members)), "members": members, "asks": asks})
+
+    # a row a group and task: how many members and queries each group has
+    load = reps.mapInPandas(weigh, "grp int, members bigint, asks bigint").groupBy("grp").agg(F.sum("members").alias("members"), F.sum("asks").alias("asks")).collect()
+    cuts = spark.sparkContext.broadcast({r["grp"]: (max(1, -(-r["members"] // BLOCK_ROWS)), max(1, -(-r["asks"] // BLOCK_ROWS))) for r in load})  # two numbers a group
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q, blocks = model.value, cuts.value
         for pdf in batches:
             if not len(pdf):
                 continue
             v = np.frombuffer(b"".join(pdf["vec"]), "<f4").reshape(-1, dim)
             near = _nearest(v, q.centres, probes)
             codes = q.encode(v, near[:, 0])
-            yield pd.DataFrame({"rep": pdf["rep"], "vec": pdf["vec"], "code": [c.tobytes() for c in codes], "near": list(near.astype("i4"))})
-
-    indexed = written(
-        reps.select("rep", "vec").mapInPandas(index, "rep string, vec binary, code binary, near array<int>"), "index"
-    )
-    # one row a list: how many blocks of members and of queries it is cut into
-    load = (
-        indexed.select(F.posexplode("near").alias("pos", "list"))
-        .groupBy("list")
-        .agg(F.count_if(F.col("pos") == 0).alias("members"), F.count("*").alias("asks"))
-        .select(
-            "list",
-            F.greatest(F.lit(1), F.ceil(F.col("members") / BLOCK_ROWS)).alias("mb"),
-            F.greatest(F.lit(1), F.ceil(F.col("asks") / BLOCK_ROWS)).alias("qb"),
-        )
-    )
-    spread = F.xxhash64("rep")
-    members = (
-        indexed.select("rep", "vec", "code", F.col("near")[0].alias("list"))
-        .join(load, "list")
-        .select("list", F.pmod(spread, "mb").alias("m"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("q"), "rep", "vec", "code")
-    )
-    asks = (
-        indexed.select("rep", "vec", F.explode("near").alias("list"))
-        .join(load, "list")
-        .select("list", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("m"), F.pmod(spread, "qb").alias("q"), "rep", "vec", F.lit(None).cast("binary").alias("code"))
-    )
+            rows = []
+            for i, (rep, vec) in enumerate(zip(pdf["rep"], pdf["vec"], strict=True)):
+                by: dict[int, list[int]] = {}
+                for at, g in zip(near[i].tolist(), q.groups[near[i]].tolist(), strict=True):
+                    by.setdefault(g, []).append(at)
+                own = int(q.groups[near[i, 0]])
+                spread = zlib.crc32(rep.encode())
+                for g, probed in by.items():
+                    mb, qb = blocks[g]
+                    code = codes[i].tobytes() if g == own else None
+                    if mb == qb == 1:
+                        rows.append((g, 0, 0, rep, vec, code, int(near[i, 0]) if code else -1, probed))
+                        continue
+                    if code:
+                        rows += [(g, spread % mb, b, rep, vec, code, int(near[i, 0]), []) for b in range(qb)]
+                    rows += [(g, m, spread % qb, rep, vec, None, -1, probed) for m in range(mb)]
+            yield pd.DataFrame(rows, columns=["grp", "m", "q", "rep", "vec", "code", "list", "probed"])
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, at = model.value, int(pdf["list"].iloc[0])
-        is_member = pdf["code"].notna().to_numpy()
-        m, a = pdf[is_member].sort_values("rep"), pdf[~is_member]
+        q = model.value
+        pdf = pdf.sort_values("rep", kind="stable")
+        vec = np.frombuffer(b"".join(pdf["vec"]), "<f4").reshape(-1, dim)
+        keys, mine = pdf["rep"].to_numpy(), pdf["list"].to_numpy(int)
+        size = np.array([len(x) for x in pdf["probed"]])
+        asker = np.repeat(np.arange(len(pdf)), size)
+        asked = np.concatenate([np.asarray(x, int) for x in pdf["probed"]]) if size.sum() else np.zeros(0, int)
         found = []
-        if len(m) and len(a):
-            mv = np.frombuffer(b"".join(m["vec"]), "<f4").reshape(-1, dim)
-            codes = np.frombuffer(b"".join(m["code"]), "u1").reshape(len(m), -1)
-            mk = m["rep"].to_numpy()
+        for at in np.unique(asked):
+            m, a = np.flatnonzero(mine == at), asker[asked == at]
+            if not len(m):
+                continue
+            codes = np.frombuffer(b"".join(pdf["code"].iloc[m]), "u1").reshape(len(m), -1)
+            r = min(max(rerank, k + 1), len(m))
             for i in range(0, len(a), 1024):
-                part = a.iloc[i : i + 1024]
-                qv = np.frombuffer(b"".join(part["vec"]), "<f4").reshape(-1, dim)
-                qk = part["rep"].to_numpy()
-                approx = q.scores(qv, at, codes)
-                r = min(max(rerank, k + 1), len(m))
-                top = np.argpartition(-approx, r - 1, axis=1)[:, :r] if r < len(m) else np.tile(np.arange(len(m)), (len(qv), 1))
+                part = a[i : i + 1024]
+                approx = q.scores(vec[part], at, codes)
+                top = np.argpartition(-approx, r - 1, axis=1)[:, :r] if r < len(m) else np.tile(np.arange(len(m)), (len(part), 1))
                 top.sort(axis=1)
-                exact = np.einsum("qd,qrd->qr", qv.astype("f8"), mv[top].astype("f8"))
-                exact[mk[top] == qk[:, None]] = -np.inf
+                exact = np.einsum("qd,qrd->qr", vec[part].astype("f8"), vec[m][top].astype("f8"))
+                exact[keys[m][top] == keys[part][:, None]] = -np.inf
                 best = np.argsort(-exact, axis=1, kind="stable")[:, :k]
                 sim = np.take_along_axis(exact, best, 1)
                 row, col = np.nonzero(np.isfinite(sim) & (sim >= least))
-                found.append(pd.DataFrame({"rep": qk[row], "other": mk[np.take_along_axis(top, best, 1)[row, col]], "similarity": sim[row, col]}))
-        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({"rep": [], "other": [], "similarity": []})
-
-    pairs = members.unionByName(asks).groupBy("list", "m", "q").applyInPandas(compare, "rep string, other string, similarity double")
+                found.append(pd.DataFrame({"rep": keys[part[row]], "other": keys[m[np.take_along_axis(top, best, 1)[row, col]]], "similarity": sim[row, col]}))
+        if not found:
+            return pd.DataFrame({"rep": [], "other": [], "similarity": []})
+        # of all lists of the group the k best of each query
+        both = pd.concat(found, ignore_index=True).sort_values(["rep", "similarity", "other"], ascending=[True, False, True], kind="stable")
+        return both[both.groupby("rep").cumcount() < k]
+
+    dealt = reps.mapInPandas(deal, "grp int, m int, q int, rep string, vec binary, code binary, list int, probed array<int>")
+    pairs = dealt.groupBy("grp", "m", "q").applyInPandas(compare, "rep string, other string, similarity double")
     best = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("similarity"), "other"))
     near = pairs.withColumn("at", best).filter(F.col("at") <= k).select("rep", "other", "similarity")
-    return _expand(keyed, reps, near, k)
+    return _expand(keyed, shared, near, k)
 
 
-def _expand(keyed: DataFrame, reps: DataFrame, near: DataFrame, k: int) -> DataFrame:
-    """Neighbours of representatives as neighbours of all keys."""
-    shared = reps.filter(F.col("size") > 1).select("sig", "rep")
-    # the members of classes of several keys; a class of one is its representative
-    of_class = keyed.join(shared, "sig").select("rep", "key")
+def _expand(keyed: DataFrame, shared: DataFrame, near: DataFrame, k: int) -> DataFrame:
+    """Neighbours of representatives as neighbours of all keys; ``shared`` has the classes of several keys."""
+    of_class = keyed.select("sig", "key").join(shared.select("sig", "rep"), "sig").select("rep", "key")
     # the first k + 1 of each such class, for no list of neighbours reaches beyond them
     spread = of_class.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(32)))
     some = F.row_number().over(Window.partitionBy("rep", "salt").orderBy("key"))
@@ -254,8 +278,9 @@ def _expand(keyed: DataFrame, reps: DataFrame, near: DataFrame, k: int) -> DataF
         others.join(firsts, "rep", "full")
         .select("rep", F.slice(F.sort_array(F.concat(own, F.coalesce("others", F.array().cast("array<struct<order:double,neighbour:string>>")))), 1, 2 * k + 2).alias("list"))
     )
-    single = reps.filter(F.col("size") == 1).select("rep", F.col("rep").alias("key"))
-    each = single.unionByName(of_class).join(lists, "rep")
+    # a class of one is its representative: it has a list of its own or no neighbours
+    single = lists.join(shared.select("rep"), "rep", "left_anti").select("rep", F.col("rep").alias("key"), "list")
+    each = single.unionByName(of_class.join(lists, "rep"))
     kept = F.slice(F.filter("list", lambda x: x["neighbour"] != F.col("key")), 1, k)
     return (
         each.select("key", F.posexplode(kept).alias("pos", "x"))
