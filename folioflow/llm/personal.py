@@ -205,35 +205,51 @@ class Field:
         for k, place in enumerate(PLACES):
             e += self.scores[ids[pad + place : len(ids) - pad + place], k]
         first, size = np.array(starts, int) - pad, np.array([len(w) for w in lines], int)
-        # if no label beats "none" by more than the best move gains, the best path has no mention
-        gain = e[:, 1:].max(1) + max(0.0, float(self.moves.max()) - float(self.moves[0, 0])) - e[:, 0] > 0
-        some = np.flatnonzero(np.diff(np.r_[0, np.cumsum(gain)][np.stack([first, first + size])], axis=0)[0] > 0)
-        out: list[np.ndarray] = [np.zeros(0, "i1")] * len(lines)
-        order = sorted(some, key=lambda i: size[i])
+        inside = np.zeros(len(e) + 1, "i4")
+        np.add.at(inside, first, 1)
+        np.add.at(inside, first + size, -1)
+        inside = np.cumsum(inside)[:-1] > 0
+        # a token is none for certain if "none" beats all else by more than its moves, and turning
+        # what is carried on after it into a beginning, could make up
+        moves = self.moves[_ALLOWED]
+        carried = np.r_[(e[:, _INNER] - e[:, _OUTER]).max(1)[1:], 0.0]
+        certain = e[:, 0] - e[:, 1:].max(1) > 2 * float(moves.max() - moves.min()) + np.maximum(carried, 0)
+        # between such tokens the runs of others are decoded on their own
+        open_ = np.diff(np.r_[False, inside & ~certain, False].astype("i1"))
+        begin, end = np.flatnonzero(open_ == 1), np.flatnonzero(open_ == -1)
+        labels = np.zeros(len(e), "i1")
+        edge = np.zeros(len(e) + 1, bool)
+        edge[first], edge[first + size] = True, True
+        order = np.argsort(end - begin, kind="stable")
         at = 0
         while at < len(order):
-            stop = at + 1
-            longest = size[order[at]]
-            while stop < len(order) and size[order[stop]] <= max(longest * 1.3, longest + 8) and (stop - at) * size[order[stop]] < 60_000:
+            stop, shortest = at + 1, end[order[at]] - begin[order[at]]
+            while stop < len(order) and end[order[stop]] - begin[order[stop]] <= max(shortest * 1.3, shortest + 1) and (stop - at) * (end[order[stop]] - begin[order[stop]]) < 60_000:
                 stop += 1
-            part = np.array(order[at:stop])
-            scores = np.zeros((len(part), size[part[-1]], len(LABELS)), "f4")
-            inside = np.arange(scores.shape[1]) < size[part][:, None]
-            scores[inside] = e[(first[part][:, None] + np.arange(scores.shape[1]))[inside]]
-            for i, path in zip(part, self._viterbi(scores, size[part]), strict=True):
-                out[i] = path
+            some = order[at:stop]
+            a, n = begin[some], end[some] - begin[some]
+            steps = np.arange(n.max())
+            within = steps < n[:, None]
+            scores = np.zeros((len(some), len(steps), len(LABELS)), "f4")
+            scores[within] = e[(a[:, None] + steps)[within]]
+            scores[:, 0] += np.where(edge[a][:, None], START, self.moves[0])
+            scores[np.arange(len(some)), n - 1] += np.where(edge[end[some]][:, None], 0, self.moves[:, 0])
+            path = self._viterbi(scores, n)
+            labels[(a[:, None] + steps)[within]] = path[within]
             at = stop
-        return out
+        some = np.add.reduceat(labels != 0, first, dtype=int) if len(first) else []
+        return [labels[a : a + n] if k else np.zeros(0, "i1") for a, n, k in zip(first, size, some, strict=True)]
 
-    def _viterbi(self, e: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    def _viterbi(self, e: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """(runs, steps) of label numbers of the best paths; steps beyond a run's size count for nothing."""
         n, longest, _ = e.shape
         back = np.zeros((n, longest, len(LABELS)), "i1")
-        total = e[:, 0] + START
+        total = e[:, 0].copy()
         last = total.copy()
         for t in range(1, longest):
-            step = total[:, None, :] + self.moves.T
-            back[:, t] = step.argmax(2)
-            total = step.max(2) + e[:, t]
+            step = total[:, :, None] + self.moves
+            back[:, t] = step.argmax(1)
+            total = step.max(1) + e[:, t]
             last = np.where((size > t)[:, None], total, last)
         path = np.zeros((n, longest), "i1")
         at = last.argmax(1)
@@ -241,12 +257,13 @@ class Field:
             inside = t < size
             path[:, t] = np.where(inside, at, 0)
             at = np.where(inside & (t > 0), back[np.arange(n), t, at], at)
-        for i in range(n):
-            yield path[i, : size[i]]
+        return path
 
 
 # A mention is continued only by itself, and no line begins inside one.
 _ALLOWED = np.array([[b == "O" or b[0] == "B" or a[1:] == b[1:] for b in LABELS] for a in LABELS])
+_INNER = np.array([i for i, x in enumerate(LABELS) if x[0] == "I"])
+_OUTER = np.array([LABELS.index("B" + LABELS[i][1:]) for i in _INNER])
 START = np.where([x[0] == "I" for x in LABELS], -1e4, 0).astype("f4")
 
 

@@ -61,11 +61,15 @@ def test_viterbi_equals_brute_force():
     import numpy as np
 
     field = personal.default_field()
-    words = ["Dr", ".", " Ada", " Byron"]
-    ids = [field.row(personal._EDGE)] * 4 + field.ids(words) + [field.row(personal._EDGE)] * 4
-    e = np.array([[sum(field.scores[ids[4 + t + p], k] for k, p in enumerate(personal.PLACES)) for t in range(4)]])
-    best = max(itertools.product(range(len(personal.LABELS)), repeat=4), key=lambda p: personal.START[p[0]] + sum(e[0, i, p[i]] for i in range(4)) + sum(field.moves[p[i - 1], p[i]] for i in range(1, 4)))
-    assert list(field.decode([words])[0]) == list(best) and isinstance(np.array(best), np.ndarray)
+    lines = [["Dr", ".", " Ada", " Byron"], [" Call", " 5551234567", " now"], ["mild", " fever", " and", " pain"], [" A1234567"], [" Ada", "'", "s", " aunt"]]
+    got = field.decode(lines)
+    for words, path in zip(lines, got, strict=True):
+        n = len(words)
+        ids = [field.row(personal._EDGE)] * 4 + field.ids(words) + [field.row(personal._EDGE)] * 4
+        e = np.array([sum(field.scores[ids[4 + t + p], k] for k, p in enumerate(personal.PLACES)) for t in range(n)])
+        best = max(itertools.product(range(len(personal.LABELS)), repeat=n), key=lambda p: personal.START[p[0]] + sum(e[i, p[i]] for i in range(n)) + sum(field.moves[p[i - 1], p[i]] for i in range(1, n)))
+        assert list(path) == (list(best) if any(best) else []), words
+    assert any(len(p) for p in got) and field.decode([]) == []
 
 
 def test_nulls_empty_long_repeated_and_clashing_columns(spark):

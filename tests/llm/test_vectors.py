@@ -25,6 +25,18 @@ def test_recall_against_brute_force(spark):
     assert len(true) >= 280 and len(pairs & true) >= 0.97 * len(true) and pairs <= true
 
 
+def test_recall_of_all_neighbours(spark):
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=(40, 64))[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 64)) * 0.8).astype("<f4")
+    df = frame(spark, [(f"k{i:04d}", v.tobytes(), T, None, None) for i, v in enumerate(x)])
+    got = V.similar_vectors(V.unit_vectors(V.latest_vectors(df)), k=5).collect()
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -1)
+    kth = np.sort(s, 1)[:, -5]
+    assert sum(r.similarity >= kth[int(r.key[1:])] - 1e-5 for r in got) >= 0.9 * 5 * len(x)
+
+
 def test_copies_ties_and_limits(spark):
     v = np.zeros(64, "<f4")
     v[0] = 1
