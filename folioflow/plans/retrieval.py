@@ -10,6 +10,7 @@ from folioflow.operators import evaluation as E
 from folioflow.operators import generation as G
 from folioflow.operators import providers as PR
 from folioflow.operators import retrieval as R
+from folioflow.operators.vectorindex import VectorIndex
 from folioflow.runtime import scratch, table, written
 from folioflow.sources import files as S
 
@@ -82,6 +83,20 @@ def cosine_topk_postfilter(spark: SparkSession, d: str) -> DataFrame:
     return R.top_k(kept, 20).select("query", F.col("id").alias("vec_id"), "score", "rank")
 
 
+def dense_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The search of ``cosine_topk`` in a stored index of lists, all of them probed: the same rows."""
+    path = scratch(spark, "lists")
+    VectorIndex.build(_vectors(spark, d), 16).write(path)
+    found = VectorIndex.read(spark, path).search(_asked(spark, d), 10, probes=16)
+    return found.select("query", F.col("id").alias("vec_id"), "score", "rank")
+
+
+def dense_lists_few(spark: SparkSession, d: str) -> DataFrame:
+    """The same with four of sixteen lists probed and one label deleted: approximate."""
+    index = VectorIndex.build(_vectors(spark, d), 16).without(_vectors(spark, d).filter(F.col("label") == 3).select("id"))
+    return index.search(_asked(spark, d), 10, probes=4).select("query", F.col("id").alias("vec_id"), "score", "rank")
+
+
 def vector_norms(spark: SparkSession, d: str) -> DataFrame:
     v = R.normalised(F.col("vector"))
     return _vectors(spark, d).select(F.col("id").alias("vec_id"), F.round(R.norm(F.col("vector")), 6).alias("length"), F.round(R.norm(v), 6).alias("unit_length"), F.round(v[0], 6).alias("first"))
@@ -325,7 +340,7 @@ QUERIES = {
     "cosine_topk": cosine_topk, "cosine_topk_prefilter": cosine_topk_prefilter, "cosine_topk_postfilter": cosine_topk_postfilter, "vector_norms": vector_norms,
     "vector_index_stats": vector_index_stats, "vector_delete": vector_delete, "rrf_fuse": rrf_fuse, "hybrid_min_score": hybrid_min_score, "adaptive_depth": adaptive_depth, "rerank_lexical": rerank_lexical,
     "ir_case_metrics": ir_case_metrics, "ir_metrics_chunk": ir_metrics_chunk, "ir_metrics_doc": ir_metrics_doc, "candidate_recall": candidate_recall,
-    "dense_topk": dense_topk, "hybrid_filtered": hybrid_filtered, "hybrid_one_side": hybrid_one_side, "bm25_stored": bm25_stored, "rag_flow": rag_flow,
+    "dense_lists": dense_lists, "dense_lists_few": dense_lists_few, "dense_topk": dense_topk, "hybrid_filtered": hybrid_filtered, "hybrid_one_side": hybrid_one_side, "bm25_stored": bm25_stored, "rag_flow": rag_flow,
     "retrieval_counters": retrieval_counters, "metric_deltas": metric_deltas, "depth_choice": depth_choice, "evaluation_report": evaluation_report, "context_budget": context_budget, "prompt_render": prompt_render, "extractive_answer": extractive_answer, "source_refs": source_refs,
 }
 SQL = {
@@ -335,6 +350,7 @@ SQL = {
     "bm25_topk": f"WITH {_bm25_sql(_DOCS, f"SELECT 'q' AS query, term, count(*) AS times FROM (SELECT unnest({_TOK.format(repr(QUERY))}) AS term) GROUP BY term", 10)} SELECT id AS doc_id, score, rank FROM hits",
     "bm25_batch": f"WITH {_CASE_HITS} SELECT query AS case_id, id AS chunk_id, score, rank FROM hits WHERE rank <= 5",
     "cosine_topk": f"WITH {_UNIT} SELECT query, id AS vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM (SELECT query, id, {_COS} AS score FROM unit, asked)) WHERE rank <= 10",
+    "dense_lists": f"WITH {_UNIT} SELECT query, id AS vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM (SELECT query, id, {_COS} AS score FROM unit, asked)) WHERE rank <= 10",
     "cosine_topk_prefilter": f"WITH {_UNIT} SELECT query, id AS vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM (SELECT query, id, {_COS} AS score FROM unit, asked WHERE label IN (1, 2))) WHERE rank <= 5",
     "cosine_topk_postfilter": f"WITH {_UNIT}, h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS r FROM (SELECT query, id, label, {_COS} AS score FROM unit, asked)) WHERE r <= 20) SELECT query, id AS vec_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM h WHERE label IN (1, 2)",
     "vector_norms": f"WITH {_UNIT} SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda y: CAST(y AS DOUBLE) * CAST(y AS DOUBLE)))), 6) AS length, round(sqrt(list_sum(list_transform(v, lambda y: y * y))), 6) AS unit_length, round(v[1], 6) AS first FROM embeddings JOIN unit ON vec_id = id",
