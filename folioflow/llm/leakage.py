@@ -270,23 +270,26 @@ def stretches(text: np.ndarray, case: np.ndarray, start: np.ndarray, window: np.
 def _distances(p: Passages, blocks: np.ndarray, texts: list[np.ndarray], of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each block the least edit distance to any place of its text, and where that place ends."""
     m = p.block_length[blocks].astype("u8")
-    one, last = np.uint64(1), m - np.uint64(1)
-    full = ~np.uint64(0) >> (np.uint64(64) - m)
+    one = np.uint64(1)
+    last = m - one
+    top = one << last
+    down = last.astype("i8")
     peq, row = p.patterns.ravel(), blocks * p.patterns.shape[1]
     longest = max(map(len, texts), default=0)
     # what fills up shorter texts matches nothing, so no distance falls there
     padded = np.zeros((longest, len(texts)), "i8")
     for i, t in enumerate(texts):
         padded[: len(t), i] = t
-    pv, mv = full.copy(), np.zeros(len(blocks), "u8")
+    # bits above a block's last one are never read, and nothing moves down from them
+    pv, mv = np.full(len(blocks), ~np.uint64(0)), np.zeros(len(blocks), "u8")
     score = m.astype("i8")
     best, place = score.copy(), np.zeros(len(blocks), "i4")
     at, better = np.zeros(len(blocks), "i8"), np.zeros(len(blocks), bool)
     eq, xv, xh, ph, mh = (np.zeros(len(blocks), "u8") for _ in range(5))
     for j in range(longest):
-        np.take(padded[j], of, out=at, mode="clip")
+        padded[j].take(of, out=at, mode="clip")
         at += row
-        np.take(peq, at, out=eq, mode="clip")
+        peq.take(at, out=eq, mode="clip")
         np.bitwise_or(eq, mv, out=xv)
         np.bitwise_and(eq, pv, out=xh)
         xh += pv
@@ -294,27 +297,25 @@ def _distances(p: Passages, blocks: np.ndarray, texts: list[np.ndarray], of: np.
         xh |= eq
         np.bitwise_or(xh, pv, out=ph)
         np.invert(ph, out=ph)
-        ph &= full
         ph |= mv
         np.bitwise_and(pv, xh, out=mh)
-        np.right_shift(ph, last, out=eq)
-        eq &= one
-        score += eq.view("i8")
-        np.right_shift(mh, last, out=eq)
-        eq &= one
-        score -= eq.view("i8")
+        # the last bit of either tells whether the distance grows or falls
+        np.bitwise_and(ph, top, out=eq)
+        np.bitwise_and(mh, top, out=xh)
+        eq -= xh
+        step = eq.view("i8")
+        step >>= down
+        score += step
         ph <<= one
-        ph &= full
         mh <<= one
-        mh &= full
         np.bitwise_or(xv, ph, out=pv)
         np.invert(pv, out=pv)
-        pv &= full
         pv |= mh
         np.bitwise_and(ph, xv, out=mv)
         np.less(score, best, out=better)
-        np.copyto(best, score, where=better)
-        np.copyto(place, j + 1, where=better)
+        if better.any():
+            np.copyto(best, score, where=better)
+            np.copyto(place, j + 1, where=better)
     return best, place
 
 
