@@ -94,7 +94,8 @@ def norm(v: Column) -> Column:
 def normalised(v: Column) -> Column:
     """The vector at length one; an all-zero vector stays as it is."""
     n = norm(v)
-    return F.transform(v, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(F.lit(1.0)))
+    # the length as an array of its own: inside the lambda it would be computed for every component
+    return F.zip_with(v, F.array_repeat(F.when(n > 0, n).otherwise(F.lit(1.0)), F.size(v)), lambda x, m: x.cast("double") / m)
 
 
 def dot(a: Column, b: Column) -> Column:

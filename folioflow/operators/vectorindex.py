@@ -94,5 +94,7 @@ class VectorIndex:
         asked = queries.select("query", R.normalised(F.col("query_vector")).alias("q"))
         near = asked.crossJoin(F.broadcast(centres)).select("query", "q", "list", R.dot(F.col("q"), F.col("centroid")).alias("score"))  # a row a list
         probed = R.top_k(near, probes, tie="list").select("query", "q", "list")
-        scored = self.vectors.join(probed, "list").select("query", "id", F.round(R.dot(R.normalised(F.col("vector")), F.col("q")), 6).alias("score"))
+        # each vector is brought to length one before it meets the queries
+        unit = self.vectors.select("id", "list", R.normalised(F.col("vector")).alias("v"))
+        scored = unit.join(probed, "list").select("query", "id", F.round(R.dot(F.col("v"), F.col("q")), 6).alias("score"))
         return R.top_k(scored, k)
