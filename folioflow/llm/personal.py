@@ -331,12 +331,6 @@ def train(rows: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 90,
         for x in _features(*f, known):
             index.setdefault(x, len(index))
     ids = [feature_ids(*f, index, known) for f in forms]
-    at_form = np.concatenate([np.full(len(x), i) for i, x in enumerate(ids)])
-    at_feature = np.concatenate([np.array(x, int) for x in ids])
-    order = np.argsort(at_feature, kind="stable")
-    by_feature = at_form[order]
-    cuts = np.searchsorted(at_feature[order], np.arange(len(index)))
-    form_cuts = np.searchsorted(at_form, np.arange(len(forms)))
 
     data.sort(key=lambda d: len(d[0]))
     pad, n_labels = max(map(abs, PLACES)), len(LABELS)
@@ -356,6 +350,21 @@ def train(rows: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 90,
     spelt = np.array([x.startswith(("end=", "begin=")) for x in index])
     named = np.array([x.startswith("word=") for x in index])
     count = np.stack([np.where(spelt & (abs(p) > SPELT_WITHIN) | named & (abs(p) > NAMED_WITHIN), 0.0, OWN if p == 0 else 1.0) for p in PLACES])[:, :, None].astype("f4")
+    # far from a token most forms look alike: at each place those with the same features count as one
+    places = []
+    for k, place in enumerate(PLACES):
+        alike: dict[tuple[int, ...], int] = {}
+        of = np.array([alike.setdefault(tuple(i for i in f if count[k, i, 0]), len(alike)) for f in ids])
+        at_feature = np.concatenate([np.array(f, int) for f in alike])
+        at_form = np.repeat(np.arange(len(alike)), [len(f) for f in alike])
+        order = np.argsort(at_feature, kind="stable")
+        used, cuts = np.unique(at_feature[order], return_index=True)
+        seen = []
+        for x, y, mask in groups:
+            own = of[x[:, pad + place : pad + place + y.shape[1]]]
+            sort = np.argsort(own[mask], kind="stable")
+            seen.append((own, sort, *np.unique(own[mask][sort], return_index=True)))
+        places.append((len(alike), at_feature, np.searchsorted(at_form, np.arange(len(alike))), at_form[order], used, cuts, seen))
     w = np.zeros((len(PLACES), len(index), n_labels), "f4")
     moves = np.zeros((n_labels, n_labels), "f4")
     first = [np.zeros_like(w), np.zeros_like(moves)]
@@ -363,15 +372,15 @@ def train(rows: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 90,
     closed = np.where(_ALLOWED, 0, -1e4).astype("f4")
     for r in range(1, rounds + 1):
         # scores of forms: sums over their features
-        scores = np.stack([np.add.reduceat((w[k] * count[k])[at_feature], form_cuts, axis=0) for k in range(len(PLACES))])
-        g_form = np.zeros((len(PLACES), len(forms), n_labels), "f4")
+        scores = [np.add.reduceat((w[k] * count[k])[at], cuts, axis=0) for k, (_, at, cuts, *_) in enumerate(places)]
+        g_form = [np.zeros((n, n_labels), "f4") for n, *_ in places]
         g_moves = np.zeros_like(moves)
         m = np.exp(moves) * _ALLOWED
-        for x, y, mask in groups:
+        for g, (_, y, mask) in enumerate(groups):
             n, longest = y.shape
             e = np.zeros((n, longest, n_labels), "f4")
-            for k, place in enumerate(PLACES):
-                e += scores[k][x[:, pad + place : pad + place + longest]]
+            for k in range(len(PLACES)):
+                e += scores[k][places[k][6][g][0]]
             # forward and backward in linear space, each step scaled to sum to one
             seen = np.exp(e - e.max(2, keepdims=True))
             fwd, bwd = np.zeros_like(e), np.ones_like(e)
@@ -386,19 +395,20 @@ def train(rows: list[tuple[str, list[tuple[str, int, int]]]], rounds: int = 90,
                 bwd[:, t] = np.where(mask[:, t + 1, None], ((seen[:, t + 1] * bwd[:, t + 1]) @ m.T) / scale[:, t + 1, None], 1)
             p = fwd * bwd * mask[:, :, None]
             p[np.arange(n)[:, None], np.arange(longest), y] -= mask
-            for k, place in enumerate(PLACES):
-                at = x[:, pad + place : pad + place + longest][mask]
-                flat = p[mask]
-                for lab in range(n_labels):
-                    g_form[k, :, lab] += np.bincount(at, flat[:, lab], len(forms))
+            flat = p[mask]
+            for k in range(len(PLACES)):
+                _, sort, forms_here, cuts = places[k][6][g]
+                g_form[k][forms_here] += np.add.reduceat(flat[sort], cuts, axis=0)
             on = mask[:, 1:]
             after = (seen[:, 1:] * bwd[:, 1:] / scale[:, 1:, None])[on]
             g_moves += m * (fwd[:, :-1][on].T @ after)
             np.subtract.at(g_moves, (y[:, :-1][on], y[:, 1:][on]), 1)
-        g_w = np.stack([np.add.reduceat(g_form[k][by_feature], cuts, axis=0) for k in range(len(PLACES))]) * count / len(data) + shrink * w
-        for i, (value, g) in enumerate(((w, g_w), (moves, g_moves / len(data) * _ALLOWED))):
-            first[i] = 0.9 * first[i] + 0.1 * g
-            second[i] = 0.99 * second[i] + 0.01 * g * g
+        g_w = shrink * w
+        for k, (_, _, _, by_feature, used, cuts, _) in enumerate(places):
+            g_w[k, used] += np.add.reduceat(g_form[k][by_feature], cuts, axis=0) * count[k, used] / len(data)
+        for i, (value, slope) in enumerate(((w, g_w), (moves, g_moves / len(data) * _ALLOWED))):
+            first[i] = 0.9 * first[i] + 0.1 * slope
+            second[i] = 0.99 * second[i] + 0.01 * slope * slope
             value -= rate * (1 - (r - 1) / rounds) * (first[i] / (1 - 0.9**r)) / (np.sqrt(second[i] / (1 - 0.99**r)) + 1e-7)
     return Field(index, w * count, moves + closed, known)
 
