@@ -96,6 +96,60 @@ def test_candidates_reach_the_stated_recall():
     assert want > 1000 and hit >= 0.99 * want, (hit, want)
 
 
+def test_blocks_are_compared_only_where_they_can_be_near(monkeypatch):
+    import numpy as np
+
+    r = random.Random(23)
+    letters = "".join(r.choice("abcdefghkmnp") for _ in range(3000))
+    held = [passage(r) for _ in range(12)] + [letters[:700], letters[350:1000], letters[5:12], letters[20:50], "ab" * 60, "漢字" * 30 + letters[:90]]
+
+    def edited(text, rate):
+        return "".join(x if r.random() > rate else r.choice(["", r.choice("bcdfg"), x + r.choice("klmnp")]) for x in text)
+
+    texts, case = [], []
+    for c, whole in enumerate(held):
+        for rate in (0, 0.03, 0.1, 0.16, 0.2, 0.3):
+            half = len(whole) // 2
+            texts += [
+                passage(r, 40) + edited(whole, rate) + passage(r, 40),
+                edited(whole[half:], rate) + passage(r, 60) + edited(whole[:half], rate),
+                edited(whole[:half], rate) + edited(whole[:half], rate / 2),
+                edited(whole[half // 2 : half + 30], rate),
+                passage(r, 150),
+            ]
+            case += [c] * 5
+    case = np.array(case)
+    p = L.patterns_of(held)
+    stream, bounds = L.streams(texts)
+    pieces = [stream[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+    pieces[-1] = pieces[-1][:0]
+    order = np.argsort([len(x) for x in pieces], kind="stable")
+    distances, cells, every = L._distances, [], 0
+
+    def counted(p, blocks, texts, of):
+        cells.append(sum(len(texts[i]) for i in of))
+        return distances(p, blocks, texts, of)
+
+    whole = []
+    for x in order:
+        blocks = np.arange(p.first[case[x]], p.first[case[x] + 1])
+        whole.append((blocks, *distances(p, blocks, [p.symbols[pieces[x]]], np.zeros(len(blocks), int))))
+        every += len(blocks) * len(pieces[x])
+    monkeypatch.setattr(L, "_distances", counted)
+    for far in (0.0001, 0.2, 0.3, 0.5, 1.0):
+        for share, apart, size in ((0.0, 1200, 1 << 20), (0.35, 60, 1 << 14)):
+            want = []
+            for x, (blocks, d, place) in zip(order, whole, strict=True):
+                copied, blocks = L._copied(d, place, p.block_length[blocks], far, L.BLOCK * 2 // 5, apart)
+                want += [(int(x), copied, blocks)] if copied >= share else []
+            cells.clear()
+            monkeypatch.setattr(L, "CHARACTERS", size)
+            assert L.verify(p, pieces, case, share, far, apart) == want
+            if (far, share) == (0.2, 0.35):
+                # few words, so that many places are near
+                assert len(want) > 100 and 2 * sum(cells) < every, (len(want), sum(cells), every)
+
+
 def test_edit_distances_are_exact():
     import numpy as np
 
